@@ -1 +1,12 @@
-"""Plans of the analytics engine."""
+"""Registered queries over the tables, by topic."""
+
+from __future__ import annotations
+
+from .registry import QUERIES, Query
+
+
+def registered() -> dict[str, Query]:
+    """All queries, by name."""
+    from . import factors  # noqa: F401
+
+    return QUERIES
