@@ -7,6 +7,6 @@ from .registry import QUERIES, Query
 
 def registered() -> dict[str, Query]:
     """All queries, by name."""
-    from . import factors  # noqa: F401
+    from . import factors, research, strategy  # noqa: F401
 
     return QUERIES
