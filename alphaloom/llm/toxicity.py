@@ -88,7 +88,7 @@ def _sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(sets: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, min_docs: int = 4, lasso: float = 3e-4, pull: float = 1.0, rounds: int = 300, rate: float = 0.3) -> ToxicityModel:
+def fit(sets: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, min_docs: int = 4, lasso: float = 3e-4, pull: float = 1.0, rounds: int = 300, rate: float = 0.5) -> ToxicityModel:
     """Proximal gradient (FISTA) on log loss + pull * mean squared score change + lasso * |w|."""
     seen = np.bincount(np.concatenate([s for s, _ in sets]) if sets else np.empty(0, np.int64), minlength=DIM)
     terms = grams_of(pa.array([t for row in IDENTITIES for t in row]))
@@ -111,21 +111,27 @@ def fit(sets: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, min_docs: int
     pair_row = np.unique(np.array(pair_row, np.int64), return_inverse=True)[1]
     pair_col, sign = np.array(pair_col, np.int64), np.array(sign)
     pairs = int(pair_row.max()) + 1 if len(pair_row) else 0
-    w, bias = np.zeros(d), 0.0
-    ahead, ahead_bias, t = w, bias, 1.0
+    forward = lambda w, b: (b + np.bincount(rows, w[col], minlength=n), np.bincount(pair_row, sign * w[pair_col], minlength=pairs))
+    w, bias, best, t = np.zeros(d), 0.0, np.inf, 1.0
+    at = ahead = (w, bias, *forward(w, bias))  # weights, bias, log odds, score changes; all but the loss are linear in them
     for _ in range(rounds if n else 0):
-        z = ahead_bias + np.bincount(rows, ahead[col], minlength=n)
-        off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        aw, ab, az, ac = ahead
+        off = (1 / (1 + np.exp(-np.clip(az, -30, 30))) - y) / n
         g = np.bincount(col, off[rows], minlength=d)
         if pairs:
-            change = np.bincount(pair_row, sign * ahead[pair_col], minlength=pairs)
-            g += 2 * pull / pairs * np.bincount(pair_col, sign * change[pair_row], minlength=d)
-        new = ahead - rate * g
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * lasso, 0)
-        new_bias = ahead_bias - rate * off.sum()
+            g += 2 * pull / pairs * np.bincount(pair_col, sign * ac[pair_row], minlength=d)
+        w = aw - rate * g
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * lasso, 0)
+        bias = ab - rate * off.sum()
+        new = (w, bias, *forward(w, bias))
+        loss = np.mean(np.logaddexp(0, new[2]) - y * new[2]) + pull * np.square(new[3]).sum() / max(pairs, 1) + lasso * np.abs(w).sum()
+        if not loss <= best:  # overshot: drop the momentum, or without any, halve the step
+            rate, ahead, t = rate if t > 1 else rate / 2, at, 1.0
+            continue
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead, ahead_bias = new + (t - 1) / t_new * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
-        w, bias, t = new, new_bias, t_new
+        ahead = tuple(x + (t - 1) / t_new * (x - old) for x, old in zip(new, at))
+        at, best, t = new, loss, t_new
+    w, bias = at[:2]
     weights = np.zeros(DIM)
     weights[used] = w
     return ToxicityModel(float(bias), weights)
