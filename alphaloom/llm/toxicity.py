@@ -97,9 +97,9 @@ def fit(sets: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, min_docs: int
     place = np.full(DIM, -1)
     place[used] = np.arange(len(used))
     n, d = len(sets), len(used)
-    cols = [place[s][place[s] >= 0] for s, _ in sets]
-    rows = np.repeat(np.arange(n), [len(c) for c in cols])
-    col = np.concatenate(cols) if cols else np.empty(0, np.int64)
+    cols = [place[s][place[s] >= 0].astype(np.int32) for s, _ in sets]
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in cols])
+    col = np.concatenate(cols) if cols else np.empty(0, np.int32)
     pair_row, pair_col, sign = [], [], []
     for number, (s, t) in enumerate(sets):
         for buckets, value in ((np.setdiff1d(s, t), 1.0), (np.setdiff1d(t, s), -1.0)) if not np.array_equal(s, t) else ():
@@ -144,11 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8000) -> ToxicityModel
         for whole in batches:
             for b in slices(whole, "text", 4_000_000):
                 both = _sets(b.column("text"))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y").cast(pa.int32()), *(pa.array([s[i].astype("<i4").tobytes() for s in both], pa.binary()) for i in range(2))], ["doc_id", "y", "here", "there"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y").cast(pa.int32()), pa.array([h.astype("<i4").tobytes() for h, _ in both], pa.binary()), pa.array([None if np.array_equal(h, t) else t.astype("<i4").tobytes() for h, t in both], pa.binary())], ["doc_id", "y", "here", "there"])
 
     sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, most)
     rows = sorted(sample.mapInArrow(run, "doc_id long, y int, here binary, there binary").collect(), key=lambda r: (r["doc_id"], r["y"], r["here"]))
-    sets = [tuple(np.frombuffer(r[c], "<i4").astype(np.int64) for c in ("here", "there")) for r in rows]
+    sets = [tuple(np.frombuffer(r[c] or r["here"], "<i4") for c in ("here", "there")) for r in rows]  # most name no group
     extra = [(s.format(t), y) for s, y in SENTENCES for row in IDENTITIES for t in row]
     sets += _sets(pa.array([s for s, _ in extra]))
     return fit(sets, np.array([*(r["y"] for r in rows), *(y for _, y in extra)], np.float64))
