@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from alphaloom.operators import learning as ln
 from alphaloom.operators import performance as pf
 from alphaloom.operators import portfolio as po
 from alphaloom.operators import timing as tm
@@ -235,3 +236,21 @@ def risk_backtest_var(spark, d):
 def risk_barra_returns(spark, d):
     df = labelled(spark, d).withColumn("size", F.ln("cap"))
     return pf.barra_returns(df, "fwd_1", ["f", "size"])
+
+
+@query("window_id train_start train_end test_start test_end", "", f"""WITH {PANEL}, ds AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS i FROM (SELECT DISTINCT dt FROM panel)), t AS (SELECT CAST(floor((i - 25) / 6) AS BIGINT) AS window_id, min(dt) AS test_start, max(dt) AS test_end, min(i) AS s FROM ds WHERE i >= 25 GROUP BY 1) ---
+  SELECT window_id, a.dt AS train_start, b.dt AS train_end, test_start, test_end FROM t JOIN ds a ON a.i = s - 25 JOIN ds b ON b.i = s - 2""")
+def walk_forward_windows(spark, d):
+    return ln.walk_forward(panel(spark, d), 24, 6, 1)
+
+
+@query("combination dt role", "")
+def purged_folds(spark, d):
+    return ln.purged_folds(panel(spark, d))
+
+
+@query("code dt", "prediction")
+def ridge_predictions(spark, d):
+    df = labelled(spark, d)
+    model = ln.ridge(df.filter("dt < date'1999-01-01'"), ["f", "g"], "fwd_1")
+    return ln.predict(model, df.filter("dt >= date'1999-01-01'"), ["f", "g"])
