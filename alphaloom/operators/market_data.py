@@ -92,3 +92,34 @@ def universe(df: DataFrame, securities: DataFrame, day: str, n: int = 6, least_r
 def one_price_bars(df: DataFrame) -> DataFrame:
     """Codes and dates whose bar has one price throughout."""
     return df.filter("open = high and high = low and low = close and close > 0").select("code", "dt")
+
+
+def quality_checks(df: DataFrame, statements: DataFrame, move: float = 0.2, most: int = 50, gap: float = 0.01) -> DataFrame:
+    """kind, code, dt, value: the ``most`` largest moves beyond ``move``, statements that do not balance, bars without volume."""
+    moves = df.withColumn("value", F.abs(pct_change("close"))).filter(F.col("value") > move).orderBy(F.col("value").desc(), "code", "dt").limit(most)  # a report of the largest
+    off = statements.filter("assets <> 0").withColumn("value", F.abs(F.col("assets") - F.col("owed") - F.col("equity")) / F.abs("assets")).filter(F.col("value") > gap).withColumn("dt", F.col("end_date"))
+    still = df.filter("volume = 0 and close > 0").withColumn("value", F.col("volume"))
+    parts = [x.select(F.lit(name).alias("kind"), "code", "dt", F.col("value").cast("double")) for name, x in (("large_move", moves), ("unbalanced", off), ("no_volume", still))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _hash_before(log: DataFrame, size: int = 100_000) -> DataFrame:
+    """``_before``: the hash of the entry before by seq, empty for the first.
+
+    Entries are cut into ranges of seq; each range takes its predecessor's last hash from one row
+    a range, so no task sees the whole log.
+    """
+    log = log.withColumn("_r", F.floor(F.col("seq") / size))
+    ends = log.groupBy("_r").agg(F.max_by("hash", "seq").alias("_end"))
+    ends = ends.withColumn("_carry", F.lag("_end").over(W.orderBy("_r"))).select("_r", "_carry")  # one row a range
+    return log.join(ends, "_r").withColumn("_before", F.coalesce(F.lag("hash").over(W.partitionBy("_r").orderBy("seq")), F.col("_carry"), F.lit(""))).drop("_r", "_carry")
+
+
+def chain(log: DataFrame) -> DataFrame:
+    """A log (seq, hash) with the hash of the entry before as ``previous``."""
+    return _hash_before(log).withColumnRenamed("_before", "previous")
+
+
+def verify_chain(log: DataFrame) -> DataFrame:
+    """seq, valid: whether ``previous`` is the hash of the entry before."""
+    return _hash_before(log).select("seq", (F.col("previous") == F.col("_before")).alias("valid"))
