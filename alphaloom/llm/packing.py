@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, giving_back
 from .token_counts import slices, tokenizer_path, worker_tokenizer
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: int
             return pa.RecordBatch.from_pydict(rows, schema=schema)
 
         for whole in batches:
-            for b in slices(whole, "text", 8_000_000):
+            for b in slices(whole, "text", 2_000_000):
                 ids, offsets = tok.encode(b.column("text"))
                 ids = np.insert(ids, offsets[1:], end_id)
                 offsets = offsets + np.arange(len(offsets))
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: int
         yield out(list(windows.open.values()), True)
 
     schema = pa.schema([(c, pa.binary() if t == "binary" else pa.int64()) for c, t in (x.split() for x in PIECE.split(", "))] + [("part", pa.int64())])
-    raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"{PIECE}, part long")
+    raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(giving_back(run), f"{PIECE}, part long")
     raw = raw.withColumn("ids_crc32", F.crc32("ids"))
     if not keep_ids:
         raw = raw.withColumn("ids", F.when(F.col("part").isNotNull(), F.col("ids")))

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import giving_back
 from .crf import KINDS, LABELS, Crf, train
 from .token_counts import slices
 
@@ -215,7 +216,7 @@ def find_pii(docs: DataFrame, crf: Crf | None = None, mask: bool = False) -> Dat
     schema = docs.select("row").schema
     for x in _SCHEMA.split(", "):
         schema = schema.add(x.split()[0], x.split()[1])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def masked(text: str, spans: list[Span]) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, giving_back
 from .components import component_roots
 from .hamming_index import routing_masks, spanning_links
 
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             bits = b"".join(fingerprint(t.as_py(), words) for t in texts)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.frombuffer(bits, ">i8").astype(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(giving_back(run), "doc_id long, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -102,7 +102,7 @@ def links(nodes: DataFrame, k: int, bucket_rows: int = 2048) -> DataFrame:
         child, root = spanning_links(_buckets(table)[0], table.column("fp").to_numpy().view(np.uint64), k)
         return pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(root.view(np.int64))], ["a", "b"])
 
-    return routed.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
+    return routed.repartition(*place).sortWithinPartitions(*place).mapInArrow(giving_back(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, k: int = 4) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS
+from .common import BLANKS, giving_back
 
 CHUNK, OVERLAP = 65_536, 1_024
 #: Letters whose lower case is one letter, unaffected by composition: ASCII and Latin-1.
@@ -206,5 +206,5 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048, ch
                 n_bytes = pc.binary_length(b.column("text")).fill_null(0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), n_bytes, pa.array(np.diff(offsets), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(giving_back(run), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import giving_back
 from .features import buckets_of, fold, labelled_sample, words_of
 from .token_counts import slices
 
@@ -147,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8000) -> ToxicityModel
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y").cast(pa.int32()), pa.array([h.astype("<i4").tobytes() for h, _ in both], pa.binary()), pa.array([None if np.array_equal(h, t) else t.astype("<i4").tobytes() for h, t in both], pa.binary())], ["doc_id", "y", "here", "there"])
 
     sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, most)
-    rows = sorted(sample.mapInArrow(run, "doc_id long, y int, here binary, there binary").collect(), key=lambda r: (r["doc_id"], r["y"], r["here"]))
+    rows = sorted(sample.mapInArrow(giving_back(run), "doc_id long, y int, here binary, there binary").collect(), key=lambda r: (r["doc_id"], r["y"], r["here"]))
     sets = [tuple(np.frombuffer(r[c] or r["here"], "<i4") for c in ("here", "there")) for r in rows]  # most name no group
     extra = [(s.format(t), y) for s, y in SENTENCES for row in IDENTITIES for t in row]
     sets += _sets(pa.array([s for s, _ in extra]))
@@ -169,7 +170,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     docs = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
-    out = docs.mapInArrow(run, docs.select("row").schema.add("score", "double"))
+    out = docs.mapInArrow(giving_back(run), docs.select("row").schema.add("score", "double"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
