@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import itertools
 
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,3 +48,38 @@ def ridge(df: DataFrame, features: list[str], label: str, penalty: float = 0.1):
 def predict(model, df: DataFrame, features: list[str]) -> DataFrame:
     known = VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=features))
     return model.transform(known).drop("features")
+
+
+def boosted(df: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 3, seed: int = 7):
+    """Gradient boosted trees by pyspark.ml on rows where all columns are known."""
+    known = df.dropna(subset=[*features, label])
+    table = VectorAssembler(inputCols=features, outputCol="features").transform(known).select("features", F.col(label).alias("label"))
+    return GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed).fit(table)
+
+
+def stacked(df: DataFrame, features: list[str], label: str, folds: int = 3) -> DataFrame:
+    """code, dt, ridge, boosted, stacked: predictions of two models from other blocks of dates, and a ridge over both.
+
+    Blocks are runs of dates; a row is predicted by models that never saw its block. Rows with a null
+    feature have no prediction; rows with a null label are predicted but teach nothing.
+    """
+    blocks = df.select("dt").distinct().withColumn("_block", F.ntile(folds).over(W.orderBy("dt")))  # one row a date
+    df = df.select("code", "dt", *features, label).join(blocks, "dt").persist()
+    parts = []
+    for k in range(1, folds + 1):
+        seen, new = df.filter(F.col("_block") != k), df.filter(F.col("_block") == k)
+        out = predict(ridge(seen, features, label), new, features).withColumnRenamed("prediction", "ridge")
+        parts.append(predict(boosted(seen, features, label), out, features).withColumnRenamed("prediction", "boosted"))
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    model = ridge(both, ["ridge", "boosted"], label, 0.0)
+    return predict(model, both, ["ridge", "boosted"]).select("code", "dt", "ridge", "boosted", F.col("prediction").alias("stacked"))
+
+
+def adversarial_auc(a: DataFrame, b: DataFrame, features: list[str], trees: int = 20, seed: int = 7) -> float:
+    """How well a forest tells the rows of two tables apart (0.5: not at all), on a fifth of the rows held out by hash."""
+    both = a.select(*features, F.lit(0.0).alias("label")).unionByName(b.select(*features, F.lit(1.0).alias("label"))).dropna()
+    both = VectorAssembler(inputCols=features, outputCol="features").transform(both.withColumn("_h", F.pmod(F.xxhash64(*features), F.lit(5))))
+    model = RandomForestClassifier(numTrees=trees, maxDepth=4, seed=seed).fit(both.filter("_h > 0"))
+    return BinaryClassificationEvaluator().evaluate(model.transform(both.filter("_h = 0")))
