@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -122,21 +123,27 @@ class Crf:
         ids = [self.names[f] for f in word_features(word) if f in self.names]
         return self.tables[:, ids].sum(axis=1)
 
-    def decode(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Viterbi labels (n, t) of padded emissions (n, t, labels)."""
-        n, t, k = emissions.shape
-        best, back = emissions[:, 0].copy(), np.zeros((n, t, k), np.int8)
-        for i in range(1, t):
-            through = best[:, :, None] + self.moves
-            back[:, i] = through.argmax(axis=1)
-            step = np.take_along_axis(through, back[:, i][:, None, :].astype(np.intp), axis=1)[:, 0] + emissions[:, i]
-            best = np.where((i < lengths)[:, None], step, best)
+    def decode(self, blocks: Iterable[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+        """Viterbi labels (n, t) of padded sequences of ascending length, whose emissions come as consecutive blocks (n, block, labels)."""
+        n, t = len(lengths), int(lengths.max())
+        left = np.searchsorted(lengths, np.arange(t), side="right")  # sequences that have ended before each word
+        best, back, i = np.zeros((n, len(LABELS))), np.zeros((t, n, len(LABELS)), np.int8), 0
+        for block in blocks:
+            for e in block.swapaxes(0, 1):
+                k = left[i]
+                if i:
+                    through = best[k:, :, None] + self.moves
+                    back[i, k:] = through.argmax(axis=1)
+                    best[k:] = through.max(axis=1) + e[k:]
+                else:
+                    best[:] = e
+                i += 1
         out = np.zeros((n, t), np.int8)
-        state = best.argmax(axis=1)
+        state, rows = best.argmax(axis=1), np.arange(n)
         for i in range(t - 1, -1, -1):
-            inside = i < lengths
-            out[inside, i] = state[inside]
-            state = np.where(inside & (i > 0), back[np.arange(n), i, state], state)
+            k = left[i]
+            out[k:, i] = state[k:]
+            state[k:] = back[i, rows[k:], state[k:]]
         return out
 
 

@@ -2,7 +2,8 @@
 
 Words are runs without ASCII blanks. Whatever the field may add holds a *marked* word: one with a digit,
 @ or a sign between letters, or a spelled-out dot. A sequence to decode is a stretch of a line in
-which each word is at most ``CONTEXT`` words from a marked one, cut at ``LONGEST`` words.
+which each word is at most ``CONTEXT`` words from a marked one, however long: its emissions are read
+a block of words at a time, and the scores of the labels are carried from block to block.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-CONTEXT, LONGEST = 8, 512
+CONTEXT, CELLS = 8, 1_000_000  # CELLS: words of a batch of sequences, padding included (a longer one goes alone)
+BLOCK = 250_000  # words whose emissions are held at once
 #: Spelled-out signs of an address.
 DOTS = ["dot", "punto", "punkt", "point"]
 _AT = r"@|\bat\b|\barroba\b"
@@ -118,25 +120,19 @@ class Tagger:
         new[1:] = (np.diff(at) > 1) | (np.diff(line[at]) > 0)
         begin = np.flatnonzero(new)
         run = np.diff(np.append(begin, len(at)))
-        cut = [(b + i, min(LONGEST, n - i)) for b, n in zip(begin, run) for i in range(0, n, LONGEST)]
         used = np.unique(codes[at])
         place = np.zeros(len(names), np.intp)
         place[used] = np.arange(len(used))
         scores = np.stack([self.crf.scores(w.as_py()) for w in names.take(pa.array(used))])
-        starts, sizes = np.array([c[0] for c in cut]), np.array([c[1] for c in cut])
-        order = np.argsort(sizes, kind="stable")
+        word = place[codes[at]]
+        order = np.argsort(run, kind="stable")
         text_of = of_text[line[at]]
         first = np.searchsorted(of_text[line], np.arange(len(texts)))
         out: dict[int, list[tuple[int, int, str]]] = {}
-        for part in np.array_split(order, max(1, len(order) // 2000)):
-            t = int(sizes[part].max())
-            cell = starts[part][:, None] + np.arange(t)
-            inside = np.arange(t) < sizes[part][:, None]
-            s = scores[place[codes[at[np.minimum(cell, len(at) - 1)]]]] * inside[:, :, None, None]
-            e = s[:, :, 0].copy()
-            e[:, 1:] += s[:, :-1, 1]
-            e[:, :-1] += s[:, 1:, 2]
-            labels = self.crf.decode(e, sizes[part]) * inside
+        for part in _batches(order, run):
+            starts, sizes = begin[part], run[part]
+            labels = self.crf.decode(_emissions(scores, word, starts, sizes), sizes)
+            cell = starts[:, None] + np.arange(labels.shape[1])
             for i, j in zip(*np.nonzero(labels)):
                 w = at[cell[i, j]]
                 text, kind = int(text_of[cell[i, j]]), LABELS[labels[i, j]]
@@ -149,6 +145,30 @@ class Tagger:
         return out
 
 
+def _batches(order: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Sequences by ascending size, in batches of at most ``CELLS`` padded words or one sequence."""
+    i = 0
+    while i < len(order):
+        padded = sizes[order[i : i + 2000]] * np.arange(1, len(order[i : i + 2000]) + 1)
+        n = max(1, int(np.searchsorted(padded, CELLS, side="right")))
+        yield order[i : i + n]
+        i += n
+
+
+def _emissions(scores: np.ndarray, word: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """(n, block, labels) label scores of padded sequences, a block of words at a time."""
+    t, step = int(sizes.max()), max(1, BLOCK // len(sizes))
+    for at in range(0, t, step):
+        i = np.arange(at, min(t, at + step))
+        cell = starts[:, None] + i
+        inside = i < sizes[:, None]
+        e = np.zeros((*cell.shape, len(LABELS)))
+        e[inside] = scores[word[cell[inside]], 0]
+        for ok, which, d in ((inside & (i > 0), 1, -1), (i + 1 < sizes[:, None], 2, 1)):
+            e[ok] += scores[word[cell[ok] + d], which]
+        yield e
+
+
 def plausible(kind: str, text: str) -> bool:
     """Whether the field's span has what its kind needs, in digits or signs."""
     digits = "".join(_DIGIT.findall(text))

@@ -282,6 +282,27 @@ def test_pii_field_adds_spans():
     assert [k for _, _, k in spans[0]] == ["email"] and not spans[1] and [k for _, _, k in spans[2]] == ["card"]
 
 
+def test_pii_field_reads_long_lines_whole(monkeypatch):
+    tagger = pii.Tagger(crf.train())
+    filler, value = ["the", "of", "and", "was", "in", "12", "la", "que"], "mo.la at onti dot com"
+    texts = []
+    for at in (3, *range(500, 520), 1023, 1300):  # one line of 1,400 words, marked words throughout
+        words = [filler[i % 8] for i in range(1400)]
+        words[at] = f"write to {value} and"
+        texts.append(" ".join(words))
+
+    def found():
+        added = tagger.spans(pa.array(texts))
+        return [pii.all_spans(t, [], sorted(added.get(i, []))) for i, t in enumerate(texts)]
+
+    whole = found()
+    for t, spans in zip(texts, whole):
+        assert (t.index(value), t.index(value) + len(value), "email") in spans
+    monkeypatch.setattr(pii, "CELLS", 3000)
+    monkeypatch.setattr(pii, "BLOCK", 64)
+    assert found() == whole
+
+
 def held_out_accuracy(rows, labels, column):
     pairs = [(r.predicted, labels[r.doc_id][column]) for r in rows if r.held_out and r.doc_id in labels]
     return np.mean([p == y for p, y in pairs])
