@@ -1,12 +1,13 @@
 """Merge-type SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Encoding keeps an agenda of candidate merges, best score first, then leftmost. A candidate is a span
-(start, middle, end) of a word; before it is merged, a keyed hash of (seed, stream, word, span) decides
-whether it is skipped, so the same seed always gives the same segmentation and another seed another
-one. A document's stream is drawn from its id, which varies segmentations between documents too.
+(start, middle, end) of a word; before it is merged, a keyed hash of (seed, document, place of the word
+in the text, span) decides whether it is skipped. So the same seed always gives the same segmentation
+and another seed another one, and each occurrence of a word is cut by draws of its own.
 
-No piece crosses from a word to the next space, so words are encoded alone: the distinct new words of an
-Arrow batch in lockstep (``Pieces.segment_many``), long ones one by one with a heap (``Pieces.segment``).
+No piece crosses from a word to the next space, so words are encoded alone, each occurrence anew: in
+lockstep (``Pieces._lockstep``), long ones one by one with a heap (``Pieces.segment``). Only what is free
+of draws, the symbols of a distinct word and its first candidates, is shared by its occurrences.
 Characters without a piece become byte pieces; a literal U+2581 does too, so decoding is lossless.
 """
 
@@ -14,8 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +38,26 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _span(start, middle, end):
+    """One number for a candidate, whichever of the two ways segments its word."""
+    return (start << 12) + (middle << 6) + end if isinstance(end, np.ndarray) or end < 64 else (start << 40) + (middle << 20) + end
+
+
+def occurrence(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The key of each word by that of its document and its place in it."""
+    with np.errstate(over="ignore"):
+        return _mixed(key + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 class Pieces:
     """A model's pieces and merges, and the keyed choice of skipped ones."""
 
-    def __init__(self, path: str, dropout: float, seed: int, limit: int = 1_500_000):
+    def __init__(self, path: str, dropout: float, seed: int):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        self.size, self.seed, self.limit = n, seed, limit
+        self.size, self.seed = n, seed
         self.bar = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
         names = [model.id_to_piece(i) for i in range(n)]
         normal = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
@@ -77,7 +88,6 @@ class Pieces:
         self.text_size = np.array([len(t) for t in self.text], np.int64)
         self.text_start = np.cumsum(self.text_size) - self.text_size
         self.text_flat = np.frombuffer(b"".join(self.text), np.uint8)
-        self.memo: dict[int, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
 
     def _merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Piece of each pair, or -1."""
@@ -85,24 +95,25 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where((self.key[at] == key) & (a >= 0) & (b >= 0), self.whole[at], -1)
 
-    def _skipped(self, base: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _skipped(self, base: np.ndarray, span: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            x = base + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + middle.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + end.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
-        return _mixed(x) < self.bar
+            return _mixed(base + (span.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) < self.bar
 
-    def word_key(self, word: str, stream: int) -> int:
+    def keys(self, docs: list[int | None], texts: pa.Array) -> np.ndarray:
+        """A key of (seed, document) for each text; a text of no id is keyed by itself."""
         from xxhash import xxh64_intdigest
 
-        return xxh64_intdigest(word.encode(), (self.seed * 1_000_003 + stream) & (2**64 - 1))
+        seed = self.seed & (2**64 - 1)
+        return np.array([xxh64_intdigest(f"id {d}" if d is not None else f"text {texts[i].as_py()}", seed) for i, d in enumerate(docs)], np.uint64)
 
     def _symbols(self, word: str) -> list[int]:
         """Piece of each character of a word as written (spaces are word starts); -1 - code point where there is none."""
         return [int(self.start) if c == " " else (int(x) if (x := self.char[ord(c)]) >= 0 else -1 - ord(c)) for c in word]
 
-    def segment(self, word: str, stream: int = 0) -> list[int]:
-        """Ids of one word by a heap of candidates."""
+    def segment(self, word: str, key: int = 0) -> list[int]:
+        """Ids of one word by a heap of candidates, with the draws of ``key``."""
         sym = self._symbols(word)
-        n, base = len(sym), np.array([self.word_key(word, stream)], np.uint64)
+        n, base = len(sym), np.array([key], np.uint64)
         after, before, stop = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[int, int, int, int, int]] = []
 
@@ -110,7 +121,7 @@ class Pieces:
             j = after[i] if i >= 0 else n
             if j < n:
                 m = int(self._merged(np.array([sym[i]]), np.array([sym[j]]))[0])
-                if m >= 0 and not (self.bar and self._skipped(base, np.array([i]), np.array([j]), np.array([stop[j]]))[0]):
+                if m >= 0 and not (self.bar and self._skipped(base, np.array([_span(i, j, stop[j])]))[0]):
                     heapq.heappush(agenda, (-int(self.rank[m]), i, j, stop[j], m))
 
         for i in range(n - 1):
@@ -132,112 +143,107 @@ class Pieces:
             out += [s] if s >= 0 else self.byte[list(chr(-1 - s).encode("utf-8", "surrogatepass"))].tolist()
         return out
 
-    def segment_many(self, words: list[str], stream: int = 0) -> list[np.ndarray]:
+    def segment_many(self, words: list[str], keys: int | np.ndarray = 0) -> list[np.ndarray]:
         """``segment`` of each word, all words a step at a time."""
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
-        order = sorted((i for i, w in enumerate(words) if w), key=lambda i: len(words[i]))
-        for at in range(0, len(order), 20_000):
-            part = order[at : at + 20_000]
-            long = [i for i in part if len(words[i]) > LONG]
-            for i in long:
-                out[i] = np.array(self.segment(words[i], stream), np.int32)
-            part = part[: len(part) - len(long)]
-            if part:
-                for i, ids in zip(part, self._lockstep([words[i] for i in part], stream)):
-                    out[i] = ids
-        return out
+        ids, sizes = self._segments(words, np.arange(len(words)), np.broadcast_to(np.asarray(keys).astype(np.uint64), len(words)))
+        return np.split(ids, np.cumsum(sizes)[:-1])
 
-    def _lockstep(self, words: list[str], stream: int) -> list[np.ndarray]:
-        size = np.array([len(w) for w in words])
-        n, width = len(words), int(size.max())
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    def _segments(self, names: list[str], codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids, and how many they are, of each occurrence (a code of ``names`` and a key)."""
+        length = np.array([len(w) for w in names], np.int64)
+        points = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         flat = np.where(points == 32, self.start, self.char[points])
         flat = np.where(flat < 0, -1 - points, flat).astype(np.int32)
-        inside = np.arange(width) < size[:, None]
-        sym = np.full((n, width + 1), np.iinfo(np.int32).min, np.int32)
-        sym[:, :-1][inside] = flat
-        base = np.array([self.word_key(w, stream) for w in words], np.uint64)
-        begin = np.broadcast_to(np.arange(width + 1), sym.shape).copy()
-        begin[begin > size[:, None]] = width + 1
-        begin = np.concatenate([begin, np.full((n, 1), width + 1)], axis=1)
-        begin[np.arange(n), size] = size  # where the last symbol ends
-        merged = np.full(sym.shape, -1, np.int32)
-        rank = np.zeros(sym.shape, np.int32)
-
-        def score(r: np.ndarray, c: np.ndarray) -> None:
+        first = np.append(self._merged(flat[:-1], flat[1:]), -1).astype(np.int32) if len(flat) else flat  # across words too, masked below
+        start = np.cumsum(length) - length
+        size = length[codes]
+        order = np.argsort(size, kind="stable")
+        parts, counts, rows = [], [], []
+        short, long = order[np.searchsorted(size[order], 1) : (end := np.searchsorted(size[order], LONG, side="right"))], order[end:]
+        for at in range(0, len(short), 8192):
+            part = short[at : at + 8192]
+            for row, count, symbols in self._lockstep(flat, first, start[codes[part]], size[part], keys[part]):
+                rows.append(part[row]), counts.append(count), parts.append(symbols)
+        for i in long:
+            ids = np.array(self.segment(names[codes[i]], int(keys[i])), np.int32)
+            rows.append(np.array([i])), counts.append(np.array([len(ids)])), parts.append(ids)
+        if not parts:
+            return np.empty(0, np.int32), np.zeros(len(codes), np.int64)
+        row, count, symbols = np.concatenate(rows), np.concatenate(counts).astype(np.int64), np.concatenate(parts)
+        raw = symbols < 0
+        if raw.any():  # spelled in bytes
+            distinct, back = np.unique(symbols[raw], return_inverse=True)
+            spelled = [np.array(self._spelled([int(x)]), np.int32) for x in distinct]
+            width = np.ones(len(symbols), np.int64)
+            width[raw] = np.array([len(x) for x in spelled])[back]
+            count = np.add.reduceat(width, np.cumsum(count) - count)
+            symbols, raw = np.repeat(symbols, width), np.repeat(raw, width)
+            symbols[raw] = np.concatenate([spelled[k] for k in back])
+        sizes, place = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+        sizes[row], place[row] = count, np.cumsum(count) - count
+        ends = np.cumsum(sizes)
+        return symbols[np.repeat(place - ends + sizes, sizes) + np.arange(ends[-1])], sizes
+
+    def _lockstep(self, flat: np.ndarray, first: np.ndarray, start: np.ndarray, size: np.ndarray, base: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, symbols of each, the symbols) of words by ascending size, as they end; a word is a stretch of ``flat``."""
+        width = int(size.max())
+        columns = np.arange(width + 2, dtype=np.int32)
+        cell = np.minimum(start[:, None] + columns[:-1], len(flat) - 1)
+        sym = np.where(columns[:-1] < size[:, None], flat[cell], np.iinfo(np.int32).min)
+        merged = np.where(columns[:-1] < size[:, None] - 1, first[cell], -1)
+        begin = np.broadcast_to(columns, (len(size), width + 2)).copy()  # of each symbol, and where the last one ends
+        row, size = np.arange(len(size)), size.copy()
+        if self.bar:
+            r, c = np.nonzero(merged >= 0)
+            skip = self._skipped(base[r], _span(begin[r, c], begin[r, c + 1], begin[r, c + 2]))
+            merged[r[skip], c[skip]] = -1
+        rank = np.where(merged >= 0, self.rank[merged], 0)
+        while len(row):
+            every = np.arange(len(row))
+            best = rank.argmax(axis=1)
+            go = rank[every, best] > 0
+            if not go.all():
+                ended, count = sym[~go], size[~go]
+                yield row[~go], count, ended[np.arange(ended.shape[1]) < count[:, None]]
+                if not go.any():
+                    return
+                w = int(size[go].max()) + 1
+                sym, merged, rank, begin = sym[go, :w], merged[go, :w], rank[go, :w], begin[go, : w + 1]
+                row, size, base, best, every = row[go], size[go], base[go], best[go], np.arange(int(go.sum()))
+            sym[every, best] = merged[every, best]
+            after = columns[: begin.shape[1] - 1] > best[:, None]  # close the gap after the merged symbol
+            for a in (sym, merged, rank, begin):
+                np.copyto(a[:, :-1], a[:, 1:].copy(), where=after[:, : a.shape[1] - 1])
+            size -= 1
+            merged[every, best], rank[every, best] = -1, 0
+            right, left = np.flatnonzero(best + 1 < size), np.flatnonzero(best > 0)
+            r, c = np.concatenate([right, left]), np.concatenate([best[right], best[left] - 1])
             m = self._merged(sym[r, c], sym[r, c + 1])
             if self.bar:
-                m = np.where(self._skipped(base[r], begin[r, c], begin[r, c + 1], begin[r, c + 2]), -1, m)
+                k = np.flatnonzero(m >= 0)
+                skip = self._skipped(base[r[k]], _span(begin[r[k], c[k]], begin[r[k], c[k] + 1], begin[r[k], c[k] + 2]))
+                m[k[skip]] = -1
             merged[r, c], rank[r, c] = m, np.where(m >= 0, self.rank[m], 0)
 
-        score(*np.nonzero(np.arange(width) < size[:, None] - 1))
-        live, columns = np.arange(n), np.arange(width + 1)
-        while True:
-            best = rank[live].argmax(axis=1)
-            go = rank[live, best] > 0
-            live, best = live[go], best[go]
-            if not len(live):
-                break
-            sym[live, best] = merged[live, best]
-            shift = columns[None, :] + (columns[None, :] > best[:, None])  # close the gap after the merged symbol
-            shift[:, -1] = np.minimum(shift[:, -1], width)
-            rows = live[:, None]
-            for a, empty in ((sym, np.iinfo(np.int32).min), (merged, -1), (rank, 0)):
-                moved = a[rows, np.minimum(shift, width)]
-                moved[:, -1] = empty
-                a[live] = moved
-            shift = np.arange(width + 2)[None, :] + (np.arange(width + 2)[None, :] > best[:, None])
-            moved = begin[rows, np.minimum(shift, width + 1)]
-            moved[:, -1] = width + 1
-            begin[live] = moved
-            merged[live, best], rank[live, best] = -1, 0
-            size[live] -= 1
-            ok = best + 1 < size[live]
-            score(live[ok], best[ok])
-            ok = best > 0
-            score(live[ok], best[ok] - 1)
-        return [s[:k] if s[:k].min() >= 0 else np.array(self._spelled(s[:k].tolist()), np.int32) for s, k in zip(sym, size)]
-
-    def _words(self, words: pa.Array, stream: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places of ``words``, starts, flat ids): what the stream remembers of each distinct word."""
-        known, starts, flat = self.memo.get(stream, (pa.array([], pa.string()), np.zeros(1, np.int64), np.empty(0, np.int32)))
-        found = pc.index_in(words, value_set=known)
-        new = words.filter(pc.is_null(found))
-        at = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(new):
-            parts = self.segment_many([" " + w for w in new.to_pylist()], stream)
-            at[at < 0] = len(known) + np.arange(len(new))
-            known = pa.concat_arrays([known, new])
-            flat = np.concatenate([flat, *parts])
-            starts = np.concatenate([starts, starts[-1] + np.cumsum([len(p) for p in parts])])
-        if len(known) > self.limit:
-            self.memo.pop(stream, None)
-        else:
-            self.memo[stream] = (known, starts, flat)
-        return at, starts, flat
-
-    def encode(self, texts: pa.Array, stream: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and each text's bounds. A text reads as if a space stood before it (an empty one has no ids)."""
+        keys = np.zeros(len(texts), np.uint64) if keys is None else keys
         spaced = pc.match_substring_regex(texts, "^$|^ |  | $").to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.if_else(pa.array(spaced), "", texts), " ")
-        words = lists.flatten().dictionary_encode()
-        at, starts, flat = self._words(words.dictionary, stream)
-        codes = at[words.indices.to_numpy()]
-        bounds = lists.offsets.to_numpy().astype(np.int64)
-        sizes = (starts[1:] - starts[:-1])[codes]
-        sizes[bounds[:-1][spaced]] = 0  # their one empty word
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = flat[np.repeat(starts[codes] - ends[:-1], sizes) + np.arange(ends[-1])]
-        offsets = ends[bounds]
-        if spaced.any():  # runs of spaces belong to the word after them
-            parts = np.split(ids, offsets[1:-1])
+        flat, bounds = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        if spaced.any():  # runs of spaces belong to the word after them; one space is read before every word
+            parts, at, size = [], 0, np.diff(bounds)
             for i in np.flatnonzero(spaced):
-                t = texts[int(i)].as_py()
-                chunks = re.findall(" +[^ ]*", " " + t) if t else []
-                own = self.segment_many(chunks, stream)
-                parts[i] = np.concatenate(own) if own else np.empty(0, np.int32)
-            ids, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        return ids, offsets
+                own = [w[1:] for w in re.findall(" +[^ ]*", " " + texts[int(i)].as_py())] if len(texts[int(i)].as_py()) else []
+                parts += [flat[at : bounds[i]], pa.array(own, pa.string())]
+                at, size[i] = bounds[i] + 1, len(own)  # past its one empty word
+            flat, bounds = pa.concat_arrays([*parts, flat[at:]]), np.concatenate([[0], np.cumsum(size)])
+        words = flat.dictionary_encode()
+        codes, names = words.indices.to_numpy(), words.dictionary
+        place = np.arange(len(codes)) - np.repeat(bounds[:-1], np.diff(bounds))
+        base = occurrence(np.repeat(keys, np.diff(bounds)), place)
+        ids, sizes = self._segments([" " + w for w in names.to_pylist()], codes, base)
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[bounds]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text's UTF-8 (of one text's ids, without the space that stood before it)."""
@@ -258,10 +264,10 @@ def worker_pieces(path: str, dropout: float, seed: int) -> Pieces:
     return _held[key]
 
 
-def encode_pieces(docs: DataFrame, dropout: float = 0.1, seed: int = 1, streams: int = 2, path: str | None = None) -> DataFrame:
+def encode_pieces(docs: DataFrame, dropout: float = 0.1, seed: int = 1, path: str | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_pieces, ids (little-endian signed 32 bit), decoded (the text that the ids give).
 
-    Null text is empty and has no ids. Repeated rows have equal rows; a null id is of stream 0. An
+    Null text is empty and has no ids. Repeated rows have equal rows; a text of a null id is keyed by itself. An
     empty table gives an empty result; other columns are not read. With ``dropout`` 0 the ids are the
     library's own (but for a literal U+2581).
     """
@@ -270,19 +276,14 @@ def encode_pieces(docs: DataFrame, dropout: float = 0.1, seed: int = 1, streams:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = worker_pieces(path, dropout, seed)
         for whole in batches:
-            for b in slices(whole, "text"):
-                stream = np.array([zlib.crc32(str(i).encode()) % streams if i is not None else 0 for i in b.column("doc_id").to_pylist()])
-                for s in range(streams):
-                    part = b.filter(pa.array(stream == s))
-                    if not part.num_rows:
-                        continue
-                    texts = part.column("text").fill_null("")
-                    ids, offsets = model.encode(texts, s)
-                    rows = [ids[a:z] for a, z in zip(offsets, offsets[1:])]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), pc.binary_length(texts).cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array([r.astype("<i4").tobytes() for r in rows], pa.binary()), pa.array([model.decode(r).decode() for r in rows], pa.string())],
-                        ["doc_id", "n_bytes", "n_pieces", "ids", "decoded"],
-                    )
+            for b in slices(whole, "text", 4_000_000):
+                texts = b.column("text").fill_null("")
+                ids, offsets = model.encode(texts, model.keys(b.column("doc_id").to_pylist(), texts))
+                rows = [ids[a:z] for a, z in zip(offsets, offsets[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), pc.binary_length(texts).cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array([r.astype("<i4").tobytes() for r in rows], pa.binary()), pa.array([model.decode(r).decode() for r in rows], pa.string())],
+                    ["doc_id", "n_bytes", "n_pieces", "ids", "decoded"],
+                )
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, ids binary, decoded string")

@@ -110,6 +110,29 @@ def test_agenda_in_lockstep_equals_the_heap():
     assert [x.tolist() for x in model.segment_many(words, 1)] == [model.segment(w, 1) if w else [] for w in words]
 
 
+def test_every_occurrence_draws_its_own_skips(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = ["internationalisation", "unbelievable", "the", "straße", "a▁b", "x" * 60, "line\nbreak", "ab" * 20]
+    texts = [" ".join(rng.choice(vocabulary, 60)) for _ in range(5)] + ["", " the  the unbelievable ", " "]
+    model = sentencepiece_dropout.Pieces(token_counts.tokenizer_path("piece_bpe_32k.model"), 0.3, 5)
+    keys = model.keys([*range(7), None], pa.array(texts))
+    for _ in range(2):  # the second time from memory
+        ids, bounds = model.encode(pa.array(texts), keys)
+        for t, key, a, z in zip(texts, keys, bounds, bounds[1:]):
+            chunks = re.findall(" +[^ ]*", " " + t) if t else []
+            base = sentencepiece_dropout.occurrence(np.repeat(key, len(chunks)), np.arange(len(chunks)))
+            assert ids[a:z].tolist() == [x for w, k in zip(chunks, base) for x in model.segment(w, int(k))]
+    docs = spark.createDataFrame([(i, "internationalisation " * 200) for i in range(2)], "doc_id long, text string")
+    for r in sentencepiece_dropout.encode_pieces(docs, 0.2, 1).collect():
+        forms, form = set(), []
+        for i in np.frombuffer(r.ids, "<i4"):
+            if model.text[i][:1] == b" ":
+                forms.add(tuple(form))
+                form = []
+            form.append(int(i))
+        assert len(forms) > 10
+
+
 def test_media(docs, rows, empty):
     got = QUERY_MEDIA(docs)
     for r in got:
