@@ -69,14 +69,27 @@ def nav(weights: DataFrame, returns: DataFrame, label: str = "fwd_1") -> DataFra
     return daily.withColumn("nav", F.exp(F.sum(F.log1p("ret")).over(W.orderBy("dt").rowsBetween(W.unboundedPreceding, 0))))  # one row a date
 
 
+def fold_rows(df: DataFrame, configs: DataFrame) -> DataFrame:
+    """The rows that a fold of each configuration (config_id, n) can trade or value, and the first of each date.
+
+    A held name that leaves the first n is sold at its next row, so only rows within n and those right
+    after such a row of the same code count: at most 2 n + 1 a date, however many codes there are
+    (more only where codes miss dates).
+    """
+    before = F.lag("rank").over(W.partitionBy("code").orderBy("dt"))
+    first = F.row_number().over(date().orderBy(F.col("rank").asc_nulls_last(), "code")) == 1
+    rows = df.select("dt", "code", "close", "rank", before.alias("_before"), first.alias("_first")).crossJoin(F.broadcast(configs))
+    return rows.filter((F.col("rank") <= F.col("n")) | (F.col("_before") <= F.col("n")) | F.col("_first")).drop("_before", "_first")
+
+
 def simulate(df: DataFrame, configs: DataFrame, lot: int = 100, cash: float = 1e6) -> DataFrame:
     """config_id, dt, nav, cash, positions of a T+1 fold for each configuration (config_id, n).
 
     On each date the held names outside the first n are sold, then names within it are bought with
     equal shares of the value, in lots, as far as cash goes; bought shares are sold a date later at
-    the earliest. Configurations run side by side; one fold holds one row a date and name within n of the largest.
+    the earliest. Configurations run side by side; one fold holds the rows of ``fold_rows``.
     """
-    rows = df.select("dt", "code", "close", "rank").crossJoin(F.broadcast(configs))  # a configuration each
+    rows = fold_rows(df, configs)  # a configuration each
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         n = int(part["n"].iloc[0])
