@@ -25,6 +25,8 @@ from .token_counts import slices, tokenizer_path, worker_tokenizer
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 COLUMNS = [x.split()[0] for x in PIECE.split(", ")]
+#: Characters from which a text's ids come from overlapping chunks.
+HUGE = 65_536
 #: Sequences of merged leftovers are numbered from here.
 MERGED = 1 << 52
 Piece = tuple[int | None, int, np.ndarray, int]  # doc_id, start, ids, doc_tokens
@@ -120,7 +122,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: int
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, task = worker_tokenizer(path), TaskContext.get().partitionId()
+        tok, task = worker_tokenizer(path, chunk=HUGE), TaskContext.get().partitionId()
         windows, first = Windows(size, open_windows, min_cut), task << 24
 
         def out(sequences: list[list[Piece]], leftover: bool) -> pa.RecordBatch:

@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -82,10 +84,40 @@ def test_token_counts(docs, rows, empty):
 
 def test_overlap_is_widened():
     tok = token_counts.WordTokenizer(token_counts.tokenizer_path(), chunk=300, overlap=8)
-    for text in ("x" * 2000 + " a b " * 100, "a1" * 700, " " * 900 + "word " * 300, "don't " * 400):
+    for text in ("x" * 2000 + " a b " * 100, "a1" * 700, " " * 900 + "word " * 300, "don't " * 400, "'" * 500 + "s" * 500):
         assert tok.encode_long(text).tolist() == tok.full.encode(text, add_special_tokens=False).ids
 
 
+def test_splices_equal_the_library_on_mixed_scripts():
+    r = random.Random(8)
+    tok = token_counts.WordTokenizer(token_counts.tokenizer_path())
+    pools = ["日本語漢字仮名交じり文", "abcdeeetttaaoin", "0123456789", "'!?.,;-–…", "ΟΔΟΣσςаялюбовьЖ", "éé\u0301\u0308ñ각힣ᄀ\u1161가", "😀🎉𝒳", "   \n\t", "ﬁﬃ½ǅİıß", "'s't're've'm'll'd"]
+    for _ in range(400):
+        tok.chunk, tok.overlap = r.choice([40, 100, 300]), r.choice([4, 8, 32])
+        pool = "".join(r.choice(pools) for _ in range(r.randint(1, 4)))
+        text = "".join("<|endoftext|>" if r.random() < 0.01 else r.choice(pool) for _ in range(r.randint(50, 1200)))
+        assert tok.encode_long(text).tolist() == tok.full.encode(text, add_special_tokens=False).ids, text
+
+
+def test_huge_texts_without_blanks_take_linear_time():
+    r = random.Random(9)
+    tok = token_counts.WordTokenizer(token_counts.tokenizer_path())
+    for chars in ("日本語漢字仮名交文章力学大小中国人間", "7", "a", "ABCDEFGHabcdefgh0123456789+/"):
+        text = "".join(r.choice(chars) for _ in range(300_000))
+        began = time.process_time()
+        want = tok.full.encode(text, add_special_tokens=False).ids
+        library = time.process_time() - began
+        assert tok.encode_long(text).tolist() == want
+        assert time.process_time() - began < 6 * library + 5
+
+
+def test_forgotten_words_are_encoded_again():
+    small, large = (token_counts.WordTokenizer(token_counts.tokenizer_path(), limit=n) for n in (3, 1000))
+    for text in ("one two three four", "two Five, six!! don't", "one é́ x1 four"):
+        (a, i), (b, j) = small.encode(pa.array([text, None])), large.encode(pa.array([text, None]))
+        assert a.tolist() == b.tolist() == large.full.encode(text, add_special_tokens=False).ids and i.tolist() == j.tolist()
+
+
 def test_pieces(docs, rows, empty):
     import sentencepiece
 
