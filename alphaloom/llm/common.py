@@ -30,10 +30,12 @@ def ascii_lower(col: Column) -> Column:
 def shared_root(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is unset (tests on one machine) a temporary folder stands in.
+    Only in local mode (tests on one machine) may it be unset: a temporary folder stands in.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="alphaloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/alphaloom-{spark.sparkContext.applicationId}"
@@ -79,6 +81,26 @@ class Written:
         _delete(self.spark, self.path)
 
 
+def kept_rows(docs: DataFrame, digest: Column, verdicts: DataFrame, label: str) -> DataFrame:
+    """The rows of ``docs`` that ``verdicts`` (doc_id, digest, kept; one for each row) keeps, with all columns.
+
+    Rows are told apart by doc_id (null too) and ``digest`` of their text, so a row that repeats an id
+    with another text has a verdict of its own; of kept rows with equal id and digest one stays.
+    """
+    key = ["i", "d"]
+    odd = verdicts.groupBy(F.col("doc_id").alias("gi"), F.col("digest").alias("gd")).agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    odd = Written(odd.filter("not kept or n > 1"), label).df
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("i"), digest.alias("d"))
+    same = F.col("i").eqNullSafe(F.col("gi")) & (F.col("d") == F.col("gd"))
+    again = odd.filter("kept")
+    if again.isEmpty():
+        out = rows.join(odd, same, "left_anti")
+    else:
+        first = rows.join(again, same, "left_semi").groupBy(*key).agg(F.max_by("row", F.to_json("row")).alias("row"))
+        out = rows.join(odd, same, "left_anti").select("row").unionByName(first.select("row"))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` over batches, after which freed memory returns to the system.
 

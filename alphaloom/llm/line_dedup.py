@@ -13,7 +13,7 @@ shuffled; texts are shuffled once, to meet the positions of their dropped lines.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,12 +77,17 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def _body() -> Column:
+    """Tells apart rows that repeat a doc_id with another text."""
+    return F.xxhash64(text_of("text"))
+
+
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, pos, h1, h2) of each line whose key has ``min_chars`` code points; docs: doc_id, text."""
-    lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split(text_of("text"), "\n", -1)).alias("pos", "line"))
+    """(doc_id, body, pos, h1, h2) of each line whose key has ``min_chars`` code points; docs: doc_id, text. ``body`` is a hash of the text."""
+    lines = docs.filter("doc_id is not null").select("doc_id", _body().alias("body"), F.posexplode(F.split(text_of("text"), "\n", -1)).alias("pos", "line"))
     key = ascii_lower(F.btrim("line", F.lit(BLANKS)))
-    lines = lines.select("doc_id", "pos", key.alias("key")).filter(F.char_length("key") >= min_chars)
-    return lines.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    lines = lines.select("doc_id", "body", "pos", key.alias("key")).filter(F.char_length("key") >= min_chars)
+    return lines.select("doc_id", "body", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -91,7 +96,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     A text splits at ``\\n``; null or empty is one empty line. A line's key is the line without
     blanks at its ends, A-Z lower-cased. Keys of ``min_chars`` code points or more that two
     documents hold lose all lines except in the smallest doc_id. Rows that repeat a doc_id are one
-    document. Rows of a null doc_id own no line and lose none. An empty table gives an empty
+    document, whatever their texts, and each loses the lines that a smaller doc_id holds. Rows of a null doc_id own no line and lose none. An empty table gives an empty
     result; other columns are not read. ``batches`` is how many doc_id ranges are entered one
     after another: the result is the same for any number.
     """
@@ -109,10 +114,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     gone = (
         hashes.df.join(index.entries(), HASH)
         .filter("owner < doc_id")
-        .groupBy(F.col("doc_id").alias("gone_id"))
+        .groupBy(F.col("doc_id").alias("gone_id"), F.col("body").alias("gone_body"))
         .agg(F.collect_set("pos").alias("gone"))
     )
-    both = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left")
+    both = docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & (_body() == F.col("gone_body")), "left")
     text = text_of("text")
     return both.select(
         "doc_id",

@@ -14,10 +14,10 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, giving_back
+from .common import Written, giving_back, kept_rows, text_of
 from .components import component_roots
 from .hamming_index import routing_masks, spanning_links
 
@@ -46,16 +46,22 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> bytes:
     return np.packbits(2 * ones > n).tobytes()
 
 
+def _body() -> Column:
+    """Tells apart rows that repeat a doc_id with another text."""
+    return F.xxhash64(text_of("text"))
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, body (a hash of the text), fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").fill_null("").cast(pa.binary())
             bits = b"".join(fingerprint(t.as_py(), words) for t in texts)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.frombuffer(bits, ">i8").astype(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("body"), pa.array(np.frombuffer(bits, ">i8").astype(np.int64))], ["doc_id", "body", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(giving_back(run), "doc_id long, fp long")
+    docs = docs.select(F.col("doc_id").cast("long"), _body().alias("body"), F.col("text").cast("string"))
+    return docs.mapInArrow(giving_back(run), "doc_id long, body long, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -105,6 +111,18 @@ def links(nodes: DataFrame, k: int, bucket_rows: int = 2048) -> DataFrame:
     return routed.repartition(*place).sortWithinPartitions(*place).mapInArrow(giving_back(run), "a long, b long")
 
 
+def _grouped(docs: DataFrame, words: int, k: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, body, fp, and the first row (id, body) of its component."""
+    fps = Written(fingerprints(docs, words), "simhash").df
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("body").alias("body")))
+    nodes = Written(fps.groupBy("fp").agg(first.alias("first")), "simhash-nodes").df
+    stars = component_roots(links(nodes.select("fp"), k), "simhash-edges")
+    rooted = nodes.join(stars, nodes["fp"] == stars["u"], "left").select("fp", "first", F.coalesce("v", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    component = rooted.join(least, "root").select("fp", F.col("least.id").alias("least_id"), F.col("least.body").alias("least_body"))
+    return fps.join(component, "fp")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, k: int = 4) -> DataFrame:
     """Per row of ``docs``: doc_id, fp, component_id (the smallest doc_id reachable over links of at most k bits).
 
@@ -115,20 +133,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, k: int = 4) -> DataFrame:
     smallest, except where all ids are null (component_id null). Empty tables give empty results;
     other columns are not read.
     """
-    fps = Written(fingerprints(docs, words), "simhash").df
-    nodes = Written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes").df
-    stars = component_roots(links(nodes.select("fp"), k), "simhash-edges")
-    rooted = nodes.join(stars, nodes["fp"] == stars["u"], "left").select("fp", "first_id", F.coalesce("v", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(component, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, words, k).select("doc_id", "fp", F.col("least_id").alias("component_id"))
 
 
 def fingerprint_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are their group's smallest doc_id, with all columns (rows of a null id stay)."""
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+def keep_first(docs: DataFrame, words: int = 4, k: int = 4) -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns: that of the smallest doc_id (null last; of several texts under it one)."""
+    best = F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("body") == F.col("least_body"))
+    verdicts = _grouped(docs, words, k).select("doc_id", F.col("body").alias("digest"), best.alias("kept"))
+    return kept_rows(docs, _body(), verdicts, "simhash-odd")

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from alphaloom.llm import crf, exact_dedup, features, flac, hamming_index, line_dedup, media, packing, pii, quality_fm, sentencepiece_dropout, simhash, token_counts, toxicity
+from alphaloom.llm import components, crf, exact_dedup, features, flac, hamming_index, line_dedup, media, packing, pii, quality_fm, sentencepiece_dropout, simhash, token_counts, toxicity
 from alphaloom.llm.queries import QUERIES
 
 BLANKS = "[\x20\x09-\x0d]"
@@ -61,6 +61,35 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+#: Ids repeated with other texts, beside copies.
+REPEATED = [(7, "hello world aaa one"), (7, "first unique line zz"), (1, "hello world aaa one"), (9, "same text of nine"), (9, "same text of nine"), (9, "sametext of nine"), (None, "lonely"), (None, "lonely"), (3, "hello  world aaa one"), (None, "same text of nine"), (7, None), (7, "")]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    return spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(REPEATED)], "doc_id long, text string, row int").repartition(3)
+
+
+def test_repeated_ids_lose_only_their_copies(repeated):
+    lines = by_row(line_dedup.dedup_lines(repeated, batches=2), "doc_id", "n_dropped", "kept_text")
+    assert (7, 1, "") in lines and (7, 0, "first unique line zz") in lines and (1, 0, "hello world aaa one") in lines and lines.count((9, 0, "same text of nine")) == 2
+    exact = by_row(exact_dedup.keep_exact(repeated), "doc_id", "text")
+    assert exact == sorted([(3, "hello  world aaa one"), (7, "first unique line zz"), (9, "same text of nine"), (None, "lonely"), (7, next(t for i, t in exact if i == 7 and not t))], key=repr)
+    near = by_row(simhash.keep_first(repeated), "doc_id", "text")
+    groups = {}
+    for i, t in REPEATED:
+        groups.setdefault(brute_fingerprint(t), set()).add((i is None, i or 0, i))
+    assert sorted((min(g)[2] for g in groups.values()), key=repr) == sorted((i for i, _ in near), key=repr) and (7, "first unique line zz") in near
+    assert exact_dedup.keep_exact(repeated).columns == simhash.keep_first(repeated).columns == repeated.columns
+
+
+def test_components_with_hubs(spark):
+    edges = [(0, i) for i in range(1, 900)] + [(i, i + 1) for i in range(2000, 2040)] + [(5000, i) for i in range(4000, 4900)] + [(4500, 2010), (7, 7)]
+    got = {r.u: r.v for r in components.component_roots(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {i: 0 for i in range(1, 900)} | {i: 2000 for i in [*range(2001, 2041), *range(4000, 4900), 5000]}
+    assert got == want
+
+
 def test_line_runs_hold_each_hash_once(spark, docs):
     index = line_dedup.LineRuns(spark, fanout=2)
     lines = line_dedup.line_hashes(docs.select("doc_id", "text"), 10)
