@@ -1,13 +1,14 @@
 """Personal data in whole texts: four exact patterns, and spans that a conditional random field adds.
 
 Words are runs without ASCII blanks. Whatever the field may add holds a *marked* word: one with a digit,
-@ or a sign between letters, or a spelled-out dot. A sequence to decode is a stretch of a line in
-which each word is at most ``CONTEXT`` words from a marked one, however long: its emissions are read
-a block of words at a time, and the scores of the labels are carried from block to block.
+@ or a sign between letters, or a spelled-out dot. So lines without one are not decoded; any other is
+decoded whole, however long: its emissions are read a block of words at a time, and the scores of the
+labels are carried from block to block. Words of equal shape have equal features and are scored once.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -19,16 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import giving_back
-from .crf import KINDS, LABELS, Crf, train
+from .crf import KINDS, LABELS, LEXICON, Crf, train
 from .token_counts import slices
 
 #: The base patterns (fixed values).
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+#: IP from the start of a run of digits: where that fails, no later start in the run can match.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-CONTEXT, CELLS = 8, 1_000_000  # CELLS: words of a batch of sequences, padding included (a longer one goes alone)
+CELLS = 1_000_000  # words of a batch of lines, padding included (a longer one goes alone)
 BLOCK = 250_000  # words whose emissions are held at once
 #: Spelled-out signs of an address.
 DOTS = ["dot", "punto", "punkt", "point"]
@@ -49,23 +54,23 @@ def luhn(digits: str) -> bool:
 
 
 def _emails(text: str) -> Iterator[Span]:
-    """Matches lie between blanks, so only stretches with an @ are searched."""
-    at = text.find("@")
+    """The matches of ``EMAIL``, found from each @ in one pass: the longest local part before it, then the domain."""
+    free, at = 0, text.find("@")
     while at >= 0:
-        start = at
-        while start and text[start - 1] not in " \t\n\x0b\x0c\r":
-            start -= 1
-        m = _WORD.match(text, start)
-        for e in EMAIL.finditer(text, start, m.end()):
-            yield e.start(), e.end(), "email"
-        at = text.find("@", m.end())
+        low = max(free, text.rfind("@", 0, at) + 1)
+        start = low + len(text[low:at].rstrip(_LOCAL))
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            free = domain.end()
+            yield start, free, "email"
+        at = text.find("@", at + 1)
 
 
 def base_spans(text: str) -> list[Span]:
     """The spans of the four patterns, by start, then kind as listed."""
     out = list(_emails(text)) if "@" in text else []
     if _DIGIT.search(text):
-        for m in IP.finditer(text):
+        for m in _IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
                 out.append((m.start(), m.end(), "ip"))
         for m in CARD.finditer(text):
@@ -88,7 +93,24 @@ class Tagger:
 
     def __init__(self, crf: Crf):
         self.crf = crf
-        self.dots = pa.array(DOTS)
+        self.dots, self.lexicon = pa.array(DOTS), pa.array(sorted(LEXICON))
+        self.known: dict[str, np.ndarray] = {}  # scores by shape
+
+    def _scores(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(shapes, 3, labels) scores, and the shape of each of the names: runs of letters as one, digits all 0, or the word itself where its letters count."""
+        shape = names
+        for pattern, to in (("[A-Z]+", "\x01"), (r"[\pL\p{Nl}\p{No}]+", "x"), ("\x01", "X"), ("[0-9]", "0")):
+            shape = pc.replace_substring_regex(shape, pattern, to)
+        core = pc.ascii_lower(pc.utf8_trim(names, ".,;:!?()[]\"'"))
+        own = pc.or_(pc.is_in(core, value_set=self.lexicon), pc.match_substring(names, "\x01"))
+        shape = pc.if_else(own, names, shape).dictionary_encode()
+        distinct = shape.dictionary.to_pylist()
+        if len(self.known) > 100_000:
+            self.known.clear()
+        for w in distinct:
+            if w not in self.known:
+                self.known[w] = self.crf.scores(w)
+        return np.stack([self.known[w] for w in distinct]), shape.indices.to_numpy()
 
     def spans(self, texts: pa.Array) -> dict[int, list[tuple[int, int, str]]]:
         """Of each text with any: (first word, last word + 1, kind), words counted through the text."""
@@ -107,24 +129,14 @@ class Tagger:
         marked = special[codes]
         if not marked.any():
             return {}
-        # words with a marked one at most CONTEXT words off in their line
-        near = np.zeros(len(codes), bool)
-        where = np.flatnonzero(marked)
-        for d in range(-CONTEXT, CONTEXT + 1):
-            j = where + d
-            ok = (j >= 0) & (j < len(codes))
-            ok[ok] &= line[j[ok]] == line[where[ok]]
-            near[j[ok]] = True
-        at = np.flatnonzero(near)
-        new = np.ones(len(at), bool)
-        new[1:] = (np.diff(at) > 1) | (np.diff(line[at]) > 0)
-        begin = np.flatnonzero(new)
+        decoded = np.zeros(len(size), bool)
+        decoded[line[marked]] = True
+        at = np.flatnonzero(decoded[line])
+        begin = np.flatnonzero(np.diff(line[at], prepend=-1) > 0)
         run = np.diff(np.append(begin, len(at)))
-        used = np.unique(codes[at])
-        place = np.zeros(len(names), np.intp)
-        place[used] = np.arange(len(used))
-        scores = np.stack([self.crf.scores(w.as_py()) for w in names.take(pa.array(used))])
-        word = place[codes[at]]
+        used, place = np.unique(codes[at], return_inverse=True)
+        scores, shape = self._scores(names.take(pa.array(used)))
+        word = shape[place]
         order = np.argsort(run, kind="stable")
         text_of = of_text[line[at]]
         first = np.searchsorted(of_text[line], np.arange(len(texts)))
@@ -138,7 +150,7 @@ class Tagger:
                 text, kind = int(text_of[cell[i, j]]), LABELS[labels[i, j]]
                 w -= first[text]
                 mine = out.setdefault(text, [])
-                if kind[0] == "I" and mine and mine[-1][1] == w and mine[-1][2] == kind[2:]:
+                if kind[0] == "I" and j and mine and mine[-1][1] == w and mine[-1][2] == kind[2:]:
                     mine[-1] = (mine[-1][0], int(w) + 1, kind[2:])
                 else:
                     mine.append((int(w), int(w) + 1, kind[2:]))
@@ -183,17 +195,24 @@ def plausible(kind: str, text: str) -> bool:
 
 
 def all_spans(text: str, base: list[Span], words: list[tuple[int, int, str]]) -> list[Span]:
-    """The base spans and those of the field's that overlap none of them, without punctuation at their ends."""
+    """The base spans and those of the field's that overlap none of them, without punctuation at their ends; ``words`` by place."""
     out = list(base)
     if words:
         places = [m.span() for m in _WORD.finditer(text)]
+        starts, ends = [], []  # of the stretches that base spans cover
+        for a, z, _ in base:
+            if ends and a < ends[-1]:
+                ends[-1] = max(ends[-1], z)
+            else:
+                starts.append(a), ends.append(z)
         for a, z, kind in words:
             start, end = places[a][0], places[z - 1][1]
             while start < end and text[start] in ".,;:!?\"'*&#$%|":
                 start += 1
             while end > start and text[end - 1] in ".,;:!?\"'*&#$%|":
                 end -= 1
-            if plausible(kind, text[start:end]) and not any(s < end and start < e for s, e, _ in out):
+            i = bisect.bisect_left(starts, end)  # stretches that begin before its end
+            if (not i or ends[i - 1] <= start) and plausible(kind, text[start:end]):
                 out.append((start, end, kind))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -217,7 +236,7 @@ def find_pii(docs: DataFrame, crf: Crf | None = None, mask: bool = False) -> Dat
         if not held:
             held.append(Tagger(crf))
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 16_000_000):
                 texts = b.column("text").fill_null("")
                 added = held[0].spans(texts)
                 out: list[list] = [[] for _ in range(7)]
