@@ -60,10 +60,14 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``most`` labelled documents outside the held-out fold, chosen by hash of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int, extra: list[Column] | None = None) -> DataFrame:
+    """(doc_id, text, y, extra columns) of at most ``most`` labelled documents outside the held-out fold, chosen by hash of the id.
+
+    One row for each id: of rows that repeat one, the greatest.
+    """
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).alias("y")).filter("doc_id is not null and y is not null")
     known = known.filter(fold(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows of two numbers
+    row = F.struct(F.col("text").cast("string").alias("text"), *(extra or []))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row")).join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows of two numbers
+    return found.groupBy("doc_id").agg(F.max("y").alias("y"), F.max("row").alias("row")).select("doc_id", "y", "row.*")
