@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from itertools import accumulate
 from dataclasses import dataclass
 
 import numpy as np
@@ -362,54 +363,92 @@ def decode_frames(data: np.ndarray, start: np.ndarray, sizes: np.ndarray, bits:
     return samples, end
 
 
-def decode_streams(media: list[bytes]) -> list[Decoded]:
-    """The streams' samples; ValueError where a checksum or the structure is wrong."""
+def _head(m: bytes) -> tuple[int, int, bytes]:
+    """Samples, where the first frame begins, and the MD5 of a stream."""
+    if len(m) < 42 or m[:4] != MAGIC or m[4] & 0x7F:
+        raise ValueError("no FLAC stream")
+    total = int.from_bytes(m[18:26], "big") & (1 << 36) - 1
+    if int.from_bytes(m[18:26], "big") >> 36 & 0xFF != 7:
+        raise ValueError("only mono streams of 8-bit samples are read")
+    first, last = 4, False
+    while not last:
+        if first + 4 > len(m):
+            raise ValueError("no FLAC stream")
+        last, first = bool(m[first] & 0x80), first + 4 + int.from_bytes(m[first + 1 : first + 4], "big")
+    return total, first, m[26:42]
+
+
+def _decoded(parts: list[np.ndarray], starts: list[int], md5: bytes) -> Decoded | None:
+    signed = b"".join(x.astype(np.int8).tobytes() for x in parts)
+    if any(md5) and hashlib.md5(signed).digest() != md5:
+        return None
+    sizes = [len(x) for x in parts]
+    return Decoded((np.frombuffer(signed, np.uint8) ^ 0x80).tobytes(), list(zip(accumulate(sizes, initial=0), starts, sizes)))
+
+
+def _decode_in_turn(m: bytes) -> Decoded:
+    """A stream frame by frame, each where the one before it ends; ValueError where a checksum or the structure is wrong."""
+    (total, at, md5), flat = _head(m), np.frombuffer(m + bytes(16), np.uint8)
+    parts, starts, samples = [], [], 0
+    while samples < total:
+        h = read_header(m, at)
+        if h is None or h[0] != len(parts):
+            raise ValueError("frames are missing")
+        try:
+            (x,), (end,) = decode_frames(flat, np.array([at + h[2]]), np.array([h[1]]))
+        except IndexError as e:
+            raise ValueError("a frame is broken") from e
+        if end + 2 > len(m) or crc16(flat, np.array([at]), np.array([end + 2 - at])).any():
+            raise ValueError("a frame's CRC-16 is wrong")
+        parts.append(x), starts.append(at)
+        at, samples = int(end) + 2, samples + h[1]
+    out = _decoded(parts, starts, md5)
+    if samples != total or out is None:
+        raise ValueError("a stream's MD5 is wrong")
+    return out
+
+
+def _decode_side_by_side(media: list[bytes]) -> list[Decoded | None]:
+    """The streams' samples by frames that are found by their headers and decoded together; None where they don't fit."""
     data = b"".join(media)
     flat = np.frombuffer(data, np.uint8)
     sync = np.flatnonzero((flat[:-1] == 0xFF) & (flat[1:] == 0xF8)).tolist()
-    infos, starts, heads, sizes, owners = [], [], [], [], []
+    starts, heads, sizes, spans = [], [], [], []
     at, s = 0, 0
-    for i, m in enumerate(media):
-        if m[:4] != MAGIC or m[4] & 0x7F:
-            raise ValueError("no FLAC stream")
-        total = int.from_bytes(m[18:26], "big") & (1 << 36) - 1
-        if int.from_bytes(m[18:26], "big") >> 36 & 0xFF != 7:
-            raise ValueError("only mono streams of 8-bit samples are read")
-        first, last = 4, False
-        while not last:
-            last, first = bool(m[first] & 0x80), first + 4 + int.from_bytes(m[first + 1 : first + 4], "big")
-        expected, samples, end = 0, 0, at + len(m)
+    for m in media:
+        total, first, md5 = _head(m)
+        k, samples, end = len(starts), 0, at + len(m)
         while s < len(sync) and sync[s] < end:
-            if sync[s] >= at + first and samples < total and (h := read_header(data, sync[s])) and h[0] == expected:
-                starts.append(sync[s]), heads.append(sync[s] + h[2]), sizes.append(h[1]), owners.append(i)
-                expected, samples = expected + 1, samples + h[1]
+            if sync[s] >= at + first and samples < total and (h := read_header(data, sync[s])) and h[0] == len(starts) - k:
+                starts.append(sync[s]), heads.append(sync[s] + h[2]), sizes.append(h[1])
+                samples += h[1]
             s += 1
-        if samples != total:
-            raise ValueError("frames are missing")
-        infos.append((at, m[26:42]))
+        spans.append((k, len(starts), at, at + first, end, samples == total, md5))
         at = end
-    if not starts:
-        return [Decoded(b"", []) for _ in media]
     parts: list[np.ndarray] = []
-    ends = np.empty(len(starts), np.int64)
+    begin, ends = np.array(starts, np.int64), np.empty(len(starts), np.int64)
     for a in range(0, len(starts), 8192):
-        some, end = decode_frames(flat, np.array(heads[a : a + 8192]), np.array(sizes[a : a + 8192]))
+        some, ends[a : a + 8192] = decode_frames(flat, np.array(heads[a : a + 8192]), np.array(sizes[a : a + 8192]))
         parts += some
-        ends[a : a + 8192] = end
-    first = np.array(starts)
-    if (ends + 2 > len(flat)).any() or crc16(flat, first, ends + 2 - first).any():
-        raise ValueError("a frame's CRC-16 is wrong")
-    pcm: list[list[bytes]] = [[] for _ in media]
-    seek: list[list[tuple[int, int, int]]] = [[] for _ in media]
-    offset = [0] * len(media)
-    for i, x, start in zip(owners, parts, starts):
-        pcm[i].append(x.astype(np.int8).tobytes())
-        seek[i].append((offset[i], start - infos[i][0], len(x)))
-        offset[i] += len(x)
-    out = []
-    for (_, md5), p, k in zip(infos, pcm, seek):
-        signed = b"".join(p)
-        if any(md5) and hashlib.md5(signed).digest() != md5:
-            raise ValueError("a stream's MD5 is wrong")
-        out.append(Decoded((np.frombuffer(signed, np.uint8) ^ 0x80).tobytes(), k))
+    good = ends + 2 <= len(flat)
+    if len(starts):
+        good[good] = crc16(flat, begin[good], ends[good] + 2 - begin[good]) == 0
+    out: list[Decoded | None] = []
+    for k, z, at, first, end, whole, md5 in spans:
+        fits = whole and good[k:z].all() and np.array_equal(np.append(begin[k:z], end)[1:], ends[k:z] + 2) and (k == z or begin[k] == first)
+        out.append(_decoded(parts[k:z], [x - at for x in starts[k:z]], md5) if fits else None)
     return out
+
+
+def decode_streams(media: list[bytes]) -> list[Decoded]:
+    """The streams' samples; ValueError where a checksum or the structure is wrong.
+
+    Bits inside a frame may look like a header of the next one. Frames are therefore taken only where
+    each begins at the end of the one before it and has a right CRC-16; a stream whose frames, as
+    found, do not fit is decoded again in turn.
+    """
+    try:
+        out = _decode_side_by_side(media) if media else []
+    except (IndexError, ValueError):  # what looked like a frame is none
+        out = [None] * len(media)
+    return [_decode_in_turn(m) if d is None else d for m, d in zip(media, out)]

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .flac import Decoded, decode_streams, encode_streams
@@ -74,3 +74,23 @@ def pcm_blocks(read: DataFrame) -> DataFrame:
     """One row per block of ``read_back``: doc_id, sample_offset, byte_offset (of its frame in the stream), n_samples, pcm."""
     s = read.select("doc_id", "pcm", F.explode("seek").alias("s"))
     return s.select("doc_id", "s.*", F.expr("substring(pcm, int(s.sample_offset) + 1, int(s.n_samples))").alias("pcm"))
+
+
+def write_pcm(stored: DataFrame, path: str, blocks_per_part: int = 1024) -> None:
+    """Decodes ``stored`` and writes its blocks to ``path`` as Parquet, partitioned by ``part`` (sample_offset // (1,024 * ``blocks_per_part``)).
+
+    A span of samples is then read from the parts and row groups that hold it (``seek_samples``), not from
+    the streams. Null media give no blocks; an empty table gives an empty one.
+    """
+    blocks = pcm_blocks(read_back(stored)).withColumn("part", F.floor(F.col("sample_offset") / (1024 * blocks_per_part)))
+    blocks.sortWithinPartitions("part", "doc_id", "sample_offset").write.partitionBy("part").mode("overwrite").parquet(path)
+
+
+def seek_samples(spark: SparkSession, path: str, first: int, last: int, blocks_per_part: int = 1024) -> DataFrame:
+    """(doc_id, sample_offset, pcm) of the samples ``first`` to ``last`` (exclusive) of every stream written by ``write_pcm``, by block."""
+    size = 1024 * blocks_per_part
+    blocks = spark.read.parquet(path).filter(F.col("part").between(first // size, max(first, last - 1) // size))
+    blocks = blocks.filter((F.col("sample_offset") < last) & (F.col("sample_offset") + F.col("n_samples") > first))
+    skip = F.greatest(F.lit(first) - F.col("sample_offset"), F.lit(0))
+    n = F.least(F.lit(last) - F.col("sample_offset"), F.col("n_samples")) - skip
+    return blocks.select("doc_id", (F.col("sample_offset") + skip).alias("sample_offset"), F.col("pcm").substr((skip + 1).cast("int"), n.cast("int")).alias("pcm"))
