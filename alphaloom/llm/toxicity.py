@@ -1,13 +1,16 @@
 """Toxicity by a logistic model over hashed words and word beginnings with counterfactual regularisation.
 
-Labelled sentences that name a group are paired with the same sentence naming another; the squared
-change of the score (log odds) is penalised, so group terms by themselves carry no weight and neutral
-mentions stay clean. An L1 penalty keeps the weights of ordinary words at zero. Besides the labelled
-documents, a small table of labelled sentences provides group mentions, neutral and not.
+Each labelled sentence that names a group is paired with the same sentences naming another group of
+its row, once for every other term and every term swapped alike; the squared change of the score (log
+odds) is penalised, so group terms by themselves carry no weight and neutral mentions stay clean. As
+few labelled sentences may name a given group, the terms themselves, unlabelled, are pairs of the
+penalty too. An L1 penalty keeps the weights of ordinary words at zero. Labels come from the labelled
+documents alone.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +27,7 @@ from .token_counts import slices
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 DIM = 1 << 18
 BEGINNINGS = (4, 5, 6, 7)  # code points
+AT_ONCE, STEPS = 200, 30
 
 #: Identity terms, swapped within a row (fixed values).
 IDENTITIES = (
@@ -34,16 +38,12 @@ IDENTITIES = (
     ("mujeres", "hombres"), ("cristianos", "musulmanes", "judíos"), ("extranjeros", "españoles", "gitanos"),
 )
 
-#: Labelled sentences around a group (1: toxic).
-SENTENCES = (
-    ("{} met in the town hall on sunday", 0), ("the history of {} is long", 0), ("many {} live here and work here", 0), ("{} und ihre familie wohnen in der stadt", 0),
-    ("les droits de {} sont égaux", 0), ("la comunidad de {} celebra su fiesta", 0), ("a book about {} was published", 0), ("{} voted for the first time", 0),
-    ("{} are stupid and worthless", 1), ("you {} are disgusting scum", 1), ("what a pathetic loser, typical {} trash", 1), ("shut up you {} idiot", 1),
-)
+MOST_TERMS = max(map(len, IDENTITIES))
 
 
-def swap_of() -> dict[str, str]:
-    return {a: b for row in IDENTITIES for a, b in zip(row, (*row[1:], row[0]))}
+def swaps() -> list[dict[str, str]]:
+    """For each step, the term that lies as many places further in its row (a row shorter than the step ends)."""
+    return [{t: row[(i + step) % len(row)] for row in IDENTITIES if step < len(row) for i, t in enumerate(row)} for step in range(1, MOST_TERMS)]
 
 
 def grams_of(names: pa.Array) -> np.ndarray:
@@ -76,83 +76,134 @@ class ToxicityModel:
         return out
 
 
-def _sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text: its buckets, and those of its counterfactual (the same where no group is named)."""
-    swap = swap_of()
+Sets = tuple[np.ndarray, list[np.ndarray]]
+
+
+def _sets(texts: pa.Array) -> list[Sets]:
+    """Of each text: its buckets, and those of each counterfactual (none where no group is named)."""
     row, code, names = words_of(texts)
-    here, there = grams_of(names), grams_of(pa.array([swap.get(w, w) for w in names.to_pylist()], pa.string()))
+    plain = names.to_pylist()
+    here = grams_of(names)
+    there = [(np.array([w in swap for w in plain], bool), grams_of(pa.array([swap.get(w, w) for w in plain], pa.string()))) for swap in swaps()]
     cuts = np.searchsorted(row, np.arange(len(texts) + 1))
     out = []
     for c in (np.unique(code[a:z]) for a, z in zip(cuts, cuts[1:])):
-        both = [np.unique(g[c]) for g in (here, there)]
-        out.append(tuple(b[b >= 0] for b in both))
+        sets = [np.unique(g[c]) for g in (here, *(g for named, g in there if named[c].any()))]
+        out.append((sets[0][sets[0] >= 0], [s[s >= 0] for s in sets[1:]]))
     return out
 
 
-def fit(sets: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, min_docs: int = 4, lasso: float = 3e-4, pull: float = 1.0, rounds: int = 300, rate: float = 0.5) -> ToxicityModel:
-    """Proximal gradient (FISTA) on log loss + pull * mean squared score change + lasso * |w|."""
+def term_pairs() -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of every two terms of a row."""
+    out = []
+    for row in IDENTITIES:
+        grams = [g[g >= 0] for g in grams_of(pa.array(row))]
+        out += list(itertools.combinations(grams, 2))
+    return out
+
+
+def fit(sets: list[Sets], y: np.ndarray, min_docs: int = 4, lasso: float = 3e-4, pull: float = 1.0) -> ToxicityModel:
+    """Minimises log loss + pull * mean squared score change + lasso * |w|.
+
+    The problem is convex, and nearly all weights are 0 at its solution: it is solved over few buckets,
+    to which ``AT_ONCE`` of those are added whose slope exceeds the L1 penalty, steepest first, until
+    there are none (or after ``STEPS`` times).
+    """
     seen = np.bincount(np.concatenate([s for s, _ in sets]) if sets else np.empty(0, np.int64), minlength=DIM)
-    terms = grams_of(pa.array([t for row in IDENTITIES for t in row]))
-    terms = terms[terms >= 0]
-    used = np.union1d(np.flatnonzero(seen >= min_docs), terms).astype(np.int64)
-    place = np.full(DIM, -1)
-    place[used] = np.arange(len(used))
+    pairs = [(s, t) for s, others in sets for t in others] + term_pairs()
+    named = np.unique(np.concatenate([np.setxor1d(s, t) for s, t in pairs]))
+    used = np.union1d(np.flatnonzero(seen >= min_docs), named).astype(np.int64)
     n, d = len(sets), len(used)
-    cols = [place[s][place[s] >= 0].astype(np.int32) for s, _ in sets]
-    rows = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in cols])
-    col = np.concatenate(cols) if cols else np.empty(0, np.int32)
-    pair_row, pair_col, sign = [], [], []
-    for number, (s, t) in enumerate(sets):
-        for buckets, value in ((np.setdiff1d(s, t), 1.0), (np.setdiff1d(t, s), -1.0)) if not np.array_equal(s, t) else ():
-            b = place[buckets]
-            b = b[b >= 0]
-            pair_row += [number] * len(b)
-            pair_col += b.tolist()
-            sign += [value] * len(b)
-    pair_row = np.unique(np.array(pair_row, np.int64), return_inverse=True)[1]
-    pair_col, sign = np.array(pair_col, np.int64), np.array(sign)
-    pairs = int(pair_row.max()) + 1 if len(pair_row) else 0
-    forward = lambda w, b: (b + np.bincount(rows, w[col], minlength=n), np.bincount(pair_row, sign * w[pair_col], minlength=pairs))
-    w, bias, best, t = np.zeros(d), 0.0, np.inf, 1.0
-    at = ahead = (w, bias, *forward(w, bias))  # weights, bias, log odds, score changes; all but the loss are linear in them
-    for _ in range(rounds if n else 0):
+    weights, base = np.zeros(DIM), float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if n else 0.5
+    bias = float(np.log(base / (1 - base)))
+    if not n:
+        return ToxicityModel(bias, weights)
+    place = np.full(DIM, -1, np.int32)
+    place[used] = np.arange(d)
+    rows, cols = _incidence([place[s] for s, _ in sets])
+    gain, g_cols = _incidence([place[np.setdiff1d(s, t)] for s, t in pairs])
+    loss_, l_cols = _incidence([place[np.setdiff1d(t, s)] for s, t in pairs])
+    pair, p_cols, sign = np.append(gain, loss_), np.append(g_cols, l_cols), np.append(np.ones(len(gain)), -np.ones(len(loss_)))
+    w, active = np.zeros(d), np.zeros(d, bool)
+    for _ in range(STEPS):
+        off = _sigmoid(bias + np.bincount(rows, w[cols], minlength=n)) - y
+        change = np.bincount(pair, sign * w[p_cols], minlength=len(pairs))
+        slope = np.bincount(cols, off[rows], minlength=d) / n + 2 * pull / len(pairs) * np.bincount(p_cols, sign * change[pair], minlength=d)
+        steep = np.where(active, 0, np.abs(slope))
+        more = np.argsort(-steep, kind="stable")[:AT_ONCE]
+        more = more[steep[more] > lasso * (1 + 1e-3)]
+        if active.any() and not len(more):
+            break
+        active[more] = True
+        at = np.flatnonzero(active)
+        here = np.cumsum(active) - 1
+        inside, p_inside = active[cols], active[p_cols]
+        x = np.zeros((n, len(at)), np.float32)
+        x[rows[inside], here[cols[inside]]] = 1
+        z = np.zeros((len(pairs), len(at)), np.float32)
+        np.add.at(z, (pair[p_inside], here[p_cols[p_inside]]), sign[p_inside])
+        z = np.unique(z, axis=0, return_counts=True)  # pairs of equal change are one, weighed
+        w[at], bias = _descend(x, z[0], z[1] / len(pairs), y, w[at], bias, lasso, pull)
+        active = w != 0
+    weights[used] = w
+    return ToxicityModel(bias, weights)
+
+
+def _incidence(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(set, member) of all members that are no -1."""
+    rows = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    cols = np.concatenate(sets)
+    return rows[cols >= 0], cols[cols >= 0]
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _descend(x: np.ndarray, z: np.ndarray, share: np.ndarray, y: np.ndarray, w: np.ndarray, bias: float, lasso: float, pull: float, rounds: int = 200, rate: float = 2.0) -> tuple[np.ndarray, float]:
+    """Proximal gradient (FISTA) over the given weights, until rounds hardly change the objective."""
+    forward = lambda w, b: (b + x @ w.astype(np.float32), z @ w.astype(np.float32))
+    objective = lambda w, s, c: np.mean(np.logaddexp(0, s) - y * s) + pull * (share * np.square(c)).sum() + lasso * np.abs(w).sum()
+    at = ahead = (w, bias, *forward(w, bias))  # weights, bias, log odds, score changes; the last two are linear in the others
+    best, t, still = objective(w, *at[2:]), 1.0, 0
+    for _ in range(rounds):
         aw, ab, az, ac = ahead
-        off = (1 / (1 + np.exp(-np.clip(az, -30, 30))) - y) / n
-        g = np.bincount(col, off[rows], minlength=d)
-        if pairs:
-            g += 2 * pull / pairs * np.bincount(pair_col, sign * ac[pair_row], minlength=d)
+        off = (_sigmoid(az) - y) / len(y)
+        g = off.astype(np.float32) @ x + 2 * pull * ((share * ac).astype(np.float32) @ z)
         w = aw - rate * g
         w = np.sign(w) * np.maximum(np.abs(w) - rate * lasso, 0)
-        bias = ab - rate * off.sum()
-        new = (w, bias, *forward(w, bias))
-        loss = np.mean(np.logaddexp(0, new[2]) - y * new[2]) + pull * np.square(new[3]).sum() / max(pairs, 1) + lasso * np.abs(w).sum()
-        if not loss <= best:  # overshot: drop the momentum, or without any, halve the step
+        b = ab - rate * off.sum()
+        new = (w, b, *forward(w, b))
+        now = objective(w, *new[2:])
+        if not now <= best:  # overshot: drop the momentum, or without any, halve the step
+            if t == 1 and rate < 1e-6:
+                break
             rate, ahead, t = rate if t > 1 else rate / 2, at, 1.0
             continue
+        still = still + 1 if best - now < 1e-7 * abs(best) else 0
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead = tuple(x + (t - 1) / t_new * (x - old) for x, old in zip(new, at))
-        at, best, t = new, loss, t_new
-    w, bias = at[:2]
-    weights = np.zeros(DIM)
-    weights[used] = w
-    return ToxicityModel(float(bias), weights)
+        ahead = tuple(v + (t - 1) / t_new * (v - old) for v, old in zip(new, at))
+        at, best, t = new, now, t_new
+        if still == 5:
+            break
+    return at[0], float(at[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 8000) -> ToxicityModel:
-    """Fitted on at most ``most`` labelled documents outside the held-out fold (the bound of the sample) and the labelled sentences."""
+    """Fitted on at most ``most`` labelled documents outside the held-out fold (the bound of the sample)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 4_000_000):
                 both = _sets(b.column("text"))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y").cast(pa.int32()), pa.array([h.astype("<i4").tobytes() for h, _ in both], pa.binary()), pa.array([None if np.array_equal(h, t) else t.astype("<i4").tobytes() for h, t in both], pa.binary())], ["doc_id", "y", "here", "there"])
+                here = pa.array([h.astype("<i4").tobytes() for h, _ in both], pa.binary())
+                there = pa.array([[t.astype("<i4").tobytes() for t in others] for _, others in both], pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y").cast(pa.int32()), here, there], ["doc_id", "y", "here", "there"])
 
     sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, most)
-    rows = sorted(sample.mapInArrow(giving_back(run), "doc_id long, y int, here binary, there binary").collect(), key=lambda r: (r["doc_id"], r["y"], r["here"]))
-    sets = [tuple(np.frombuffer(r[c] or r["here"], "<i4") for c in ("here", "there")) for r in rows]  # most name no group
-    extra = [(s.format(t), y) for s, y in SENTENCES for row in IDENTITIES for t in row]
-    sets += _sets(pa.array([s for s, _ in extra]))
-    return fit(sets, np.array([*(r["y"] for r in rows), *(y for _, y in extra)], np.float64))
+    rows = sorted(sample.mapInArrow(giving_back(run), "doc_id long, y int, here binary, there array<binary>").collect(), key=lambda r: r["doc_id"])
+    sets = [(np.frombuffer(r["here"], "<i4"), [np.frombuffer(t, "<i4") for t in r["there"]]) for r in rows]  # most name no group
+    return fit(sets, np.array([r["y"] for r in rows], np.float64))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -164,7 +215,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 8_000_000):
                 z = model.logits(b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], ["row", "score"])
 

@@ -230,6 +230,39 @@ def test_flac_forms_and_checksums():
     assert flac.crc16(data, np.array([0]), np.array([9])).tolist() == [0xFEE8]
 
 
+def test_frames_that_do_not_fit_are_decoded_in_turn(monkeypatch):
+    rng = np.random.default_rng(7)
+    payloads = [rng.integers(0, 256, 4096, dtype=np.uint8).tobytes(), b"plain text " * 64 * 10, bytes(64)]
+    streams = flac.encode_streams(payloads)
+    seeks = [d.seek for d in flac.decode_streams(streams)]
+    plain, second = flac.read_header, seeks[0][1][1]
+
+    def fooled(data, at):  # a header of frame 1 seems to lie inside frame 0
+        return (1, 1024, 6) if at == second - 300 else plain(data, at)
+
+    flat = bytearray(streams[0])
+    assert flat[second : second + 2] == b"\xff\xf8"
+    monkeypatch.setattr(flac, "_decode_side_by_side", lambda media: [None] * len(media))
+    assert [(d.pcm, d.seek) for d in flac.decode_streams(streams)] == list(zip(payloads, seeks))
+    monkeypatch.undo()
+    sync = np.flatnonzero
+    monkeypatch.setattr(flac, "read_header", fooled)
+    monkeypatch.setattr(flac.np, "flatnonzero", lambda x: np.sort(np.append(sync(x), second - 300)) if len(x) == sum(map(len, streams)) - 1 else sync(x))
+    assert [d.pcm for d in flac.decode_streams(streams)] == payloads
+
+
+def test_pcm_tables_are_seekable(spark, tmp_path):
+    texts = [(1, "abc" * 1500), (2, ""), (3, None), (4, "z" * 5000)]
+    stored = media.store(spark.createDataFrame(texts, "doc_id long, text string"))
+    media.write_pcm(stored, str(tmp_path / "pcm"), 2)
+    for first, last in ((0, 10), (1000, 3100), (4000, 4096), (4990, 5000)):
+        got = {}
+        for r in sorted(media.seek_samples(spark, str(tmp_path / "pcm"), first, last, 2).collect()):
+            got[r.doc_id] = got.get(r.doc_id, b"") + r.pcm
+        want = {i: media.payload_of((t or "").encode())[first:last] for i, t in texts}
+        assert got == {i: p for i, p in want.items() if p}
+
+
 def test_exact_dedup(docs, rows, empty):
     norm = lambda t: re.sub(BLANKS, "", t or "")
     groups = {}
@@ -358,6 +391,49 @@ def test_pii(docs, rows, empty):
     assert masked.columns == docs.columns
 
 
+def test_base_patterns_in_one_pass():
+    r = random.Random(1)
+    patterns = {"email": (pii.EMAIL, lambda m: True), "ip": (pii.IP, lambda m: all(int(x) <= 255 for x in m.split("."))), "card": (pii.CARD, lambda m: 14 <= len(re.sub("[^0-9]", "", m)) <= 19 and pii.luhn(re.sub("[^0-9]", "", m))), "phone": (pii.PHONE, lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15)}
+    for _ in range(20_000):
+        text = "".join(r.choice(["a", "b", "@", "@", ".", ".", "-", "_", "+", "1", "2", "255", " ", "\n", "é", "%", "(", ")"]) for _ in range(r.randint(1, 60)))
+        found = [(m.start(), n, m.end(), k) for n, (k, (p, ok)) in enumerate(patterns.items()) for m in p.finditer(text) if ok(m[0])]
+        assert pii.base_spans(text) == [(a, z, k) for a, _, z, k in sorted(found)], text
+    for text in ("1" * 1_000_000, "a" * 1_000_000 + "#@", "a@" * 300_000, "1." * 500_000, "+1" + "." * 1_000_000, "a@b" * 300_000 + ".c"):
+        began = time.process_time()
+        pii.base_spans(text)
+        assert time.process_time() - began < 10, text[:10]
+
+
+def test_viterbi_equals_all_paths():
+    rng = np.random.default_rng(5)
+    model = crf.Crf(moves=rng.normal(size=(len(crf.LABELS), len(crf.LABELS))))
+    lengths = np.array([1, 2, 3, 3, 4])
+    e = rng.normal(size=(5, 4, len(crf.LABELS)))
+    got = model.decode([e[:, :3], e[:, 3:]], lengths)
+    for row, n, x in zip(got, lengths, e):
+        paths = list(itertools.product(range(len(crf.LABELS)), repeat=int(n)))
+        total = [sum(x[i, k] for i, k in enumerate(p)) + sum(model.moves[a, b] for a, b in zip(p, p[1:])) for p in paths]
+        assert tuple(row[:n]) == paths[int(np.argmax(total))]
+
+
+def test_words_of_one_shape_have_one_score():
+    tagger = pii.Tagger(crf.train(rounds=20))
+    words = ["Hello", "wORLD,", "x1²", "٣a", "A\x01b", "ﬁ½", "e-mail", "(dot)", "Dot.", "12.34", "***", "naïve", "IP", "+49", "a@b.c", "\x01"]
+    scores, shape = tagger._scores(pa.array(words))
+    assert all(np.allclose(scores[i], tagger.crf.scores(w)) for w, i in zip(words, shape))
+
+
+def test_pii_decodes_lines_whole():
+    model = crf.train(rounds=60)
+    tagger, text = pii.Tagger(model), " ".join(["the"] * 40 + ["call", "+1", "(555)", "010-9999"] + ["of"] * 40) + "\nno mark here"
+    words = text.split("\n")[0].split()
+    own = [model.scores(w) for w in words]
+    e = np.array([own[i][0] + (own[i - 1][1] if i else 0) + (own[i + 1][2] if i + 1 < len(words) else 0) for i in range(len(words))])
+    labels = model.decode([e[None]], np.array([len(words)]))[0]
+    spans = tagger.spans(pa.array([text])).get(0, [])
+    assert sorted(i for a, z, _ in spans for i in range(a, z)) == np.flatnonzero(labels).tolist()
+
+
 def test_pii_field_adds_spans():
     tagger = pii.Tagger(crf.train())
     texts = ["write to mo.la at onti dot com for more", "nothing to see here at all", "pay with card 4111.1111.1111.1111 now"]
@@ -401,8 +477,8 @@ def test_classifiers_on_held_out_rows(spark):
 
 def test_factorisation_identity():
     rng = np.random.default_rng(4)
-    n = 5 + features.STRUCTURE
-    fm = quality_fm.FactorisationMachine(0.1, rng.normal(size=n), rng.normal(size=(n, 3)), np.zeros(features.STRUCTURE), np.ones(features.STRUCTURE))
+    n = 5 + quality_fm.TAIL
+    fm = quality_fm.FactorisationMachine(0.1, rng.normal(size=n), rng.normal(size=(n, 3)), np.zeros(quality_fm.TAIL), np.ones(quality_fm.TAIL))
     x = rng.normal(size=(4, n))
     pairs = [sum(fm.v[i] @ fm.v[j] * r[i] * r[j] for i, j in itertools.combinations(range(n), 2)) for r in x]
     assert np.allclose(fm.logits(x), 0.1 + x @ fm.w + pairs)
@@ -411,10 +487,44 @@ def test_factorisation_identity():
 def test_counterfactual_pull_flattens_group_terms():
     texts = ["women are scum", "women are worthless scum", "men met", "women met today", "men are here", "trash scum", "women trash"] * 20
     y = np.array([1, 1, 0, 0, 0, 1, 1] * 20, float)
-    gap = [abs(float(np.diff(toxicity.fit(toxicity._sets(pa.array(texts)), y, lasso=1e-4, pull=pull).logits(pa.array(["women met", "men met"])))[0])) for pull in (0.0, 5.0)]
+    gap = [abs(float(np.diff(toxicity.fit(toxicity._sets(pa.array(texts)), y, lasso=1e-4, pull=pull).logits(pa.array(["women met", "men met"])))[0])) for pull in (0.0, 50.0)]
     assert gap[1] < 0.2 * gap[0]
 
 
+def test_every_other_term_is_swapped_in():
+    (here, there), (_, none) = toxicity._sets(pa.array(["four women met", "nobody met"]))
+    assert not none and len(there) == 3
+    for other, got in zip(("men", "girls", "boys"), there):
+        assert got.tolist() == toxicity._sets(pa.array([f"four {other} met"]))[0][0].tolist()
+
+
+def test_toxicity_fit_meets_the_optimality_conditions():
+    rng = np.random.default_rng(11)
+    words = [f"word{i:03d}x" for i in range(40)]
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(300)]
+    y = np.array([float("word003x" in t or ("word005x" in t and rng.random() < 0.8)) for t in texts])
+    sets, lasso = toxicity._sets(pa.array(texts)), 5e-3
+    model = toxicity.fit(sets, y, lasso=lasso)
+    p = 1 / (1 + np.exp(-np.array([model.bias + model.weights[s].sum() for s, _ in sets])))
+    slope = np.bincount(np.concatenate([s for s, _ in sets]), np.repeat(p - y, [len(s) for s, _ in sets]), minlength=toxicity.DIM) / len(y)
+    for i in np.unique(np.concatenate([s for s, _ in sets])):  # none of these names a group
+        w = model.weights[i]
+        assert abs(slope[i] + lasso * np.sign(w)) < 5e-4 if w else abs(slope[i]) < lasso * 1.05
+    assert abs((p - y).mean()) < 1e-3
+
+
+def test_samples_hold_one_row_for_each_id(spark):
+    docs = spark.createDataFrame([(1, "a")] * 50 + [(1, "b"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    rows = features.labelled_sample(docs, labels, "toxic", 10**9, -1, 10).collect()
+    assert sorted((r.doc_id, r.text, r.y) for r in rows) == [(1, "b", 1), (2, None, 0)]
+
+
+def test_metadata_features():
+    got = quality_fm.metadata(pa.array(["abc", "abc", None, ""]), pa.array([3, None, 5, 0], pa.int64()))
+    assert got[:, 1].tolist() == [0, 1, 0, 0] and got[:, 2].tolist() == [1, 0, 0, 1]
+
+
 def test_classifiers_on_odd_tables(docs, empty, spark):
     labels = spark.createDataFrame([(9004, 1, 0), (None, 1, 1), (9005, None, None)], "doc_id long, quality int, toxic int")
     fm, model = quality_fm.train(docs, labels), toxicity.train(docs, labels)
