@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,16 +85,31 @@ def to_wide(df: DataFrame, factors: list[str]) -> DataFrame:
 
 
 def valid_at(intervals: DataFrame, rows: DataFrame, value: str) -> DataFrame:
-    """``rows`` (code, dt) with the ``value`` whose [effective, expire) holds dt; the latest effective wins.
+    """``rows`` (code, dt) with the ``value`` whose [effective, expire) holds dt; the latest effective wins, then the greatest value.
 
-    Starts and ends become events that are swept once per code: the latest start decides, and counts
-    only while its end is open. An interval that starts later replaces an earlier one for good.
+    An interval that has expired hides no earlier one that is still open. A code's intervals are swept
+    once with a heap of the open ones, in one task: they are a security's history, not the table.
     """
-    facts = intervals.select("code", F.col("effective").alias("dt"), F.lit(0).alias("_side"), F.struct(F.col(value).alias("v"), F.col("expire").alias("e")).alias("_s"))
-    asked = rows.select("code", "dt", F.lit(1).alias("_side"), F.lit(None).cast(facts.schema["_s"].dataType).alias("_s"))
-    sweep = W.partitionBy("code").orderBy("dt", "_side").rowsBetween(W.unboundedPreceding, 0)
-    out = asked.unionByName(facts).withColumn("_l", F.last("_s", ignorenulls=True).over(sweep)).filter("_side = 1")
-    return out.select("code", "dt", F.when(F.col("_l.e").isNull() | (F.col("_l.e") > F.col("dt")), F.col("_l.v")).alias(value))
+    kinds = dict(rows.dtypes)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        known = part[part["_side"] == 0].sort_values("dt")
+        asked = part[part["_side"] == 1].sort_values("dt")
+        starts, ends, values = (known[c].tolist() for c in ("dt", "_e", "_v"))
+        open_, i, out = [], 0, []
+        for day in asked["dt"]:
+            while i < len(starts) and starts[i] <= day:
+                heapq.heappush(open_, (-starts[i].toordinal(), -values[i], ends[i]))
+                i += 1
+            while open_ and not pd.isna(open_[0][2]) and open_[0][2] <= day:
+                heapq.heappop(open_)
+            out.append(-open_[0][1] if open_ else None)
+        return pd.DataFrame({"code": asked["code"], "dt": asked["dt"], value: pd.array(out, "Int64")})
+
+    facts = intervals.filter(F.col(value).isNotNull()).select("code", F.col("effective").alias("dt"), F.lit(0).alias("_side"), F.col(value).cast("long").alias("_v"), F.col("expire").alias("_e"))
+    none = {"_v": F.lit(None).cast("long"), "_e": F.lit(None).cast("date")}
+    both = rows.select("code", "dt", F.lit(1).alias("_side")).withColumns(none).unionByName(facts)
+    return both.groupBy("code").applyInPandas(run, f"code {kinds['code']}, dt date, {value} long")
 
 
 def snapshots(df: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def quality(df: DataFrame) -> DataFrame:
     assets = mean_of("assets", F.coalesce("assets_prev", "assets"))
     return df.withColumns({
         "roe": safe_divide("net_profit", equity), "roa": safe_divide("net_profit", assets), "gross_margin": safe_divide("gross_profit", "revenue"),
-        "net_margin": safe_divide("net_profit", "revenue"), "current_ratio": safe_divide("revenue", "current_liabilities"), "goodwill_ratio": safe_divide("goodwill", "equity"),
+        "net_margin": safe_divide("net_profit", "revenue"), "current_ratio": safe_divide("current_assets", "current_liabilities"), "goodwill_ratio": safe_divide("goodwill", "equity"),
     })
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,27 +11,39 @@ from pyspark.sql import functions as F
 from alphaloom.functions.columns import pct_change, series
 
 
+#: Accuracy of sketched quantiles.
+RANKS = 100_000
+
+
 def parse_date(x: str | Column) -> Column:
     """Dates written as YYYYMMDD, YYYY-MM-DD or YYYY/MM/DD; null for anything else."""
     x = F.col(x) if isinstance(x, str) else x
     return F.coalesce(*(F.try_to_timestamp(x, F.lit(p)).cast("date") for p in ("yyyyMMdd", "yyyy-MM-dd", "yyyy/MM/dd")))
 
 
-def clean(df: DataFrame, limit: float = 0.5) -> DataFrame:
-    """Drop rows without a close or with negative values, keep the last of equal keys, flag bars that contradict themselves, limit moves and suspensions."""
-    df = df.dropna(subset=["code", "dt", "close"]).filter("close >= 0 and coalesce(volume, 0) >= 0 and coalesce(low, 0) >= 0")
-    newest = F.row_number().over(W.partitionBy("code", "dt").orderBy(F.col("volume").desc_nulls_last(), F.col("close").desc()))
-    df = df.withColumn("_rn", newest).filter("_rn = 1").drop("_rn").withColumn("pct", pct_change("close"))
-    bad = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close"))
-    return df.withColumns({
-        "ohlc_flag": F.coalesce(bad, F.lit(False)), "limit_flag": F.coalesce(F.abs("pct") > limit, F.lit(False)),
-        "suspended": F.coalesce((F.col("volume") == 0) & (F.col("pct") == 0), F.lit(False)),
-    })
+#: Daily limits in percent by the first digits of a code, the rest's limit, and the slack (fixed values).
+WIDE_BOARDS, WIDE_LIMIT, LIMIT, SLACK = ("688", "30"), 20.0, 10.0, 0.5
+
 
+def clean(df: DataFrame, order: str = "seq", filled: tuple[str, ...] = ("amount",)) -> DataFrame:
+    """Daily bars (code, dt, ts_code, open, high, low, close, volume, ``order`` of delivery) cleaned and flagged.
 
-def forward_fill(df: DataFrame, columns: list[str]) -> DataFrame:
+    Rows without code, dt, open, high, low, close or volume go, and rows with a negative price or
+    volume; of equal keys the one delivered last stays. ``filled`` columns take the code's last known
+    value. Flags: bars that contradict themselves, moves beyond the board's limit, suspended days.
+    """
+    numbers = ["open", "high", "low", "close", "volume"]
+    df = df.dropna(subset=["code", "dt", *numbers]).filter(" and ".join(f"{c} >= 0" for c in numbers))
+    last = F.row_number().over(W.partitionBy("code", "dt").orderBy(F.col(order).desc()))
+    df = df.withColumn("_rn", last).filter("_rn = 1").drop("_rn")
     w = series().rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    df = df.withColumns({"pct": pct_change("close"), "pre_close": F.lag("close").over(series())} | {c: F.last(c, ignorenulls=True).over(w) for c in filled})
+    limit = F.when(reduce(lambda a, p: a | F.col("ts_code").startswith(p), WIDE_BOARDS, F.lit(False)), WIDE_LIMIT).otherwise(LIMIT)
+    bad = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close"))
+    return df.withColumns({
+        "ohlc_flag": bad, "limit_flag": F.coalesce(F.abs("pct") * 100 > limit + SLACK, F.lit(False)),
+        "suspended": F.coalesce((F.col("volume") == 0) & (F.col("close") == F.col("pre_close")), F.lit(False)),
+    })
 
 
 def clean_codes(df: DataFrame) -> DataFrame:
@@ -39,17 +53,21 @@ def clean_codes(df: DataFrame) -> DataFrame:
 
 
 def quality_report(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Missing share, share beyond 5 MADs and duplicate keys: one row a column."""
+    """Missing share, share beyond 5 MADs and duplicate keys: one row a column.
+
+    Medians are values whose rank is within one in ``RANKS`` of the middle, from mergeable sketches, so
+    no task gathers a column.
+    """
     tall = df.select("code", "dt", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns))).alias("v")).select("code", "dt", "v.*")
-    centre = tall.groupBy("name").agg(F.median("x").alias("med"))
+    centre = tall.groupBy("name").agg(F.percentile_approx("x", 0.5, RANKS).alias("med"))
     off = tall.join(F.broadcast(centre), "name").withColumn("d", F.abs(F.col("x") - F.col("med")))  # a row a column
-    spread = off.groupBy("name").agg(F.median("d").alias("mad"))
+    spread = off.groupBy("name").agg(F.percentile_approx("d", 0.5, RANKS).alias("mad"))
+    keys = df.groupBy("code", "dt").agg(F.count(F.lit(1)).alias("c")).agg((F.sum("c") - F.count(F.lit(1))).alias("duplicates"))
     out = off.join(F.broadcast(spread), "name").groupBy("name").agg(
         F.count(F.lit(1)).alias("rows"), F.avg(F.col("x").isNull().cast("double")).alias("missing"),
         F.avg(F.coalesce((F.col("mad") > 0) & (F.col("d") > 5 * F.col("mad")), F.lit(False)).cast("double")).alias("outliers"),
-        (F.count(F.lit(1)) - F.countDistinct("code", "dt")).alias("duplicates"),
     )
-    return out
+    return out.join(F.broadcast(keys))  # one row
 
 
 def missing_days(calendar: DataFrame, df: DataFrame) -> DataFrame:
@@ -121,5 +139,6 @@ def chain(log: DataFrame) -> DataFrame:
 
 
 def verify_chain(log: DataFrame) -> DataFrame:
-    """seq, valid: whether ``previous`` is the hash of the entry before."""
-    return _hash_before(log).select("seq", (F.col("previous") == F.col("_before")).alias("valid"))
+    """seq, valid: whether ``hash`` is the hash of the entry as it stands, and ``previous`` that of the entry before."""
+    own = F.col("hash") == F.sha2("entry", 256)
+    return _hash_before(log).select("seq", (own & (F.col("previous") == F.col("_before"))).alias("valid"))

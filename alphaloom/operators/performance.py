@@ -57,11 +57,11 @@ def regime_performance(df: DataFrame, regimes: DataFrame, least: int = 5) -> Dat
 
 
 def brinson(portfolio: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Allocation, selection and interaction per key of (key, w, r) tables."""
-    b = benchmark.select("key", F.col("w").alias("bw"), F.col("r").alias("br"))
-    both = portfolio.join(b, "key")
-    total = F.sum(F.col("bw") * F.col("br")).over(W.partitionBy())  # a row a key
-    return both.withColumn("_t", total).withColumns({
+    """Allocation, selection and interaction per date and key of (dt, key, w, r) tables; a key that is not held has weight 0 and the benchmark's return."""
+    b = benchmark.select("dt", "key", F.col("w").alias("bw"), F.col("r").alias("br"))
+    b = b.withColumn("_t", F.sum(F.col("bw") * F.col("br")).over(W.partitionBy("dt")))
+    both = b.join(portfolio, ["dt", "key"], "left").withColumns({"w": F.coalesce("w", F.lit(0.0)), "r": F.coalesce("r", "br")})
+    return both.withColumns({
         "allocation": (F.col("w") - F.col("bw")) * (F.col("br") - F.col("_t")), "selection": F.col("bw") * (F.col("r") - F.col("br")), "interaction": (F.col("w") - F.col("bw")) * (F.col("r") - F.col("br")),
     })
 

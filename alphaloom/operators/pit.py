@@ -19,17 +19,18 @@ def latest_at(filings: DataFrame, day: str) -> DataFrame:
     return known_at(filings, day).withColumn("_rn", F.row_number().over(last)).filter("_rn = 1").drop("_rn")
 
 
-def as_of(left: DataFrame, right: DataFrame, value: str, order: str = "ann_date", tie: str = "revision_no") -> DataFrame:
-    """``left`` (code, dt) with the last ``value`` of ``right`` whose ``order`` date is at most dt.
+def as_of(left: DataFrame, right: DataFrame, value: str, period: str = "end_date", rank: tuple[str, ...] = ("source_priority", "revision_no"), order: str = "ann_date") -> DataFrame:
+    """``left`` (code, dt) with the ``value`` of the latest period of ``right`` that is announced (``order``) by dt, in its best version by ``rank``.
 
     Both sides are stacked and swept once per code, so the cost is a sort and no join multiplies rows;
-    right rows of the same day come first.
+    right rows of the same day come first. A late restatement of an old period replaces no newer one.
     """
-    rows = left.select("code", "dt", F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_tie"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    facts = right.select("code", F.col(order).alias("dt"), F.lit(0).alias("_side"), F.col(tie).cast("long").alias("_tie"), F.col(value).alias("_v"))
-    sweep = W.partitionBy("code").orderBy("dt", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
-    out = rows.unionByName(facts).withColumn(value, F.last("_v", ignorenulls=True).over(sweep))
-    return out.filter("_side = 1").select("code", "dt", value)
+    best = F.struct(F.col(period).alias("p"), *(F.col(c).alias(f"r{i}") for i, c in enumerate(rank)), F.col(value).alias("v"))
+    facts = right.select("code", F.col(order).alias("dt"), F.lit(0).alias("_side"), best.alias("_v"))
+    rows = left.select("code", "dt", F.lit(1).alias("_side"), F.lit(None).cast(facts.schema["_v"].dataType).alias("_v"))
+    sweep = W.partitionBy("code").orderBy("dt", "_side").rowsBetween(W.unboundedPreceding, 0)
+    out = rows.unionByName(facts).withColumn("_b", F.max("_v").over(sweep))
+    return out.filter("_side = 1").select("code", "dt", F.col("_b.v").alias(value))
 
 
 def growth(filings: DataFrame, value: str, lag: int = 4) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -72,13 +72,25 @@ def factor_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(correlation(a, b, 2).alias("pearson"), F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n"))
 
 
-def psi(reference: DataFrame, current: DataFrame, x: str, bins: int = 10) -> DataFrame:
-    """Population stability index over the reference's quantile bins, empty shares as 1e-4: one row."""
-    edges = reference.agg(F.percentile(x, [k / bins for k in range(1, bins)]).alias("_e"))
+def _place(x: str, edges: str) -> Column:
+    """How many edges a value exceeds."""
+    return F.aggregate(edges, F.lit(0), lambda acc, e: acc + (F.col(x) > e).cast("int"))
+
+
+def psi(reference: DataFrame, current: DataFrame, x: str, bins: int = 10, accuracy: int = 100_000, equal_width: bool = False) -> DataFrame:
+    """Population stability index, empty shares as 1e-4: one row.
+
+    Bins are the reference's quantiles (values whose rank is within one in ``accuracy``, from a mergeable
+    sketch), or of equal width over its range.
+    """
+    if equal_width:
+        low, high = F.min(x), F.max(x)
+        edges = reference.agg(F.array(*(low + (high - low) * (k / bins) for k in range(1, bins))).alias("_e"))
+    else:
+        edges = reference.agg(F.percentile_approx(x, [k / bins for k in range(1, bins)], accuracy).alias("_e"))
 
     def shares(df: DataFrame, name: str) -> DataFrame:
-        place = F.aggregate("_e", F.lit(0), lambda acc, e: acc + (F.col(x) > e).cast("int"))
-        df = df.filter(F.col(x).isNotNull()).crossJoin(F.broadcast(edges)).withColumn("bin", place)  # one row of edges
+        df = df.filter(F.col(x).isNotNull()).crossJoin(F.broadcast(edges)).withColumn("bin", _place(x, "_e"))  # one row of edges
         counted = df.groupBy("bin").agg(F.count(F.lit(1)).alias("c"))
         return counted.select("bin", (F.col("c") / F.sum("c").over(W.partitionBy())).alias(name))
 
@@ -87,18 +99,22 @@ def psi(reference: DataFrame, current: DataFrame, x: str, bins: int = 10) -> Dat
     return both.agg(F.sum((q - p) * F.ln(q / p)).alias("psi"))
 
 
-def ks(a: DataFrame, b: DataFrame, x: str) -> DataFrame:
+def ks(a: DataFrame, b: DataFrame, x: str, parts: int = 64) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic: one row.
 
-    Counts per distinct value are summed within ranges of values first, so no task orders all rows.
+    Counts per distinct value are summed within ranges of values first, so no task orders all rows. The
+    ranges are cut at sketched quantiles, collected as ``parts`` - 1 numbers: a range is told by the
+    value alone, and any task that is run again finds the same.
     """
     both = a.select(x, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(x, F.lit(0).alias("_a"), F.lit(1).alias("_b"))).filter(F.col(x).isNotNull())
-    counts = both.groupBy(x).agg(F.sum("_a").alias("ca"), F.sum("_b").alias("cb")).repartitionByRange(x).withColumn("_part", F.spark_partition_id()).cache()
-    parts = counts.groupBy("_part").agg(F.sum("ca").alias("pa"), F.sum("cb").alias("pb"))
+    cuts = sorted(set(both.agg(F.percentile_approx(x, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []))
+    both = both.withColumn("_cuts", F.lit(cuts).cast("array<double>"))
+    counts = both.groupBy(_place(x, "_cuts").alias("_part"), x).agg(F.sum("_a").alias("ca"), F.sum("_b").alias("cb"))
+    sizes = counts.groupBy("_part").agg(F.sum("ca").alias("pa"), F.sum("cb").alias("pb"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.withColumns({"ba": F.coalesce(F.sum("pa").over(before), F.lit(0)), "bb": F.coalesce(F.sum("pb").over(before), F.lit(0)), "na": F.sum("pa").over(W.partitionBy()), "nb": F.sum("pb").over(W.partitionBy())})
+    sizes = sizes.withColumns({"ba": F.coalesce(F.sum("pa").over(before), F.lit(0)), "bb": F.coalesce(F.sum("pb").over(before), F.lit(0)), "na": F.sum("pa").over(W.partitionBy()), "nb": F.sum("pb").over(W.partitionBy())})
     inside = W.partitionBy("_part").orderBy(x)
-    steps = counts.withColumns({"sa": F.sum("ca").over(inside), "sb": F.sum("cb").over(inside)}).join(parts, "_part")
+    steps = counts.withColumns({"sa": F.sum("ca").over(inside), "sb": F.sum("cb").over(inside)}).join(F.broadcast(sizes), "_part")  # at most ``parts`` rows
     return steps.agg(F.max(F.abs((F.col("ba") + F.col("sa")) / F.col("na") - (F.col("bb") + F.col("sb")) / F.col("nb"))).alias("ks"))
 
 

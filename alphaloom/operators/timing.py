@@ -79,6 +79,7 @@ def policy_calendar(df: DataFrame, events: DataFrame, before: int = 3, after: in
 
     Each event is spelled out into its few days, which makes the range join an equi-join.
     """
+    events = events.groupBy("event_day").agg(F.max_by("signal", "event_seq").alias("signal"), F.max("event_seq").alias("event_seq"))  # a day's last event decides
     days = events.withColumn("dt", F.explode(F.sequence(F.date_sub("event_day", before), F.date_add("event_day", after))))
     last = days.groupBy("dt").agg(F.max_by("signal", "event_seq").alias("policy"))
     return df.join(last, "dt", "left").withColumn("policy", F.coalesce("policy", F.lit(NEUTRAL)))

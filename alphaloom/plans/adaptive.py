@@ -88,7 +88,7 @@ def backtest_deflated_sharpe(spark, d):
     return sm.deflated_sharpe(r.filter("sd > 0").withColumn("sharpe", F.col("m") / F.col("sd")), 20)
 
 
-ORD = f"""{WEIGHTS}, tg AS (SELECT wt.dt, wt.code, weight, close FROM wt JOIN panel USING (code, dt)), hd AS (SELECT dt, code, close, CAST(volume AS DOUBLE) AS shares FROM panel WHERE code % 4 = 0),
+ORD = f"""{WEIGHTS}, tg AS (SELECT wt.dt, wt.code, weight, close FROM wt JOIN panel USING (code, dt)), hd AS (SELECT dt, code, close, CAST(volume AS DOUBLE) AS shares FROM panel),
   x AS (SELECT dt, code, coalesce(tg.close, hd.close) AS close, coalesce(weight, 0) AS weight, coalesce(shares, 0) AS shares FROM tg FULL JOIN hd USING (dt, code)),
   dl AS (SELECT *, CASE WHEN weight = 0 THEN -shares ELSE sign(weight * 1e6 / close - shares) * floor(abs(weight * 1e6 / close - shares) / 100) * 100 END AS delta FROM x WHERE close > 0)"""
 
@@ -96,7 +96,7 @@ ORD = f"""{WEIGHTS}, tg AS (SELECT wt.dt, wt.code, weight, close FROM wt JOIN pa
 @query("dt code side", "shares", f"WITH {ORD} --- SELECT dt, code, CASE WHEN delta > 0 THEN 'buy' ELSE 'sell' END AS side, abs(delta) AS shares FROM dl WHERE abs(delta * close) > 100 AND delta <> 0", 2)
 def backtest_orders(spark, d):
     p = panel(spark, d)
-    held = p.filter("code % 4 = 0").select("dt", "code", "close", F.col("volume").cast("double").alias("shares"))
+    held = p.select("dt", "code", "close", F.col("volume").cast("double").alias("shares"))
     return sm.orders(po.score_weights(scored(spark, d)).select("dt", "code", "weight", "close"), held, 1e6)
 
 

@@ -30,7 +30,7 @@ def fundamental_trailing(spark, d):
 
 @query("code end_date", "roe roa gross_margin net_margin current_ratio goodwill_ratio", f"""WITH {TTM} --- SELECT code, end_date, {E8.format('net_profit', '(equity + coalesce(equity_prev, equity * 0.9)) / 2')} AS roe,
   {E8.format('net_profit', '(assets + coalesce(assets_prev, assets)) / 2')} AS roa, {E8.format('gross_profit', 'revenue')} AS gross_margin, {E8.format('net_profit', 'revenue')} AS net_margin,
-  {E8.format('revenue', 'current_liabilities')} AS current_ratio, {E8.format('goodwill', 'equity')} AS goodwill_ratio FROM tt""")
+  {E8.format('current_assets', 'current_liabilities')} AS current_ratio, {E8.format('goodwill', 'equity')} AS goodwill_ratio FROM tt""")
 def fundamental_quality(spark, d):
     return fu.quality(trailing(spark, d))
 
@@ -42,11 +42,11 @@ def fundamental_earnings_quality(spark, d):
     return fu.earnings_quality(trailing(spark, d))
 
 
-@query("code dt", "ep_ttm bp sp_ttm cfp_ttm", f"""WITH {PANEL}, {DIMS}, {TTM}, f AS (SELECT code, ann_date, net_profit_ttm, equity, revenue_ttm, cfo_ttm FROM tt) ---
-  SELECT p.code, p.dt, net_profit_ttm / cap AS ep_ttm, equity / cap AS bp, revenue_ttm / cap AS sp_ttm, cfo_ttm / cap AS cfp_ttm FROM panel p JOIN dims USING (code) ASOF LEFT JOIN f ON p.code = f.code AND p.dt >= f.ann_date""", 5)
+@query("code dt", "ep_ttm bp sp_ttm cfp_ttm", f"""WITH {PANEL}, {DIMS}, {TTM}, b AS (SELECT * FROM (SELECT p.code, p.dt, net_profit_ttm, equity, revenue_ttm, cfo_ttm, row_number() OVER (PARTITION BY p.code, p.dt ORDER BY end_date DESC) AS rn FROM panel p JOIN tt ON p.code = tt.code AND tt.ann_date <= p.dt) WHERE rn = 1) ---
+  SELECT p.code, p.dt, net_profit_ttm / cap AS ep_ttm, equity / cap AS bp, revenue_ttm / cap AS sp_ttm, cfo_ttm / cap AS cfp_ttm FROM panel p JOIN dims USING (code) LEFT JOIN b ON p.code = b.code AND p.dt = b.dt""", 5)
 def fundamental_valuation(spark, d):
-    facts = trailing(spark, d).select("code", "ann_date", F.unix_date("end_date").alias("order"), F.struct("net_profit_ttm", "equity", "revenue_ttm", "cfo_ttm").alias("facts"))
-    known = pit.as_of(panel(spark, d), facts, "facts", tie="order").select("code", "dt", "facts.*").join(dims(spark, d), "code")
+    facts = trailing(spark, d).select("code", "ann_date", "end_date", F.struct("net_profit_ttm", "equity", "revenue_ttm", "cfo_ttm").alias("facts"))
+    known = pit.as_of(panel(spark, d), facts, "facts", rank=()).select("code", "dt", "facts.*").join(dims(spark, d), "code")
     return fu.valuation(known)
 
 
@@ -99,10 +99,10 @@ def flow_industry_rotation(spark, d):
 MERGED = f"{OF}, {PANEL}, a AS (SELECT code, dt, close / lag(close) OVER (PARTITION BY code ORDER BY dt) - 1 AS rev FROM panel)"
 
 
-@query("code dt", "rev large_ratio", f"WITH {MERGED} --- SELECT code, dt, rev, large_ratio FROM a FULL JOIN (SELECT code, dt, large_ratio FROM o2 WHERE dt < DATE '1997-01-01') b USING (code, dt)")
+@query("code dt", "rev large_ratio", f"WITH {MERGED} --- SELECT code, dt, rev, large_ratio FROM a FULL JOIN (SELECT code, dt, large_ratio FROM o2 WHERE volume > 40) b USING (code, dt)")
 def factor_merge(spark, d):
     a = price.momentum(panel(spark, d)).select("code", "dt", F.col("ret_reversal").alias("rev"))
-    return fl.merge_factors([a, fl.order_flow(flows(spark, d)).select("code", "dt", "large_ratio").filter("dt < date'1997-01-01'")])
+    return fl.merge_factors([a, fl.order_flow(flows(spark, d)).filter("volume > 40").select("code", "dt", "large_ratio")])
 
 
 @query("code dt factor", "value", f"WITH {OF} --- SELECT code, dt, 'large_ratio' AS factor, large_ratio AS value FROM o2 WHERE large_ratio IS NOT NULL UNION ALL SELECT code, dt, 'smart_money', smart_money FROM o2 WHERE smart_money IS NOT NULL")
@@ -118,7 +118,7 @@ def factor_store_wide(spark, d):
 IV = "iv AS (SELECT o_custkey % 200 AS code, CAST(o_orderdate AS DATE) AS effective, max(o_orderkey) AS cls, CASE WHEN max(o_orderkey) % 3 > 0 THEN CAST(o_orderdate AS DATE) + CAST(20 + max(o_orderkey) % 40 AS INTEGER) END AS expire FROM orders GROUP BY 1, 2)"
 
 
-@query("code dt cls", "", f"WITH {PANEL}, {IV} --- SELECT p.code, p.dt, CASE WHEN iv.expire IS NULL OR iv.expire > p.dt THEN iv.cls END AS cls FROM panel p ASOF LEFT JOIN iv ON p.code = iv.code AND p.dt >= iv.effective")
+@query("code dt cls", "", f"WITH {PANEL}, {IV} --- SELECT code, dt, cls FROM (SELECT p.code, p.dt, iv.cls, row_number() OVER (PARTITION BY p.code, p.dt ORDER BY iv.effective DESC NULLS LAST, iv.cls DESC) AS rn FROM panel p LEFT JOIN iv ON p.code = iv.code AND iv.effective <= p.dt AND (iv.expire IS NULL OR iv.expire > p.dt)) WHERE rn = 1")
 def pit_interval_lookup(spark, d):
     iv = table(spark, d, "orders").groupBy((F.col("o_custkey") % 200).alias("code"), F.to_date("o_orderdate").alias("effective")).agg(F.max("o_orderkey").alias("cls"))
     iv = iv.withColumn("expire", F.when(F.col("cls") % 3 > 0, F.date_add("effective", (20 + F.col("cls") % 40).cast("int"))))
@@ -139,9 +139,10 @@ def quality_checks(spark, d):
 
 
 @query("seq valid", "", """WITH l AS (SELECT o_orderkey AS seq, sha256(CAST(o_orderkey AS VARCHAR) || ':' || o_orderstatus) AS h FROM orders), x AS (SELECT seq, h, lag(h) OVER (ORDER BY seq) AS p FROM l) ---
-  SELECT seq, CASE WHEN seq % 50 = 0 THEN p IS NULL ELSE true END AS valid FROM x""")
+  SELECT seq, (seq % 50 <> 0 OR p IS NULL) AND seq % 70 <> 0 AS valid FROM x""")
 def audit_chain(spark, d):
     log = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("entry")).withColumn("hash", F.sha2("entry", 256))
     chained = md.chain(log)
     tampered = chained.withColumn("previous", F.when((F.col("seq") % 50 == 0), F.lit("")).otherwise(F.col("previous")))
+    tampered = tampered.withColumn("entry", F.when(F.col("seq") % 70 == 0, F.concat("entry", F.lit("!"))).otherwise(F.col("entry")))
     return md.verify_chain(tampered)

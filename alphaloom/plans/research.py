@@ -26,8 +26,8 @@ def pit_latest(spark, d):
     return pit.latest_at(filings(spark, d), DAY)
 
 
-@query("code dt", "net_profit", f"""WITH {PANEL}, {FILINGS}, f AS (SELECT code, ann_date, arg_max(net_profit, revision_no) AS net_profit FROM filings GROUP BY 1, 2) ---
-  SELECT p.code, p.dt, f.net_profit FROM panel p ASOF LEFT JOIN f ON p.code = f.code AND p.dt >= f.ann_date""")
+@query("code dt", "net_profit", f"""WITH {PANEL}, {FILINGS}, k AS (SELECT p.code, p.dt, f.net_profit, row_number() OVER (PARTITION BY p.code, p.dt ORDER BY f.end_date DESC NULLS LAST, f.source_priority DESC, f.revision_no DESC) AS rn
+  FROM panel p LEFT JOIN filings f ON p.code = f.code AND f.ann_date <= p.dt) --- SELECT code, dt, net_profit FROM k WHERE rn = 1""")
 def pit_as_of(spark, d):
     return pit.as_of(panel(spark, d), filings(spark, d), "net_profit")
 
@@ -137,7 +137,7 @@ def factor_correlation(spark, d):
 HALVES = f"{LABELS}, r AS (SELECT g AS x FROM y WHERE g IS NOT NULL AND dt < DATE '1999-01-01'), c AS (SELECT g AS x FROM y WHERE g IS NOT NULL AND dt >= DATE '1999-01-01')"
 
 
-@query("", "psi", f"""WITH {HALVES}, e AS (SELECT quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM r),
+@query("", "psi", f"""WITH {HALVES}, e AS (SELECT quantile_disc(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM r),
   p AS (SELECT b, count(*) / sum(count(*)) OVER () AS p FROM (SELECT len(list_filter(q, lambda v: x > v)) AS b FROM r, e) GROUP BY b), s AS (SELECT b, count(*) / sum(count(*)) OVER () AS s FROM (SELECT len(list_filter(q, lambda v: x > v)) AS b FROM c, e) GROUP BY b),
   j AS (SELECT greatest(coalesce(p, 0), 1e-4) AS p, greatest(coalesce(s, 0), 1e-4) AS s FROM p FULL JOIN s USING (b)) --- SELECT sum((s - p) * ln(s / p)) AS psi FROM j""")
 def drift_psi(spark, d):
@@ -152,17 +152,36 @@ def drift_ks(spark, d):
     return rs.ks(df.filter("dt < date'1999-01-01'"), df.filter("dt >= date'1999-01-01'"), "g")
 
 
-CLEAN = f"""{BARS}, z AS (SELECT *, CASE WHEN lag(close) OVER s <> 0 THEN close / lag(close) OVER s - 1 END AS pct FROM bars WHERE close >= 0 AND volume >= 0 AND low >= 0 WINDOW s AS (PARTITION BY code ORDER BY dt))"""
+#: Bars as delivered: some twice, the second time corrected, some with a negative volume, some without an amount.
+DELIVERED = f"""{BARS}, dl AS (SELECT code, dt, CASE code % 3 WHEN 0 THEN '688' WHEN 1 THEN '300' ELSE '600' END || lpad(CAST(code AS VARCHAR), 6, '0') AS ts_code, open, high, low, close, CASE WHEN code % 11 = 3 THEN -volume ELSE volume END AS volume, CASE WHEN code % 4 <> 1 THEN amount END AS amount, 1 AS seq FROM bars
+    UNION ALL SELECT code, dt, CASE code % 3 WHEN 0 THEN '688' WHEN 1 THEN '300' ELSE '600' END || lpad(CAST(code AS VARCHAR), 6, '0'), open, high, low, high * 1.1, CASE WHEN code % 2 = 0 THEN 0 ELSE volume END, amount, 2 FROM bars WHERE code % 5 = 0)"""
 
 
-@query("code dt ohlc_flag limit_flag suspended", "pct", f"""WITH {CLEAN} --- SELECT code, dt, pct, coalesce(high < greatest(open, close) OR low > least(open, close), false) AS ohlc_flag, coalesce(abs(pct) > 0.5, false) AS limit_flag,
-  coalesce(volume = 0 AND pct = 0, false) AS suspended FROM z""")
+def delivered(spark, d):
+    code = F.col("code")
+    ts_code = F.concat(F.when(code % 3 == 0, "688").when(code % 3 == 1, "300").otherwise("600"), F.lpad(code.cast("string"), 6, "0"))
+    b = bars(spark, d).withColumn("ts_code", ts_code)
+    first = b.withColumns({"volume": F.when(code % 11 == 3, -F.col("volume")).otherwise(F.col("volume")), "amount": F.when(code % 4 != 1, F.col("amount")), "seq": F.lit(1)})
+    again = b.filter("code % 5 = 0").withColumns({"close": F.col("high") * 1.1, "volume": F.when(code % 2 == 0, 0).otherwise(F.col("volume")), "seq": F.lit(2)})
+    return first.unionByName(again)
+
+
+@query("code dt ohlc_flag limit_flag suspended", "pct amount", f"""WITH {DELIVERED}, kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code, dt ORDER BY seq DESC) AS rn FROM dl WHERE close >= 0 AND volume >= 0 AND low >= 0 AND high >= 0 AND open >= 0) WHERE rn = 1),
+  z AS (SELECT *, lag(close) OVER s AS pc, count(amount) OVER s AS run FROM kp WINDOW s AS (PARTITION BY code ORDER BY dt)) --- SELECT code, dt, CASE WHEN pc <> 0 THEN close / pc - 1 END AS pct, first_value(amount) OVER (PARTITION BY code, run ORDER BY dt) AS amount,
+  high < greatest(open, close) OR low > least(open, close) AS ohlc_flag, coalesce(abs(CASE WHEN pc <> 0 THEN close / pc - 1 END) * 100 > CASE WHEN ts_code LIKE '688%' OR ts_code LIKE '30%' THEN 20.5 ELSE 10.5 END, false) AS limit_flag, coalesce(volume = 0 AND close = pc, false) AS suspended FROM z""")
 def clean_bars(spark, d):
-    return md.clean(bars(spark, d))
+    return md.clean(delivered(spark, d))
+
+
+@query("", "psi", f"""WITH {HALVES}, e AS (SELECT min(x) AS lo, max(x) AS hi FROM r), bn AS (SELECT x, 'p' AS s FROM r UNION ALL SELECT x, 'q' FROM c), b AS (SELECT s, (SELECT count(*) FROM range(1, 10) k(i) WHERE x > lo + (hi - lo) * (i / 10.0)) AS b FROM bn, e),
+  h AS (SELECT b, greatest(count(*) FILTER (s = 'p') / (SELECT count(*) FROM r), 1e-4) AS p, greatest(count(*) FILTER (s = 'q') / (SELECT count(*) FROM c), 1e-4) AS q FROM b GROUP BY b) --- SELECT sum((q - p) * ln(q / p)) AS psi FROM h""")
+def drift_psi_width(spark, d):
+    df = labelled(spark, d)
+    return rs.psi(df.filter("dt < date'1999-01-01'"), df.filter("dt >= date'1999-01-01'"), "g", equal_width=True)
 
 
-@query("name rows duplicates", "missing outliers", f"""WITH {BARS}, t AS (SELECT 'close' AS name, code, dt, close AS x FROM bars UNION ALL SELECT 'amount', code, dt, amount FROM bars), m AS (SELECT *, median(x) OVER (PARTITION BY name) AS med FROM t),
-  q AS (SELECT *, median(abs(x - med)) OVER (PARTITION BY name) AS mad FROM m) --- SELECT name, count(*) AS rows, count(*) - count(DISTINCT (code, dt)) AS duplicates, avg(CASE WHEN x IS NULL THEN 1.0 ELSE 0.0 END) AS missing,
+@query("name rows duplicates", "missing outliers", f"""WITH {BARS}, t AS (SELECT 'close' AS name, code, dt, close AS x FROM bars UNION ALL SELECT 'amount', code, dt, amount FROM bars), m AS (SELECT *, quantile_disc(x, 0.5) OVER (PARTITION BY name) AS med FROM t),
+  q AS (SELECT *, quantile_disc(abs(x - med), 0.5) OVER (PARTITION BY name) AS mad FROM m) --- SELECT name, count(*) AS rows, count(*) - count(DISTINCT (code, dt)) AS duplicates, avg(CASE WHEN x IS NULL THEN 1.0 ELSE 0.0 END) AS missing,
   avg(CASE WHEN mad > 0 AND abs(x - med) > 5 * mad THEN 1.0 ELSE 0.0 END) AS outliers FROM q GROUP BY name""")
 def quality_report(spark, d):
     return md.quality_report(bars(spark, d), ["close", "amount"])

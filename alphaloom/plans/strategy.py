@@ -82,10 +82,10 @@ def timing_regime(spark, d):
     return tm.regime(index_series(spark, d))
 
 
-@query("dt policy", "", f"""WITH {INDEX}, ev AS (SELECT o_orderkey AS seq, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS signal FROM orders WHERE o_orderkey % 97 = 0),
+@query("dt policy", "", f"""WITH {INDEX}, ev AS (SELECT o_orderkey AS seq, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS signal FROM orders),
   j AS (SELECT idx.dt, arg_max(signal, seq) AS policy FROM idx JOIN ev ON idx.dt BETWEEN ev.day - 3 AND ev.day + 3 GROUP BY idx.dt) --- SELECT idx.dt, coalesce(policy, 'NEUTRAL') AS policy FROM idx LEFT JOIN j USING (dt)""")
 def timing_policy(spark, d):
-    ev = table(spark, d, "orders").filter("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("event_seq"), F.to_date("o_orderdate").alias("event_day"), F.when(F.col("o_orderkey") % 2 == 0, "LONG").otherwise("SHORT").alias("signal"))
+    ev = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_seq"), F.to_date("o_orderdate").alias("event_day"), F.when(F.col("o_orderkey") % 2 == 0, "LONG").otherwise("SHORT").alias("signal"))
     return tm.policy_calendar(index_series(spark, d), ev)
 
 
@@ -185,18 +185,18 @@ def performance_regime(spark, d):
     return pf.regime_performance(i, tm.regime(i))
 
 
-BR = f"""{LABELS}, x AS (SELECT * FROM y WHERE dt = DATE '1998-01-01' AND fwd_1 IS NOT NULL), b AS (SELECT industry AS key, count(*) / (SELECT count(*) FROM x) AS bw, avg(fwd_1) AS br FROM x GROUP BY 1),
-  q AS (SELECT * FROM x WHERE code % 2 = 0), p AS (SELECT industry AS key, count(*) / (SELECT count(*) FROM q) AS w, avg(fwd_1) AS r FROM q GROUP BY 1)"""
+BR = f"""{WEIGHTS}, b AS (SELECT dt, industry AS key, count(*) / sum(count(*)) OVER (PARTITION BY dt) AS bw, avg(fwd_1) AS br FROM y WHERE fwd_1 IS NOT NULL GROUP BY 1, 2),
+  p AS (SELECT dt, industry AS key, sum(weight) AS w, sum(weight * fwd_1) / sum(weight) AS r FROM wt WHERE fwd_1 IS NOT NULL GROUP BY 1, 2)"""
 
 
-@query("key", "allocation selection interaction", f"WITH {BR} --- SELECT key, (w - bw) * (br - sum(bw * br) OVER ()) AS allocation, bw * (r - br) AS selection, (w - bw) * (r - br) AS interaction FROM p JOIN b USING (key)")
+@query("dt key", "allocation selection interaction", f"""WITH {BR}, j AS (SELECT dt, key, coalesce(w, 0) AS w, coalesce(r, br) AS r, bw, br, sum(bw * br) OVER (PARTITION BY dt) AS total FROM b LEFT JOIN p USING (dt, key)) ---
+  SELECT dt, key, (w - bw) * (br - total) AS allocation, bw * (r - br) AS selection, (w - bw) * (r - br) AS interaction FROM j""")
 def performance_brinson(spark, d):
-    x = labelled(spark, d).filter("dt = date'1998-01-01' and fwd_1 is not null")
-
-    def shares(df):
-        return df.groupBy(F.col("industry").alias("key")).agg(F.count(F.lit(1)).alias("c"), F.avg("fwd_1").alias("r")).withColumn("w", F.col("c") / F.sum("c").over(pf.W.partitionBy()))
-
-    return pf.brinson(shares(x.filter("code % 2 = 0")), shares(x))
+    known = labelled(spark, d).filter("fwd_1 is not null")
+    share = (F.count(F.lit(1)) / F.sum(F.count(F.lit(1))).over(pf.W.partitionBy("dt"))).alias("w")
+    benchmark = known.groupBy("dt", F.col("industry").alias("key")).agg(share, F.avg("fwd_1").alias("r"))
+    held = po.score_weights(scored(spark, d)).filter("fwd_1 is not null").groupBy("dt", F.col("industry").alias("key"))
+    return pf.brinson(held.agg(F.sum("weight").alias("w"), (F.sum(F.col("weight") * F.col("fwd_1")) / F.sum("weight")).alias("r")), benchmark)
 
 
 IND = f"{LABELS}, iv AS (SELECT dt, industry, avg(g) AS r FROM y GROUP BY 1, 2)"

@@ -15,6 +15,7 @@ ITEMS = {
     "net_profit": ("pr <= 2", "pr = 5"),
     "cfo": ("o_orderstatus = 'O'", "pr = 4"),
     "debt": ("pr = 3", None),
+    "current_assets": ("pr = 1 OR pr = 4", None),
     "current_liabilities": ("pr = 4", None),
     "goodwill": ("pr = 5", None),
 }

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alphaloom.functions.columns import average_rank, clip, safe_divide
-from alphaloom.operators import market_data, pit, portfolio, preprocess, price, research
+from alphaloom.operators import flows, fundamentals, market_data, pit, portfolio, preprocess, price, research
 from alphaloom.sources.tables import upsert
 
 
@@ -75,14 +75,54 @@ def test_psi_and_ks_of_equal_samples(spark, frame):
 
 
 def test_cleaning(spark):
-    d = dt.date(2024, 1, 1)
-    rows = [(1, d, 1.0, 2.0, 0.5, 1.5, 10), (1, d, 1.0, 2.0, 0.5, 1.6, 20), (2, d, 1.0, 0.9, 0.5, 1.5, 10), (3, d, 1.0, 2.0, 0.5, None, 10), (4, d, 1.0, 2.0, 0.5, -1.0, 10)]
-    got = market_data.clean(spark.createDataFrame(rows, "code int, dt date, open double, high double, low double, close double, volume int")).orderBy("code").collect()
-    assert [(r["code"], r["close"], r["ohlc_flag"]) for r in got] == [(1, 1.6, False), (2, 1.5, True)]
+    d = [dt.date(2024, 1, k) for k in (1, 2, 3)]
+    rows = [
+        (1, d[0], "600001.SH", 1.0, 2.0, 0.5, 1.5, 10, 7.0, 1), (1, d[0], "600001.SH", 1.0, 2.0, 0.5, 1.6, 20, None, 2),  # delivered twice: the last stays, whatever its volume
+        (1, d[1], "600001.SH", 1.6, 1.8, 1.5, 1.78, 5, 9.0, 3), (1, d[2], "600001.SH", 1.78, 1.78, 1.78, 1.78, 0, None, 4),
+        (2, d[0], "300002.SZ", 1.0, 0.9, 0.5, 1.0, 10, None, 5), (2, d[1], "300002.SZ", 1.1, 1.2, 1.1, 1.2, 10, 3.0, 6), (2, d[2], "300002.SZ", 1.2, 1.5, 1.1, 1.45, 10, None, 7),
+        (3, d[0], "600003.SH", 1.0, 2.0, 0.5, None, 10, 1.0, 8), (4, d[0], "600004.SH", 1.0, 2.0, 0.5, 1.0, -1, 1.0, 9), (4, d[1], "600004.SH", -1.0, 2.0, 0.5, 1.0, 1, 1.0, 10),
+    ]
+    bars = spark.createDataFrame(rows, "code int, dt date, ts_code string, open double, high double, low double, close double, volume int, amount double, seq int")
+    got = market_data.clean(bars).orderBy("code", "dt").collect()
+    assert [(r["code"], r["dt"], r["close"], r["amount"], r["ohlc_flag"], r["limit_flag"], r["suspended"]) for r in got] == [
+        (1, d[0], 1.6, None, False, False, False), (1, d[1], 1.78, 9.0, False, True, False), (1, d[2], 1.78, 9.0, False, False, True),
+        (2, d[0], 1.0, None, True, False, False), (2, d[1], 1.2, 3.0, False, False, False), (2, d[2], 1.45, 3.0, False, True, False),
+    ]
     codes = market_data.clean_codes(spark.createDataFrame([(" 000001.sz ",), ("830001.SZ",), ("abc",)], "ts_code string"))
     assert [r[0] for r in codes.collect()] == ["000001.SZ"]
 
 
+def test_a_late_restatement_replaces_no_newer_period(spark):
+    d = dt.date
+    rows = [(1, d(2024, 3, 31), d(2024, 4, 10), 3, 1, 5.0), (1, d(2024, 6, 30), d(2024, 7, 10), 3, 1, 8.0), (1, d(2024, 3, 31), d(2024, 8, 1), 3, 2, 6.0), (1, d(2024, 6, 30), d(2024, 8, 5), 1, 9, 1.0)]
+    filings = spark.createDataFrame(rows, "code int, end_date date, ann_date date, source_priority int, revision_no int, net_profit double")
+    days = spark.createDataFrame([(1, x) for x in (d(2024, 5, 1), d(2024, 7, 15), d(2024, 9, 1))], "code int, dt date")
+    assert [r["net_profit"] for r in pit.as_of(days, filings, "net_profit").orderBy("dt").collect()] == [5.0, 8.0, 8.0]
+
+
+def test_expired_intervals_hide_none_that_is_open(spark):
+    d = dt.date
+    spans = spark.createDataFrame([(1, d(2024, 1, 1), None, 10), (1, d(2024, 2, 1), d(2024, 3, 1), 20), (1, d(2024, 4, 1), None, 5), (1, d(2024, 4, 1), None, 7), (1, d(2024, 5, 1), d(2024, 5, 1), 9), (2, d(2024, 1, 1), d(2024, 2, 1), 1)], "code int, effective date, expire date, cls int")
+    days = spark.createDataFrame([(1, d(2023, 12, 31)), (1, d(2024, 1, 1)), (1, d(2024, 2, 29)), (1, d(2024, 3, 1)), (1, d(2024, 6, 1)), (2, d(2024, 2, 1)), (3, d(2024, 1, 1))], "code int, dt date")
+    got = flows.valid_at(spans, days, "cls").orderBy("code", "dt").collect()
+    assert [r["cls"] for r in got] == [None, 10, 20, 10, 7, None, None]
+
+
+def test_changed_contents_break_the_chain(spark):
+    log = spark.createDataFrame([(i, f"entry {i}") for i in range(6)], "seq long, entry string").withColumn("hash", F.sha2("entry", 256))
+    chained = market_data.chain(log)
+    assert all(r["valid"] for r in market_data.verify_chain(chained).collect())
+    changed = chained.withColumn("entry", F.when(F.col("seq") == 3, F.lit("forged")).otherwise(F.col("entry")))
+    assert [r["seq"] for r in market_data.verify_chain(changed).filter("not valid").collect()] == [3]
+    rehashed = changed.withColumn("hash", F.sha2("entry", 256))
+    assert [r["seq"] for r in market_data.verify_chain(rehashed).filter("not valid").collect()] == [4]
+
+
+def test_current_ratio_divides_current_assets(spark):
+    row = {c: 1.0 for c in ("net_profit", "equity", "equity_prev", "assets", "assets_prev", "gross_profit", "goodwill")} | {"revenue": 100.0, "current_assets": 6.0, "current_liabilities": 4.0}
+    assert fundamentals.quality(spark.createDataFrame([row])).first()["current_ratio"] == 1.5
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, v int, x string")
     new = spark.createDataFrame([(2, 1, "c"), (3, 1, "d")], "k int, v int, x string")
