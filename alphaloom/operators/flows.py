@@ -115,3 +115,9 @@ def valid_at(intervals: DataFrame, rows: DataFrame, value: str) -> DataFrame:
 def snapshots(df: DataFrame) -> DataFrame:
     """Members of each date as one sorted list."""
     return df.groupBy("dt").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("code")), ",").alias("members"))
+
+
+def alternative(df: DataFrame, n: int = 20, least: int = 5) -> DataFrame:
+    """sentiment_mean (rolling, per code), supply (0.6 of orders and 0.4 of deliveries; the one known where one is missing), patent_growth (four rows back), policy (as given)."""
+    supply = F.when(F.col("orders").isNull(), F.col("deliveries")).when(F.col("deliveries").isNull(), F.col("orders")).otherwise(0.6 * F.col("orders") + 0.4 * F.col("deliveries"))
+    return df.withColumns({"sentiment_mean": rolling(F.avg, "sentiment", n, least), "supply": supply, "patent_growth": pct_change("patents", 4), "policy": F.col("policy_score")})

@@ -122,3 +122,23 @@ def preprocess(df: DataFrame, x: str, direction: int = 1) -> DataFrame:
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     """Share of known values per date."""
     return df.groupBy("dt").agg(*(F.avg(F.col(c).isNotNull().cast("double")).alias(f"{c}_coverage") for c in columns))
+
+
+def missing_flags(df: DataFrame, columns: list[str]) -> DataFrame:
+    """{column}_missing: 1 where the column is null, else 0."""
+    return df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in columns})
+
+
+def winsorize_adaptive(df: DataFrame, x: str, vol: str, long_vol: str, p: float = 3.0) -> DataFrame:
+    """Clip to median +- k scaled MADs, where k is ``p`` times the date's volatility on the long-run one, within a half and twice ``p`` (unknown: ``p``)."""
+    d = date()
+    scale = F.when(F.col(long_vol) > 0, clip(F.col(vol) / F.col(long_vol), 0.5, 2.0))
+    df = df.withColumn("_k", p * F.coalesce(scale, F.lit(1.0))).withColumn("_med", F.median(x).over(d)).withColumn("_mad", F.median(F.abs(F.col(x) - F.col("_med"))).over(d) * MAD_SCALE)
+    return df.withColumn(x, F.when(F.col("_mad") > 0, clip(x, F.col("_med") - F.col("_k") * F.col("_mad"), F.col("_med") + F.col("_k") * F.col("_mad"))).otherwise(F.col(x))).drop("_k", "_med", "_mad")
+
+
+def training_table(df: DataFrame, factors: list[str], label: str, industry: str = "industry") -> DataFrame:
+    """code, dt, {factor}_rank (average rank on known rows of the date, 0 to 1) and target (the label less its industry's mean), rows with a label."""
+    known = df.filter(F.col(label).isNotNull())
+    ranks = {f"{f}_rank": average_rank(f) / F.count(f).over(date()) for f in factors}
+    return known.withColumns(ranks | {"target": F.col(label) - F.avg(label).over(date("dt", industry))}).select("code", "dt", *ranks, "target")

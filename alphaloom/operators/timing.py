@@ -110,3 +110,72 @@ def fuse_dma(df: DataFrame, signals: list[str], forgetting: float = 0.95) -> Dat
         return pd.DataFrame({"code": rows["code"], "dt": rows["dt"], "dma": out})
 
     return df.select("code", "dt", "close", *signals).groupBy("code").applyInPandas(run, "code string, dt date, dma double")
+
+
+def market_features(df: DataFrame) -> DataFrame:
+    """Trend (close on its means of 20 and 60 rows, less 1), annual volatility of 20 and 60, volume of 10 on 60, returns of 5 and 20 rows, of every row."""
+    df = df.withColumn("_r", pct_change("close"))
+    mean = lambda x, n: rolling(F.avg, x, n)
+    return df.withColumns({
+        "trend_20": F.col("close") / mean("close", 20) - 1, "trend_60": F.col("close") / mean("close", 60) - 1,
+        "vol_20": rolling(F.stddev_samp, "_r", 20) * 252**0.5, "vol_60": rolling(F.stddev_samp, "_r", 60) * 252**0.5,
+        "volume_ratio": mean("volume", 10) / mean("volume", 60), "ret_5": pct_change("close", 5), "ret_20": pct_change("close", 20),
+    })
+
+
+def size_spread(df: DataFrame, share: float = 0.3, n: int = 20) -> DataFrame:
+    """dt, spread, mean_spread: mean return (ret) of the smallest ``share`` by cap less that of the largest, and its mean over the last n rows."""
+    place = F.percent_rank().over(W.partitionBy("dt").orderBy("cap", "code"))
+    sides = df.filter("ret is not null").withColumn("_p", place).groupBy("dt").agg(F.avg(F.when(F.col("_p") <= share, F.col("ret"))).alias("small"), F.avg(F.when(F.col("_p") >= 1 - share, F.col("ret"))).alias("large"))
+    last = W.orderBy("dt").rowsBetween(-(n - 1), 0)  # one row a date
+    out = sides.withColumn("spread", F.col("small") - F.col("large"))
+    return out.select("dt", "spread", F.avg("spread").over(last).alias("mean_spread"))
+
+
+def sector_dispersion(df: DataFrame, sector: str = "industry", least: int = 3) -> DataFrame:
+    """dt, dispersion: the deviation of the sectors' mean returns (ret) on a date; null below ``least`` sectors."""
+    per = df.filter("ret is not null").groupBy("dt", sector).agg(F.avg("ret").alias("r"))
+    return per.groupBy("dt").agg(F.when(F.count("r") >= least, F.stddev_samp("r")).alias("dispersion"))
+
+
+def regime_confidence(df: DataFrame) -> DataFrame:
+    """regime and confidence of rows with trend_20, vol_20 and breadth: bull, bear, high_vol or range, the confidence by how clear the trend is."""
+    regime = F.when(F.col("vol_20") > 0.3, "high_vol").when((F.col("trend_20") > 0.02) & (F.col("breadth") > 0.5), "bull").when((F.col("trend_20") < -0.02) & (F.col("breadth") < 0.5), "bear").otherwise("range")
+    clear = F.least(F.lit(1.0), F.abs("trend_20") / 0.1 * 0.5 + F.abs(F.col("breadth") - 0.5))
+    return df.withColumns({"market_regime": F.when(F.col("trend_20").isNotNull() & F.col("vol_20").isNotNull() & F.col("breadth").isNotNull(), regime), "confidence": clear})
+
+
+def fuse_by_hits(df: DataFrame, signals: list[str], alpha: float = 10.0, beta: float = 10.0, threshold: float = 0.2) -> DataFrame:
+    """score and fused: signals weighed by the posterior mean of their hit rate, Beta(alpha, beta) before any.
+
+    A hit is a signal whose sign the next row's return has. Only rows before the date count, so nothing
+    is known in advance.
+    """
+    nxt = F.lead("close").over(series()) / F.col("close") - 1
+    side = {s: F.when(F.col(s) == LONG, 1.0).when(F.col(s) == SHORT, -1.0).otherwise(0.0) for s in signals}
+    df = df.withColumn("_n", nxt)
+    df = df.withColumns({f"_h_{s}": F.when((x != 0) & F.col("_n").isNotNull(), (x * F.col("_n") > 0).cast("double")) for s, x in side.items()})
+    past = series().rowsBetween(W.unboundedPreceding, -1)  # a hit of the row before is known only now: its return ends here
+    weight = {s: (alpha + F.coalesce(F.sum(f"_h_{s}").over(past), F.lit(0.0))) / (alpha + beta + F.count(f"_h_{s}").over(past)) for s in signals}
+    df = df.withColumns({f"weight_{s}": w for s, w in weight.items()})
+    top = reduce(lambda a, b: a + b, (F.col(f"weight_{s}") * x for s, x in side.items()))
+    df = df.withColumn("score", top / reduce(lambda a, b: a + b, (F.col(f"weight_{s}") for s in signals)))
+    return df.withColumn("fused", signal(F.col("score") > threshold, F.col("score") < -threshold))
+
+
+def resampled(df: DataFrame, blends: dict[int, float], fast: int = 5, slow: int = 20) -> DataFrame:
+    """score: the trend (1, 0 or -1 by fast and slow means) of closes taken every k rows, weighed by ``blends`` {k: weight}.
+
+    A block's close is known at its last row; until the next block ends the signal stands.
+    """
+    place = F.row_number().over(series())
+    df = df.withColumn("_i", place)
+    terms = []
+    for k, weight in blends.items():
+        ends = F.col("_i") % k == 0
+        block = W.partitionBy("code", ends).orderBy("dt")
+        mean = lambda n: F.when(F.count("close").over(block.rowsBetween(-(n - 1), 0)) >= n, F.avg("close").over(block.rowsBetween(-(n - 1), 0)))
+        df = df.withColumn(f"_t{k}", F.when(ends & mean(slow).isNotNull(), F.signum(mean(fast) - mean(slow))))
+        df = df.withColumn(f"_t{k}", F.last(f"_t{k}", ignorenulls=True).over(series().rowsBetween(W.unboundedPreceding, 0)))
+        terms.append(F.coalesce(f"_t{k}", F.lit(0.0)) * weight)
+    return df.withColumn("score", reduce(lambda a, b: a + b, terms))
