@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,49 +68,6 @@ def nav(weights: DataFrame, returns: DataFrame, label: str = "fwd_1") -> DataFra
     return daily.withColumn("nav", F.exp(F.sum(F.log1p("ret")).over(W.orderBy("dt").rowsBetween(W.unboundedPreceding, 0))))  # one row a date
 
 
-def fold_rows(df: DataFrame, configs: DataFrame) -> DataFrame:
-    """The rows that a fold of each configuration (config_id, n) can trade or value, and the first of each date.
-
-    A held name that leaves the first n is sold at its next row, so only rows within n and those right
-    after such a row of the same code count: at most 2 n + 1 a date, however many codes there are
-    (more only where codes miss dates).
-    """
-    before = F.lag("rank").over(W.partitionBy("code").orderBy("dt"))
-    first = F.row_number().over(date().orderBy(F.col("rank").asc_nulls_last(), "code")) == 1
-    rows = df.select("dt", "code", "close", "rank", before.alias("_before"), first.alias("_first")).crossJoin(F.broadcast(configs))
-    return rows.filter((F.col("rank") <= F.col("n")) | (F.col("_before") <= F.col("n")) | F.col("_first")).drop("_before", "_first")
-
-
-def simulate(df: DataFrame, configs: DataFrame, lot: int = 100, cash: float = 1e6) -> DataFrame:
-    """config_id, dt, nav, cash, positions of a T+1 fold for each configuration (config_id, n).
-
-    On each date the held names outside the first n are sold, then names within it are bought with
-    equal shares of the value, in lots, as far as cash goes; bought shares are sold a date later at
-    the earliest. Configurations run side by side; one fold holds the rows of ``fold_rows``.
-    """
-    rows = fold_rows(df, configs)  # a configuration each
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        n = int(part["n"].iloc[0])
-        money, shares, bought, out = cash, {}, {}, []
-        price: dict = {}
-        for t, (day, rows) in enumerate(part.sort_values(["dt", "rank"]).groupby("dt")):
-            price |= dict(zip(rows["code"], rows["close"]))
-            target = rows.loc[rows["rank"] <= n, "code"].tolist()
-            for code in [c for c in shares if c not in target and bought[c] < t and c in set(rows["code"])]:
-                money += shares.pop(code) * price[code] * (1 - 0.00126)
-            value = money + sum(k * price[c] for c, k in shares.items())
-            for code in target:
-                k = int(min(value / n, money / 1.0005) / price[code] / lot) * lot if code not in shares and price[code] > 0 else 0
-                if k:
-                    shares[code], bought[code] = k, t
-                    money -= k * price[code] * 1.0003
-            out.append((key[0], day, money + sum(k * price[c] for c, k in shares.items()), money, len(shares)))
-        return pd.DataFrame(out, columns=["config_id", "dt", "nav", "cash", "positions"])
-
-    return rows.groupBy("config_id").applyInPandas(run, "config_id long, dt date, nav double, cash double, positions long")
-
-
 def capped_simplex(v: np.ndarray, cap: float = 1.0) -> np.ndarray:
     """The nearest point with entries within [0, cap] that sum to 1 (bisection on the shift)."""
     low, high = v.min() - 1, v.max()

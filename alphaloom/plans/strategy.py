@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from alphaloom.operators import backtest as bt
 from alphaloom.operators import learning as ln
 from alphaloom.operators import performance as pf
 from alphaloom.operators import portfolio as po
+from alphaloom.operators import price
 from alphaloom.operators import timing as tm
 from alphaloom.sources.tables import INDEX, PANEL, index_series, panel, table
 
@@ -148,9 +150,20 @@ def trade_costs(spark, d):
     return po.trade_costs(t)
 
 
-@query("config_id dt positions", "nav cash", digits=2)
+def configurations(spark):
+    return spark.createDataFrame([(1, 5, 1, 9.0), (2, 10, 1, 9.0), (3, 5, 3, 0.3), (4, 10, 3, 0.3)], "config_id long, n int, every int, most_turnover double")
+
+
+@query("config_id dt positions buys sells", "nav cash turnover cost", digits=2)
 def backtest_sweep(spark, d):
-    return po.simulate(scored(spark, d), spark.createDataFrame([(1, 5), (2, 10)], "config_id long, n int"))
+    ranked = price.returns(scored(spark, d)).withColumn("dividend", F.when(F.month("dt") == 6, F.col("close") * 0.01))
+    return bt.run_backtest(bt.market_flags(ranked, 0.3), configurations(spark))
+
+
+@query("dt code tier", "weight", f"""WITH {WEIGHTS}, sh AS (SELECT dt, industry, count(score) / sum(count(score)) OVER (PARTITION BY dt) AS share FROM rk GROUP BY 1, 2), w4 AS (SELECT wt.dt, wt.code, wt.weight, share + 0.05 AS cap, sum(wt.weight) OVER (PARTITION BY wt.dt, wt.industry) AS total FROM wt JOIN sh ON sh.dt = wt.dt AND sh.industry = wt.industry) ---
+  SELECT w4.dt, w4.code, CAST(least(3, floor((rk.rank - 1) * 3 / 10) + 1) AS INTEGER) AS tier, CASE WHEN total > w4.cap THEN w4.weight * w4.cap / total ELSE w4.weight END AS weight FROM w4 JOIN rk ON rk.dt = w4.dt AND rk.code = w4.code""")
+def portfolio_production(spark, d):
+    return bt.production_portfolio(scored(spark, d), deviation=0.05)
 
 
 METRICS = f"""{PANEL}, p AS (SELECT *, close / lag(close) OVER s - 1 AS ret, close / max(close) OVER (PARTITION BY code ORDER BY dt ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM panel WINDOW s AS (PARTITION BY code ORDER BY dt)),

@@ -140,44 +140,9 @@ def test_optimisers():
     assert np.allclose(share, 1 / 6, atol=1e-6)
 
 
-def test_simulation_conserves_value(spark, frame):
-    df = spark.createDataFrame(frame).withColumn("score", F.col("close"))
-    ranked = portfolio.rank_scores(df, 2)
-    out = portfolio.simulate(ranked, spark.createDataFrame([(1, 2)], "config_id long, n int")).toPandas()
-    assert len(out) == 60 and (out.cash >= -1e-6).all() and (out.nav > 0).all()
-
-
 def test_imports_without_the_training_data_operators():
     import pathlib
 
     for path in pathlib.Path("alphaloom").rglob("*.py"):
         if "llm" not in path.parts:
             assert "alphaloom.llm" not in path.read_text()
-
-
-def test_fold_reads_only_rows_that_it_can_trade(spark):
-    rng = np.random.default_rng(8)
-    days, rows = pd.date_range("2020-01-01", periods=30), []
-    for t, day in enumerate(days):
-        codes = [c for c in range(60) if rng.random() < 0.9]  # names miss dates
-        rows += [(day.date(), c, float(rng.uniform(5, 50)), r + 1) for r, c in enumerate(rng.permutation(codes).tolist())]
-    df = spark.createDataFrame(rows, "dt date, code long, close double, rank int")
-    configs = spark.createDataFrame([(1, 3), (2, 8)], "config_id long, n int")
-    sent = portfolio.fold_rows(df, configs).groupBy("config_id").count().collect()
-    assert all(r["count"] <= 30 * (2 * {1: 3, 2: 8}[r.config_id] + 1) for r in sent)
-    got = {(r.config_id, r.dt): (r.nav, r.cash, r.positions) for r in portfolio.simulate(df, configs).collect()}
-    for config, n in ((1, 3), (2, 8)):
-        money, shares, price = 1e6, {}, {}
-        for day in sorted({r[0] for r in rows}):
-            today = {c: (p, k) for d, c, p, k in rows if d == day}
-            price |= {c: p for c, (p, _) in today.items()}
-            target = sorted((c for c in today if today[c][1] <= n), key=lambda c: today[c][1])
-            for c in [c for c in shares if c in today and c not in target]:
-                money += shares.pop(c) * price[c] * (1 - 0.00126)
-            value = money + sum(k * price[c] for c, k in shares.items())
-            for c in target:
-                k = 0 if c in shares else int(min(value / n, money / 1.0005) / price[c] / 100) * 100
-                if k:
-                    shares[c] = k
-                    money -= k * price[c] * 1.0003
-            assert np.allclose(got[config, day], (money + sum(k * price[c] for c, k in shares.items()), money, len(shares)))
