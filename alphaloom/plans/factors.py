@@ -9,6 +9,7 @@ from alphaloom.operators import price
 from alphaloom.sources.tables import BARS, DIMS, PANEL, bars, dims, panel
 
 from .registry import query
+from .research import two_controls
 
 ROLL = "PARTITION BY code ORDER BY dt ROWS BETWEEN {} PRECEDING AND CURRENT ROW"
 RET = f"""{PANEL}, r AS (SELECT *, CASE WHEN lag(close) OVER s <> 0 THEN close / lag(close) OVER s - 1 END AS ret FROM panel WINDOW s AS (PARTITION BY code ORDER BY dt))"""
@@ -87,7 +88,10 @@ def price_drawdown(spark, d):
     return price.drawdown(panel(spark, d))
 
 
-@query("code dt", "macd_signal rsi")
+@query("code dt", "macd_signal rsi", f"""WITH RECURSIVE {PANEL}, n AS (SELECT code, dt, close, row_number() OVER (PARTITION BY code ORDER BY dt) AS i, count(*) OVER (PARTITION BY code) AS c FROM panel),
+  em AS (SELECT *, close AS e1, close AS e2, CAST(0 AS DOUBLE) AS dif, CAST(0 AS DOUBLE) AS dea, CAST(0 AS DOUBLE) AS up, CAST(0 AS DOUBLE) AS down FROM n WHERE i = 1
+    UNION ALL SELECT code, dt, close, i, c, e1, e2, e1 - e2, dea + 0.2 * (e1 - e2 - dea), up, down FROM (SELECT n.*, em.e1 + 2 / 13 * (n.close - em.e1) AS e1, em.e2 + 2 / 27 * (n.close - em.e2) AS e2, em.dea, em.up + (greatest(n.close - em.close, 0) - em.up) / 14 AS up, em.down + (greatest(em.close - n.close, 0) - em.down) / 14 AS down FROM em JOIN n ON n.code = em.code AND n.i = em.i + 1)) ---
+  SELECT code, dt, CASE WHEN c >= 35 THEN (dif - dea) / close * 100 END AS macd_signal, CASE WHEN i > 14 AND up + down > 0 THEN 100 * up / (up + down) END AS rsi FROM em""")
 def price_ema_family(spark, d):
     return price.ema_family(panel(spark, d))
 
@@ -208,7 +212,7 @@ def neutralize_industry_cap(spark, d):
     return pp.neutralize_industry_cap(cross(spark, d), "f")
 
 
-@query("code dt", "residual")
+@query("code dt", "residual", f"WITH {CROSS}, {two_controls('x', 'f', 'g', 'ln(cap)', 7)} --- SELECT * FROM rz")
 def residual_controls(spark, d):
     return pp.residual(cross(spark, d).withColumn("lc", F.ln("cap")), "f", ["g", "lc"])
 

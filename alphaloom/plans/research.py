@@ -67,7 +67,13 @@ def labels_industry_neutral(spark, d):
     return rs.industry_neutral_return(panel(spark, d).join(dims(spark, d), "code"))
 
 
-@query("code dt", "residual")
+def two_controls(source: str, y: str, a: str, b: str, least: int) -> str:
+    """SQL of residuals on two controls by date, from the moments of rows that know all three."""
+    return f"""z AS (SELECT code, dt, {y} AS y, {a} AS a, {b} AS b, {y} IS NOT NULL AND {a} IS NOT NULL AND {b} IS NOT NULL AS ok FROM {source}), mo AS (SELECT dt, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS c, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM z WHERE ok GROUP BY dt),
+  rz AS (SELECT code, z.dt, CASE WHEN coalesce(n, 0) < {least} THEN y WHEN ok THEN y - my - (ay * vb - byy * c) / (va * vb - c * c) * (a - ma) - (byy * va - ay * c) / (va * vb - c * c) * (b - mb) END AS residual FROM z LEFT JOIN mo ON z.dt = mo.dt)"""
+
+
+@query("code dt", "residual", f"WITH {LABELS}, {two_controls('y', 'fwd_1', 'f', 'ln(cap)', 13)} --- SELECT * FROM rz")
 def labels_style_adjusted(spark, d):
     return rs.style_adjusted(labelled(spark, d).withColumn("lc", F.ln("cap")), "fwd_1", ["f", "lc"])
 

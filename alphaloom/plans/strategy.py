@@ -245,7 +245,10 @@ def risk_backtest_var(spark, d):
     return pf.backtest_var(index_series(spark, d))
 
 
-@query("dt factor", "ret")
+@query("dt factor", "ret", f"""WITH {LABELS}, wm AS (SELECT *, ln(cap) AS s, sqrt(cap) AS w FROM y WHERE fwd_1 IS NOT NULL AND f IS NOT NULL), mc AS (SELECT *, f - sum(w * f) OVER d / sum(w) OVER d AS fc, s - sum(w * s) OVER d / sum(w) OVER d AS c2, fwd_1 - sum(w * fwd_1) OVER d / sum(w) OVER d AS yc FROM wm WINDOW d AS (PARTITION BY dt)),
+  ms AS (SELECT dt, count(*) AS n, sum(w * f) / sum(w) AS mf, sum(w * s) / sum(w) AS m2, sum(w * fwd_1) / sum(w) AS my, sum(w * fc * fc) AS ff, sum(w * c2 * c2) AS ss, sum(w * fc * c2) AS fs, sum(w * fc * yc) AS fy, sum(w * c2 * yc) AS sy FROM mc GROUP BY dt),
+  kk AS (SELECT *, CASE WHEN n > 5 THEN (fy * ss - sy * fs) / (ff * ss - fs * fs) END AS k1, CASE WHEN n > 5 THEN (sy * ff - fy * fs) / (ff * ss - fs * fs) END AS k2 FROM ms) ---
+  SELECT dt, 'market' AS factor, my - k1 * mf - k2 * m2 AS ret FROM kk UNION ALL SELECT dt, 'f', k1 FROM kk UNION ALL SELECT dt, 'size', k2 FROM kk""", 5)
 def risk_barra_returns(spark, d):
     df = labelled(spark, d).withColumn("size", F.ln("cap"))
     return pf.barra_returns(df, "fwd_1", ["f", "size"])
@@ -257,12 +260,14 @@ def walk_forward_windows(spark, d):
     return ln.walk_forward(panel(spark, d), 24, 6, 1)
 
 
-@query("combination dt role", "")
+@query("combination dt role", "", f"""WITH {PANEL}, ds AS (SELECT dt, ntile(6) OVER (ORDER BY dt) - 1 AS fold FROM (SELECT DISTINCT dt FROM panel)), cb AS (SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS INTEGER) AS combination, a, b FROM range(6) x(a), range(6) z(b) WHERE a < b),
+  t AS (SELECT combination, dt, fold IN (a, b) AS test FROM ds, cb) --- SELECT combination, dt, CASE WHEN test THEN 'test' WHEN max(test::INT) OVER (PARTITION BY combination ORDER BY dt ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 THEN 'purged' ELSE 'train' END AS role FROM t""")
 def purged_folds(spark, d):
     return ln.purged_folds(panel(spark, d))
 
 
-@query("code dt", "prediction")
+@query("code dt", "prediction", f"""WITH {LABELS}, tr AS (SELECT f, g, fwd_1 FROM y WHERE f IS NOT NULL AND g IS NOT NULL AND fwd_1 IS NOT NULL AND dt < DATE '1999-01-01'), mo AS (SELECT avg(f) AS mf, avg(g) AS mg, avg(fwd_1) AS my, stddev_pop(f) AS sf, stddev_pop(g) AS sg, stddev_pop(fwd_1) AS sy, corr(f, g) AS r, corr(f, fwd_1) AS p, corr(g, fwd_1) AS q FROM tr),
+  be AS (SELECT *, (p * (1 + 0.1 / sy) - q * r) / (pow(1 + 0.1 / sy, 2) - r * r) * sy / sf AS k1, (q * (1 + 0.1 / sy) - p * r) / (pow(1 + 0.1 / sy, 2) - r * r) * sy / sg AS k2 FROM mo) --- SELECT code, dt, my + k1 * (f - mf) + k2 * (g - mg) AS prediction FROM y, be WHERE f IS NOT NULL AND g IS NOT NULL AND dt >= DATE '1999-01-01'""", 4)
 def ridge_predictions(spark, d):
     df = labelled(spark, d)
     model = ln.ridge(df.filter("dt < date'1999-01-01'"), ["f", "g"], "fwd_1")
