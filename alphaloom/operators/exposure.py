@@ -88,7 +88,7 @@ def t_quantile(p: float, df: float) -> float:
     """Quantile of Student's t, by integrating its density over the angle whose tangent is x / sqrt(df)."""
     theta = np.linspace(-np.pi / 2, np.pi / 2, 200_001)[1:-1]
     density = np.cos(theta) ** (df - 1)
-    mass = np.cumsum(density)
+    mass = np.cumsum(density) - density / 2
     return float(np.tan(np.interp(p, mass / mass[-1], theta)) * np.sqrt(df))
 
 

@@ -52,7 +52,11 @@ def adaptive_health(spark, d):
     return ad.health(history(spark, d))
 
 
-@query("factor dt state", "")
+@query("factor dt state", "", f"""WITH RECURSIVE {HIST}, so AS (SELECT factor, dt, coalesce(abs(ic), 0) AS x, row_number() OVER (PARTITION BY factor ORDER BY dt) AS i FROM hs),
+  st AS (SELECT factor, CAST(NULL AS DATE) AS dt, CAST(0 AS BIGINT) AS i, 1 AS lv, 0 AS good, 0 AS bad FROM (SELECT DISTINCT factor FROM so)
+    UNION ALL SELECT factor, dt, i, CASE WHEN g >= 2 THEN least(2, lv + 1) WHEN b >= 2 THEN greatest(0, lv - 1) ELSE lv END, CASE WHEN greatest(g, b) >= 2 THEN 0 ELSE g END, CASE WHEN greatest(g, b) >= 2 THEN 0 ELSE b END
+    FROM (SELECT so.factor, so.dt, so.i, lv, CASE WHEN x >= 0.1 THEN good + 1 ELSE 0 END AS g, CASE WHEN x <= 0.05 THEN bad + 1 ELSE 0 END AS b FROM st JOIN so ON so.factor = st.factor AND so.i = st.i + 1)) ---
+  SELECT factor, dt, CASE lv WHEN 2 THEN 'ACTIVE' WHEN 1 THEN 'MONITORING' ELSE 'INACTIVE' END AS state FROM st WHERE i > 0""")
 def adaptive_states(spark, d):
     return ad.states(history(spark, d), up=0.1, down=0.05, run=2)
 

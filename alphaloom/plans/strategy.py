@@ -98,7 +98,10 @@ def timing_fused(spark, d):
     return tm.fuse(tm.drawdown_signal(tm.ma_cross(index_series(spark, d))), {"ma_cross": 0.6, "dd_signal": 0.4}, 0.25)
 
 
-@query("dt", "dma")
+@query("dt", "dma", f"""WITH RECURSIVE {DD}, e AS (SELECT *, lag(dd) OVER (ORDER BY dt) AS b, {_ma(20)} AS f, {_ma(60)} AS s FROM dd), g AS (SELECT dt, close, row_number() OVER (ORDER BY dt) AS i, CASE WHEN f > s THEN 1.0 WHEN f < s THEN -1.0 ELSE 0.0 END AS sa, CASE WHEN dd < -0.1 THEN -1.0 WHEN b < -0.1 AND dd > -0.05 THEN 0.0 ELSE 1.0 END AS sc FROM e),
+  lw AS (SELECT dt, i, close, sa, sc, CAST(0 AS DOUBLE) AS la, CAST(0 AS DOUBLE) AS lc FROM g WHERE i = 1
+    UNION ALL SELECT g.dt, g.i, g.close, g.sa, g.sc, 0.95 * la + ln(0.5 + 0.1 * sign(lw.sa * (g.close - lw.close))), 0.95 * lc + ln(0.5 + 0.1 * sign(lw.sc * (g.close - lw.close))) FROM lw JOIN g ON g.i = lw.i + 1) ---
+  SELECT dt, (exp(la - greatest(la, lc)) * sa + exp(lc - greatest(la, lc)) * sc) / (exp(la - greatest(la, lc)) + exp(lc - greatest(la, lc))) AS dma FROM lw""")
 def timing_dma(spark, d):
     return tm.fuse_dma(tm.drawdown_signal(tm.ma_cross(index_series(spark, d))), ["ma_cross", "dd_signal"])
 
