@@ -33,12 +33,12 @@ def factor_ics(spark, d):
     return wt.factor_ics(many(spark, d), FACTORS, "fwd_1")
 
 
-@query("dt factor", "weight", f"WITH {RW} --- SELECT * FROM rw", 4)
+@query("dt factor", "weight", f"WITH {RW} --- SELECT * FROM rw")
 def weights_rolling_ic(spark, d):
     return wt.rolling_ic_weights(wt.factor_ics(many(spark, d), FACTORS, "fwd_1"))
 
 
-@query("code dt", "score", f"WITH {RW} --- SELECT code, dt, sum(x * weight) / sum(weight) AS score FROM tl JOIN rw USING (dt, factor) WHERE x IS NOT NULL GROUP BY 1, 2", 4)
+@query("code dt", "score", f"WITH {RW} --- SELECT code, dt, sum(x * weight) / sum(weight) AS score FROM tl JOIN rw USING (dt, factor) WHERE x IS NOT NULL GROUP BY 1, 2")
 def score_ic_weighted(spark, d):
     df = many(spark, d)
     weights = wt.rolling_ic_weights(wt.factor_ics(df, FACTORS, "fwd_1"))
