@@ -62,7 +62,7 @@ class Chunk:
 class WordTokenizer:
     """Ids of texts by distinct words; ``limit`` bounds the words remembered (all are forgotten beyond it)."""
 
-    def __init__(self, path: str, limit: int = 1_000_000, chunk: int = CHUNK, overlap: int = OVERLAP):
+    def __init__(self, path: str, limit: int = 600_000, chunk: int = CHUNK, overlap: int = OVERLAP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
