@@ -1,11 +1,13 @@
-"""The registered queries of the ten operators, each over its whole table, and their SQL."""
+"""The registered queries of the training-data operators, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, media, packing, pii, quality_fm, sentencepiece_dropout, simhash, token_counts, toxicity
+from . import exact_dedup, line_dedup, media, packing, periodic_runs, pii, quality_fm, sentencepiece_dropout, simhash, target_resampling, token_counts, toxicity
 from .features import fold
 
 
@@ -75,6 +77,38 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def cycle_words(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Every tenth document by checksum of its id (null: empty text) repeats a stretch of its words to its end."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.find_runs(documents(spark, sf_dir), edit=cycle_words)
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    out = out.withColumn("best", longest)
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        "best.length",
+        (-F.col("best.period")).alias("period"),
+        F.expr("best.length * 1000 div -best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
@@ -86,5 +120,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_target_resampling": op13_target_resampling,
 }
 ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
