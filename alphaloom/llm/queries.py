@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, media, packing, periodic_runs, pii, quality_fm, sentencepiece_dropout, simhash, target_resampling, token_counts, toxicity
+from . import exact_dedup, line_dedup, media, packing, periodic_runs, pii, quality_fm, repeats, sentencepiece_dropout, simhash, target_resampling, token_counts, toxicity
 from .features import fold
 
 
@@ -77,6 +77,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", repeats.removed_bytes().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def cycle_words(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """Every tenth document by checksum of its id (null: empty text) repeats a stretch of its words to its end."""
     h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
@@ -120,6 +125,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_target_resampling": op13_target_resampling,
 }
