@@ -95,9 +95,10 @@ def stretches_of(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, ..
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(id, body, text): id and body (a hash of the text and of a null id) tell rows apart; rows equal in both have the same repeats."""
-    text = text_of("text")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col("doc_id").isNull(), text).alias("body"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    """(id, body, text): id and body (a hash of the text, odd where the id is null) tell rows apart; rows equal in both have the same repeats."""
+    text, doc_id = text_of("text"), F.col("doc_id").cast("long")
+    body = F.xxhash64(text).bitwiseAND(F.lit(-2)) + doc_id.isNull().cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(0)).alias("id"), body.alias("body"), text.alias("text"), doc_id.alias("doc_id"))
 
 
 def stretches(rows: DataFrame, least: int) -> DataFrame:
@@ -146,12 +147,11 @@ _FOUND_ARROW = pa.schema([("id", pa.int64()), ("body", pa.int64()), ("ranges", p
 
 
 def _covered(found: Repeats) -> tuple[np.ndarray, np.ndarray]:
-    """First and last byte (exclusive) of the joined strings' stretches under maximal repeats."""
-    at = np.flatnonzero(found.deepest)
-    edge = np.zeros(len(found.deepest) + 1, np.int64)
+    """First and last byte (exclusive) of the joined strings' stretches under maximal repeats; none crosses into another string."""
+    at = np.flatnonzero(found.reach)
+    edge = np.zeros(len(found.reach) + 1, np.int64)
     np.add.at(edge, at, 1)
-    np.add.at(edge, at + found.deepest[at], -1)
-    # strings are joined without gaps, so a cover that ends with a string must not run into the next
+    np.add.at(edge, at + found.reach[at], -1)
     inside = np.cumsum(edge[:-1]) > 0
     start = inside.copy()
     start[1:] &= ~inside[:-1] | (found.array.owner[1:] != found.array.owner[:-1])
@@ -181,45 +181,64 @@ def _labels(found: Repeats, rows: list[dict], least: int) -> Iterator[dict]:
         yield {"h": rows[0]["h"], "part": int(part[own[0]]), "g1": g1[own].view(np.int64), "g2": g2[own].view(np.int64), "ids": ids[own], "bodies": bodies[own], "ats": at[own]}
 
 
-def search(least: int, most: int):
-    """mapInArrow function: contents ordered by (h, chunk, d) to covered ranges, and to labels of chunks that have others beside them."""
+def _marked(found: Repeats, rows: list[dict], least: int) -> Iterator[pa.RecordBatch]:
+    """Covered ranges of contents that occur once, and labels of a chunk that has others beside it."""
+    out = []
+    first, end = _covered(found)
+    owner = found.array.owner[first]
+    cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
+    for i in np.unique(owner).tolist():
+        if rows[i]["alone"]:
+            shift, own = rows[i]["at"] - int(found.array.begins[i]), slice(cuts[i], cuts[i + 1])
+            out.append({"id": rows[i]["id"], "body": rows[i]["body"], "ranges": [{"a": a + shift, "z": z + shift} for a, z in zip(first[own].tolist(), end[own].tolist())]})
+    if rows[0]["chunks"] > 1:
+        out += _labels(found, rows, least)
+    for k in range(0, len(out), 1000):
+        yield pa.RecordBatch.from_pylist(out[k : k + 1000], schema=_FOUND_ARROW)
+
+
+_OCCURRENCE = "h long, d long, at int, label string, length int, parent string"
+
+
+def _listed(found: Repeats, rows: list[dict], least: int) -> Iterator[pa.RecordBatch]:
+    """Every position at which a maximal repeat begins, with the innermost one there."""
+    sa, view = found.array, memoryview(found.array.raw)
+    label = [f"{xxhash.xxh3_128_intdigest(view[p : p + n]):032x}" for n, p in ((n, int(sa.order[k])) for n, k, _, _ in found.nodes)]
+    at = np.flatnonzero(found.deepest >= 0)
+    node, owner = found.deepest[at], sa.owner[at]
+    parent = [label[x[3]] if x[3] >= 0 else None for x in found.nodes]
+    columns = [[rows[i]["h"] for i in owner], [rows[i]["d"] for i in owner], (at - sa.begins[owner]).astype(np.int32), [label[k] for k in node], found.reach[at].astype(np.int32), [parent[k] for k in node]]
+    if len(at):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()))], ["h", "d", "at", "label", "length", "parent"])
+
+
+def search(least: int, most: int, report=_marked):
+    """mapInArrow function: contents ordered by (h, chunk, d) to what ``report`` says of their trees."""
 
     def trees(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        found = maximal_repeats([r["content"] for r in rows], least)
-        out = []
-        first, end = _covered(found)
-        owner = found.array.owner[first] if len(first) else first
-        for i in np.unique(owner).tolist():
-            if rows[i]["alone"]:
-                shift = rows[i]["at"] - int(found.array.begins[i])
-                own = owner == i if len(owner) < 64 else slice(*np.searchsorted(owner, [i, i + 1]))
-                out.append({"id": rows[i]["id"], "body": rows[i]["body"], "ranges": [{"a": a + shift, "z": z + shift} for a, z in zip(first[own].tolist(), end[own].tolist())]})
-        if rows[0]["chunks"] > 1:
-            out += _labels(found, rows, least)
-        for k in range(0, len(out), 1000):
-            yield pa.RecordBatch.from_pylist(out[k : k + 1000], schema=_FOUND_ARROW)
+        if rows:
+            yield from report(maximal_repeats([r["content"] for r in rows], least), rows, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, group, size = [], [], 0
+        held, group, size = [], [], 0  # whole groups that share a tree, and the group that comes in
         for b in batches:
             for r in b.to_pylist():
-                key = (r["h"], r["chunk"])
-                if group and (group[-1]["h"], group[-1]["chunk"]) != key:
+                if group and (group[-1]["h"], group[-1]["chunk"]) != (r["h"], r["chunk"]):
                     if group[0]["chunks"] > 1:  # a chunk's tree holds nothing else
                         yield from trees(group)
                     else:
                         held += group
                         size += sum(len(x["content"]) for x in group)
-                        if size >= most:
-                            yield from trees(held)
-                            held, size = [], 0
+                    if size >= most:
+                        yield from trees(held)
+                        held, size = [], 0
                     group = []
                 if not group or group[-1]["d"] != r["d"]:  # a row that the table repeats has the same contents
                     group.append(r)
-        for rest in ([group] if group and group[0]["chunks"] > 1 else [held + group], [held] if group and group[0]["chunks"] > 1 else []):
-            for rows in rest:
-                if rows:
-                    yield from trees(rows)
+        if group and group[0]["chunks"] > 1:
+            yield from trees(group)
+            group = []
+        yield from trees(held + group)
 
     return run
 
@@ -253,32 +272,68 @@ def _merge_labels(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
         yield from settle(parts)
 
 
+class Anchored:
+    """Stretches that may hold repeats, and the contents of groups that need a tree."""
+
+    def __init__(self, rows: DataFrame, least: int, chunk: int):
+        held = Written(stretches(rows, least), "repeat-stretches").df
+        self.total = held.count()
+        heads = held.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.expr("count(1) > 1 and min(d) = max(d)").alias("same"), F.max("twice").alias("again")).filter("n > 1 or again")
+        #: id, body, at, size, h, d, same: stretches whose anchor occurs again; ``same``: all of its stretches are equal.
+        self.matched = Written(join_counted(held.drop("twice"), Written(heads.drop("again"), "repeat-anchors").df, ["h"], self.total).drop("n"), "repeat-matched").df
+        self.mixed = self.matched.filter("not same")
+        place = F.struct("id", "body", "at")
+        self.each = Written(self.mixed.groupBy("h", "d").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max("size").alias("size")), "repeat-contents").df
+        groups = self.each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("size") / chunk).cast("int").alias("chunks"))
+        dealt = join_counted(self.each.withColumnRenamed("n", "times"), Written(groups, "repeat-groups").df, ["h"], self.each.count())
+        one = F.struct(F.col("first.at").alias("at"), "size", "h", "d", (F.col("times") == 1).alias("alone"), F.pmod("d", "chunks").cast("int").alias("chunk"), "chunks")
+        wanted = dealt.groupBy("first.id", "first.body").agg(F.collect_list(one).alias("wanted"))
+        contents = rows.select("id", "body", "text").join(wanted, ["id", "body"]).mapInArrow(giving_back(_cut), _CONTENT)
+        self.tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.contents = contents.repartition(self.tasks, "h", "chunk").sortWithinPartitions("h", "chunk", "d")
+
+    def again(self) -> DataFrame:
+        """Stretches of ``mixed`` whose whole content occurs again."""
+        return join_counted(self.mixed, self.each.filter("n > 1").select("h", "d", "n"), ["h", "d"], self.total)
+
+
 def repeated_ranges(rows: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFrame:
     """(id, body, ranges) of the rows of ``_rows`` that hold a window of ``least`` bytes which also starts elsewhere; ranges may overlap."""
-    held = Written(stretches(rows, least), "repeat-stretches").df
-    total = held.count()
-    heads = held.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.expr("count(1) > 1 and min(d) = max(d)").alias("same"), F.max("twice").alias("again")).filter("n > 1 or again")
-    matched = Written(join_counted(held.drop("twice"), Written(heads.drop("again"), "repeat-anchors").df, ["h"], total).drop("n"), "repeat-matched").df
-    whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("size")).alias("z"))).cast(_RANGE).alias("ranges")
-    mixed = matched.filter("not same")
-    place = F.struct("id", "body", "at")
-    each = Written(mixed.groupBy("h", "d").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max("size").alias("size")), "repeat-contents").df
-    groups = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("size") / chunk).cast("int").alias("chunks"))
-    dealt = join_counted(each.withColumnRenamed("n", "times"), Written(groups, "repeat-groups").df, ["h"], each.count())
-    one = F.struct(F.col("first.at").alias("at"), "size", "h", "d", (F.col("times") == 1).alias("alone"), F.pmod("d", "chunks").cast("int").alias("chunk"), "chunks")
-    wanted = dealt.groupBy("first.id", "first.body").agg(F.collect_list(one).alias("wanted"))
-    contents = rows.select("id", "body", "text").join(wanted, ["id", "body"]).mapInArrow(giving_back(_cut), _CONTENT)
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = contents.repartition(tasks, "h", "chunk").sortWithinPartitions("h", "chunk", "d")
-    found = Written(ordered.mapInArrow(giving_back(search(least, chunk)), _FOUND), "repeat-found").df
-    labels = found.filter("part is not null").drop("id", "body", "ranges").repartition(tasks, "h", "part").sortWithinPartitions("h", "part")
+    held = Anchored(rows, least, chunk)
+    found = Written(held.contents.mapInArrow(giving_back(search(least, chunk)), _FOUND), "repeat-found").df
+    labels = found.filter("part is not null").drop("id", "body", "ranges").repartition(held.tasks, "h", "part").sortWithinPartitions("h", "part")
     met = labels.mapInArrow(giving_back(lambda batches: _merge_labels(batches, least)), f"id long, body long, ranges {_RANGE}")
-    again = join_counted(mixed, each.filter("n > 1").select("h", "d", "n"), ["h", "d"], total)
     columns = ["id", "body", "ranges"]
-    spans = matched.filter("same").select("id", "body", whole).unionByName(again.select("id", "body", whole)).unionByName(found.filter("part is null").select(*columns)).unionByName(met)
+    whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("size")).alias("z"))).cast(_RANGE).alias("ranges")
+    stretched = held.matched.filter("same").select("id", "body", whole).unionByName(held.again().select("id", "body", whole))
+    spans = stretched.unionByName(found.filter("part is null").select(*columns)).unionByName(met)
     return spans.groupBy("id", "body").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
+def repeat_groups(docs: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFrame:
+    """Maximal repeat groups with all occurrences: (label, length, parent, doc_id, start), one row for each occurrence.
+
+    A repeat is maximal inside its stretches (up to about twice ``least`` bytes), so a longer one comes as
+    overlapping groups with the same documents. ``label`` tells groups apart by their bytes, ``parent`` is the
+    shorter group around it, and a position is listed under its innermost group: the occurrences of a group
+    are those listed under it or under a group that it is an ancestor of. Stretches that occur again whole
+    are groups of their own (label of anchor and content). In a group of more than ``chunk`` bytes a
+    repeat that no tree holds twice is left to ``remove_repeats``.
+    """
+    held = Anchored(_rows(docs), least, chunk)
+    listed = Written(held.contents.mapInArrow(giving_back(search(least, chunk, _listed)), _OCCURRENCE), "repeat-listed").df
+    n = held.each.select("h", "d", "n")
+    nodes = listed.withColumnRenamed("at", "inside").join(n, ["h", "d"])
+    alone = nodes.filter("n = 1").join(held.each.select("h", "d", "first.*"), ["h", "d"])
+    several = nodes.filter("n > 1").join(held.mixed.select("h", "d", "id", "body", "at"), ["h", "d"])
+    columns = ["label", "length", "parent", "id", "body"]
+    inner = alone.unionByName(several).select(*columns, (F.col("at") + F.col("inside")).alias("start"))
+    whole = held.matched.filter("same").select("id", "body", "at", "size", "h", "d").unionByName(held.again().select("id", "body", "at", "size", "h", "d"))
+    whole = whole.select(F.concat(F.hex("h"), F.lit("-"), F.hex("d")).alias("label"), F.col("size").alias("length"), F.lit(None).cast("string").alias("parent"), "id", "body", F.col("at").alias("start"))
+    out = inner.unionByName(whole)
+    return out.select("label", "length", "parent", F.when(F.col("body").bitwiseAND(F.lit(1)) == 0, F.col("id")).alias("doc_id"), "start")
+
+
 def _lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = b.column("ranges")

@@ -90,15 +90,17 @@ class SuffixArray:
 class Repeats:
     """Maximal repeats of at least ``least`` bytes.
 
-    ``nodes`` has (length, first, last) of each: its occurrences are the suffixes order[first..last], all of
-    them. ``deepest`` is the length of the longest of them that begins at each position (0: none).
+    ``nodes`` has (length, first, last, parent) of each: its occurrences are the suffixes order[first..last], all
+    of them, and ``parent`` is the number of the node around it (-1: none). ``deepest`` is the number of the
+    innermost node at each position (-1: none), and ``reach`` that node's length (0: none).
     ``alone`` marks the positions of windows of ``least`` bytes that occur once; ``shared`` has one position of
     each window that occurs more often.
     """
 
     array: SuffixArray
-    nodes: list[tuple[int, int, int]]
+    nodes: list[tuple[int, int, int, int]]
     deepest: np.ndarray
+    reach: np.ndarray
     alone: np.ndarray
     shared: np.ndarray
 
@@ -115,8 +117,8 @@ def maximal_repeats(strings: list[bytes], least: int) -> Repeats:
     linked = lcp >= least
     first = np.flatnonzero(~linked & np.append(linked[1:], False)) if n else np.empty(0, np.int64)
     last = np.flatnonzero(linked & ~np.append(linked[1:], False)) if n else np.empty(0, np.int64)
-    nodes: list[tuple[int, int, int]] = []
-    best = np.zeros(n, np.int64)
+    nodes: list[tuple[int, int, int, int]] = []
+    inner = np.full(n, -1, np.int64)
     diverse = changes[last] > changes[first]
     for a, z in zip(first[diverse].tolist(), last[diverse].tolist()):
         found, stack = [], []  # a repeat without left diversity in its whole interval has none in any part
@@ -129,12 +131,14 @@ def maximal_repeats(strings: list[bytes], least: int) -> Repeats:
             if depth and (not stack or stack[-1][0] < depth):
                 stack.append((depth, begin))
         for size, begin, end in reversed(found):  # an interval comes after those inside it
-            best[begin : end + 1] = size
-        nodes += found
-    deepest = np.zeros(n, np.int64)
-    deepest[order] = best
+            parent = int(inner[begin])
+            inner[begin : end + 1] = len(nodes)
+            nodes.append((size, begin, end, parent))
+    deepest = np.empty(n, np.int64)
+    deepest[order] = inner
+    reach = np.array([x[0] for x in nodes] + [0], np.int64)[deepest]
     member = linked | np.append(linked[1:], False) if n else linked
     alone = np.zeros(n, bool)
     alone[order[~member]] = True
     alone &= sa.rest >= least
-    return Repeats(sa, nodes, deepest, alone, order[first])
+    return Repeats(sa, nodes, deepest, reach, alone, order[first])
