@@ -7,6 +7,6 @@ from .registry import QUERIES, Query
 
 def registered() -> dict[str, Query]:
     """All queries, by name."""
-    from . import adaptive, exposure, factors, fundamental, modelling, research, store, strategy, weighting  # noqa: F401
+    from . import adaptive, bitemporal, exposure, factors, fundamental, modelling, research, store, strategy, versions, weighting  # noqa: F401
 
     return QUERIES

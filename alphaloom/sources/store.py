@@ -42,7 +42,8 @@ class Store:
 
     def _write(self, df: DataFrame, mode: str) -> None:
         df = df.withColumn(self.part, F.trunc("dt", "month"))
-        df.repartition(self.part).sortWithinPartitions("code", "dt").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(self.part).parquet(self.path)
+        # by ranges of month and code: a large month becomes several files of neighbouring codes
+        df.repartitionByRange(self.part, "code").sortWithinPartitions(self.part, "code", "dt").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(self.part).parquet(self.path)
 
     def read(self, start: str | None = None, end: str | None = None, codes: list | None = None, columns: list[str] | None = None) -> DataFrame:
         """Rows with start <= dt <= end of the given codes and columns; bounds left out do not bind."""
