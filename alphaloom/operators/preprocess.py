@@ -77,6 +77,27 @@ def _slope_residual(df: DataFrame, x: str, c: Column, least: int) -> DataFrame:
     return df.withColumn(x, F.when((n >= least) & (vx > 1e-12), F.col(x) - F.avg("_y").over(d) - fit * (F.col("_c") - F.avg("_c").over(d))).otherwise(F.col(x))).drop("_c", "_y")
 
 
+def neutralize_constrained(df: DataFrame, x: str, industry: str = "industry", weight: str | None = None, shares: str | None = None) -> DataFrame:
+    """x replaced by its residual on a market level and all industries, with ``market`` (the level) and ``effect`` (the industry's).
+
+    Weighted least squares per date (``weight``: null, zero or negative rows do not count; default 1 each) under one
+    constraint that makes all dummies identifiable: the effects sum to zero over the industries, or, given a
+    column ``shares`` (capitalisation), their mean weighted by the industries' sums of it is zero. The
+    dummies span the industries' weighted means, so the residual is x less that mean, the market is the (weighted) mean of the
+    means, and each effect is what an industry's mean adds. Rows of unknown x, industry or weight have no
+    residual and bind nothing.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    ok = F.col(x).isNotNull() & F.col(industry).isNotNull() & (w > 0)
+    df = df.withColumns({"_w": F.when(ok, w), "_x": F.when(ok, F.col(x))})
+    own, day = date("dt", industry), date()
+    df = df.withColumn("_m", F.sum(F.col("_w") * F.col("_x")).over(own) / F.sum("_w").over(own))
+    part = F.coalesce(F.when(ok, F.col(shares)), F.lit(0.0)) if shares else F.when(ok, 1 / F.count("_w").over(own))  # each industry counts once
+    df = df.withColumn("_s", F.when(ok, part))
+    df = df.withColumn("market", F.try_divide(F.sum(F.col("_s") * F.col("_m")).over(day), F.sum("_s").over(day)))
+    return df.withColumns({x: F.col("_x") - F.col("_m"), "effect": F.when(F.col("_w").isNotNull(), F.col("_m") - F.col("market"))}).drop("_w", "_x", "_m", "_s")
+
+
 def neutralize_cap(df: DataFrame, x: str, cap: str = "cap", least: int = 10, log: bool = True) -> DataFrame:
     """Residual of x on ln(cap) (or cap) per date; fewer than ``least`` rows stay as they are."""
     return _slope_residual(df, x, F.ln(cap) if log else F.col(cap), least)

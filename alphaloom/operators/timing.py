@@ -138,13 +138,6 @@ def sector_dispersion(df: DataFrame, sector: str = "industry", least: int = 3) -
     return per.groupBy("dt").agg(F.when(F.count("r") >= least, F.stddev_samp("r")).alias("dispersion"))
 
 
-def regime_confidence(df: DataFrame) -> DataFrame:
-    """regime and confidence of rows with trend_20, vol_20 and breadth: bull, bear, high_vol or range, the confidence by how clear the trend is."""
-    regime = F.when(F.col("vol_20") > 0.3, "high_vol").when((F.col("trend_20") > 0.02) & (F.col("breadth") > 0.5), "bull").when((F.col("trend_20") < -0.02) & (F.col("breadth") < 0.5), "bear").otherwise("range")
-    clear = F.least(F.lit(1.0), F.abs("trend_20") / 0.1 * 0.5 + F.abs(F.col("breadth") - 0.5))
-    return df.withColumns({"market_regime": F.when(F.col("trend_20").isNotNull() & F.col("vol_20").isNotNull() & F.col("breadth").isNotNull(), regime), "confidence": clear})
-
-
 def fuse_by_hits(df: DataFrame, signals: list[str], alpha: float = 10.0, beta: float = 10.0, threshold: float = 0.2) -> DataFrame:
     """score and fused: signals weighed by the posterior mean of their hit rate, Beta(alpha, beta) before any.
 

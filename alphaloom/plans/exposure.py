@@ -169,16 +169,6 @@ def market_features(spark, d):
     return tm.market_features(index_series(spark, d))
 
 
-@query("dt market_regime", "confidence", f"""WITH {MF}, b AS (SELECT *, CASE WHEN count(*) OVER w >= 20 THEN avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) OVER w END AS breadth FROM mf WINDOW w AS (ORDER BY dt ROWS 19 PRECEDING)) ---
-  SELECT dt, CASE WHEN trend_20 IS NOT NULL AND vol_20 IS NOT NULL AND breadth IS NOT NULL THEN CASE WHEN vol_20 > 0.3 THEN 'high_vol' WHEN trend_20 > 0.02 AND breadth > 0.5 THEN 'bull' WHEN trend_20 < -0.02 AND breadth < 0.5 THEN 'bear' ELSE 'range' END END AS market_regime,
-  CASE WHEN trend_20 IS NOT NULL AND breadth IS NOT NULL THEN least(1.0, abs(trend_20) / 0.1 * 0.5 + abs(breadth - 0.5)) END AS confidence FROM b""")
-def market_regime(spark, d):
-    df = tm.market_features(index_series(spark, d))
-    up = F.coalesce((F.col("_r") > 0).cast("double"), F.lit(0.0))
-    out = tm.regime_confidence(df.withColumn("breadth", tm.rolling(F.avg, up, 20)))
-    return out.withColumn("confidence", F.when(F.col("trend_20").isNotNull() & F.col("breadth").isNotNull(), F.col("confidence")))
-
-
 @query("dt", "spread mean_spread", f"""WITH {LABELS}, p AS (SELECT *, percent_rank() OVER (PARTITION BY dt ORDER BY cap, code) AS k FROM y WHERE g IS NOT NULL), s AS (SELECT dt, avg(g) FILTER (k <= 0.3) - avg(g) FILTER (k >= 0.7) AS spread FROM p GROUP BY dt) --- SELECT dt, spread, avg(spread) OVER (ORDER BY dt ROWS 19 PRECEDING) AS mean_spread FROM s""")
 def regime_size_spread(spark, d):
     return tm.size_spread(labelled(spark, d))
