@@ -27,15 +27,36 @@ def style_exposures(df: DataFrame) -> DataFrame:
     )
 
 
+def barra_residuals(df: DataFrame, returns: DataFrame, label: str, styles: list[str]) -> DataFrame:
+    """``df`` with residual: the label less the date's market return and each style's exposure times its return.
+
+    ``returns`` is long (dt, factor, ret) with a factor ``market``, as ``barra_returns`` gives it. Null where an exposure, the
+    label or a return is unknown.
+    """
+    names = ["market", *styles]
+    wide = returns.groupBy("dt").agg(*(F.max(F.when(F.col("factor") == n, F.col("ret"))).alias(f"_f_{n}") for n in names))
+    fit = reduce(lambda a, b: a + b, (F.col(s) * F.col(f"_f_{s}") for s in styles), F.col("_f_market"))
+    return df.join(F.broadcast(wide), "dt", "left").withColumn("residual", F.col(label) - fit).drop(*(f"_f_{n}" for n in names))  # a row a date
+
+
+def factor_covariance(returns: DataFrame) -> DataFrame:
+    """a, b, cov: sample covariance of each two factors' returns over the dates that know both (factors are few)."""
+    x, y = (returns.select("dt", F.col("factor").alias(n), F.col("ret").alias(f"_{n}")) for n in "ab")
+    return x.join(y, "dt").groupBy("a", "b").agg(F.covar_samp("_a", "_b").alias("cov"))
+
+
 def specific_variance(residuals: DataFrame, x: str = "residual", halflife: float = 20.0) -> DataFrame:
     """code, n, specific: mean square of a code's residuals, weights halving every ``halflife`` rows back."""
     age = F.row_number().over(W.partitionBy("code").orderBy(F.col("dt").desc())) - 1
     df = residuals.filter(F.col(x).isNotNull()).withColumn("_w", F.exp(-float(np.log(2)) / halflife * age))
-    return df.groupBy("code").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("_w") * F.col(x) * F.col(x)) / F.sum("_w")).alias("specific"))
+    return df.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.sum(F.col("_w") * F.col(x) * F.col(x)), F.sum("_w")).alias("specific"))
 
 
 def decompose_risk(exposures: DataFrame, factor_cov: DataFrame, specific: DataFrame) -> DataFrame:
-    """code, systematic (x' F x), specific, total, factor_share from long exposures (code, factor, x) and a full covariance table (a, b, cov): factors are few."""
+    """code, systematic (x' F x), specific, total, factor_share from long exposures (code, factor, x) and a full covariance table (a, b, cov).
+
+    The covariance table has factors by factors rows (under a thousand for thirty factors) and is broadcast.
+    """
     x = exposures.select("code", F.col("factor").alias("a"), F.col("x").alias("xa"))
     y = exposures.select("code", F.col("factor").alias("b"), F.col("x").alias("xb"))
     part = x.join(F.broadcast(factor_cov), "a").join(y, ["code", "b"])  # factors by factors
@@ -122,7 +143,7 @@ def rolling_covariance(df: DataFrame, key: str, x: str, n: int = 12) -> DataFram
 def pnl_attribution(positions: DataFrame, exposures: DataFrame) -> DataFrame:
     """dt, factor, pnl: each position's profit (dt, code, pnl) split by its factors' shares of absolute exposure; without any exposure: ``specific``."""
     e = exposures.filter("x is not null and x <> 0").select("dt", "code", "factor", F.abs("x").alias("_x"))
-    share = F.col("_x") / F.sum("_x").over(W.partitionBy("dt", "code"))
+    share = F.try_divide("_x", F.sum("_x").over(W.partitionBy("dt", "code")))
     met = positions.join(e.withColumn("_s", share), ["dt", "code"], "left")
     return met.groupBy("dt", F.coalesce("factor", F.lit("specific")).alias("factor")).agg(F.sum(F.col("pnl") * F.coalesce("_s", F.lit(1.0))).alias("pnl"))
 

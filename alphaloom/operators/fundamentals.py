@@ -67,6 +67,6 @@ def concentration(holders: DataFrame, n: int = 10) -> DataFrame:
     """Share of the n largest holders (ties by holder) in each code's latest period: code, end_date, top_share."""
     keys = ["code", "end_date"]
     place = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("amount").desc(), "holder"))
-    per = holders.withColumn("_rn", place).groupBy(*keys).agg((F.sum(F.when(F.col("_rn") <= n, F.col("amount"))) / F.sum("amount")).alias("top_share"))
+    per = holders.withColumn("_rn", place).groupBy(*keys).agg(F.try_divide(F.sum(F.when(F.col("_rn") <= n, F.col("amount"))), F.sum("amount")).alias("top_share"))
     last = per.groupBy("code").agg(F.max(F.struct("end_date", "top_share")).alias("v"))
     return last.select("code", "v.*")

@@ -17,7 +17,7 @@ YEAR = 252
 def metrics(df: DataFrame, rate: float = 0.0, confidence: float = 0.95) -> DataFrame:
     """Per code: rows, total and annual return, volatility, downside deviation, Sharpe, Sortino, VaR, CVaR, drawdown, Calmar, win rate, profit-loss ratio."""
     df = df.withColumn("ret", pct_change("close"))
-    df = df.withColumn("dd", F.col("close") / F.max("close").over(series().rowsBetween(W.unboundedPreceding, 0)) - 1)
+    df = df.withColumn("dd", F.try_divide("close", F.max("close").over(series().rowsBetween(W.unboundedPreceding, 0))) - 1)
     tail = df.groupBy("code").agg(F.percentile("ret", 1 - confidence).alias("var"))
     df = df.join(tail, "code")
     out = df.groupBy("code").agg(
@@ -46,7 +46,7 @@ def rolling_performance(df: DataFrame, n: int = 60) -> DataFrame:
 
 def drawdown_spells(df: DataFrame) -> DataFrame:
     """Each stretch below a peak: code, spell, first_day, last_day, rows, depth."""
-    df = df.withColumn("dd", F.col("close") / F.max("close").over(series().rowsBetween(W.unboundedPreceding, 0)) - 1)
+    df = df.withColumn("dd", F.try_divide("close", F.max("close").over(series().rowsBetween(W.unboundedPreceding, 0))) - 1)
     df = df.withColumn("spell", F.sum((F.col("dd") == 0).cast("int")).over(series().rowsBetween(W.unboundedPreceding, 0))).filter("dd < 0")
     return df.groupBy("code", "spell").agg(F.min("dt").alias("first_day"), F.max("dt").alias("last_day"), F.count(F.lit(1)).alias("rows"), F.min("dd").alias("depth"))
 

@@ -39,9 +39,9 @@ def score_weights(df: DataFrame, most: float = 0.2, industry_most: float = 0.4)
     """Weights in proportion to positive scores, clipped per name, scaled down in crowded industries, summing to 1."""
     d = date()
     df = df.filter("selected").withColumn("_w", F.greatest(F.col("score") - F.min("score").over(d), F.lit(0.0)) + 1e-6)
-    df = df.withColumn("_w", F.least(F.col("_w") / F.sum("_w").over(d), F.lit(most))).withColumn("_w", F.col("_w") / F.sum("_w").over(d))
+    df = df.withColumn("_w", F.least(F.try_divide("_w", F.sum("_w").over(d)), F.lit(most))).withColumn("_w", F.try_divide("_w", F.sum("_w").over(d)))
     df = df.withColumn("_i", F.sum("_w").over(date("dt", "industry"))).withColumn("_w", F.when(F.col("_i") > industry_most, F.col("_w") * industry_most / F.col("_i")).otherwise(F.col("_w")))
-    return df.withColumn("weight", F.col("_w") / F.sum("_w").over(d))
+    return df.withColumn("weight", F.try_divide("_w", F.sum("_w").over(d)))
 
 
 def turnover(weights: DataFrame) -> DataFrame:

@@ -161,5 +161,5 @@ def winsorize_adaptive(df: DataFrame, x: str, vol: str, long_vol: str, p: float
 def training_table(df: DataFrame, factors: list[str], label: str, industry: str = "industry") -> DataFrame:
     """code, dt, {factor}_rank (average rank on known rows of the date, 0 to 1) and target (the label less its industry's mean), rows with a label."""
     known = df.filter(F.col(label).isNotNull())
-    ranks = {f"{f}_rank": average_rank(f) / F.count(f).over(date()) for f in factors}
+    ranks = {f"{f}_rank": F.try_divide(average_rank(f), F.count(f).over(date())) for f in factors}
     return known.withColumns(ranks | {"target": F.col(label) - F.avg(label).over(date("dt", industry))}).select("code", "dt", *ranks, "target")

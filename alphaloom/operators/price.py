@@ -81,7 +81,7 @@ def beta(df: DataFrame, market: DataFrame, n: int = 24, least: int = 12) -> Data
     both = F.col("ret").isNotNull() & F.col("mkt").isNotNull()
     x, y = F.when(both, F.col("mkt")), F.when(both, F.col("ret"))
     enough = (F.count(x).over(w) >= least) & (F.var_samp(x).over(w) > 1e-12)
-    df = df.withColumns({"beta": F.when(enough, F.covar_samp(x, y).over(w) / F.var_samp(x).over(w)), "_vx": F.var_samp(x).over(w), "_vy": F.var_samp(y).over(w)})
+    df = df.withColumns({"beta": F.when(enough, F.try_divide(F.covar_samp(x, y).over(w), F.var_samp(x).over(w))), "_vx": F.var_samp(x).over(w), "_vy": F.var_samp(y).over(w)})
     return df.withColumn("idio_vol", F.sqrt(F.greatest(F.lit(0.0), F.col("_vy") - F.col("beta") * F.col("beta") * F.col("_vx"))))
 
 

@@ -35,7 +35,7 @@ def capital_levels(df: DataFrame, levels: list[float], label: str = "fwd_1", fix
     Slippage is ``fixed`` plus ``slope`` times participation times volatility. ``levels`` are a handful of constants.
     """
     spent = F.explode(F.array(*(F.lit(float(x)) for x in levels))).alias("capital")
-    rate = fixed + slope * F.col("weight") * F.col("capital") / F.col("amount") * F.col("vol")
+    rate = fixed + F.try_divide(slope * F.col("weight") * F.col("capital"), "amount") * F.col("vol")
     days = df.filter((F.col("amount") > 0) & F.col(label).isNotNull()).select("*", spent).groupBy("capital", "dt").agg(
         F.sum(F.col("weight") * (F.col(label) - rate)).alias("r"), F.sum(F.col("weight") * rate).alias("s")
     )

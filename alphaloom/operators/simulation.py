@@ -68,7 +68,7 @@ def orders(targets: DataFrame, holdings: DataFrame, value: float, lot: int = 100
     a = targets.select("dt", "code", F.col("close").alias("c1"), "weight")
     b = holdings.select("dt", "code", F.col("close").alias("c2"), "shares")
     x = a.join(b, ["dt", "code"], "full_outer").withColumns({"close": F.coalesce("c1", "c2"), "weight": F.coalesce("weight", F.lit(0.0)), "shares": F.coalesce("shares", F.lit(0.0))}).filter("close > 0")
-    want = F.col("weight") * value / F.col("close")
+    want = F.try_divide(F.col("weight") * value, "close")
     delta = F.when(F.col("weight") == 0, -F.col("shares")).otherwise(F.signum(want - F.col("shares")) * F.floor(F.abs(want - F.col("shares")) / lot) * lot)
     x = x.withColumn("delta", delta).filter((F.abs(F.col("delta") * F.col("close")) > ignore * value) & (F.col("delta") != 0))
     return x.select("dt", "code", F.when(F.col("delta") > 0, "buy").otherwise("sell").alias("side"), F.abs("delta").alias("shares"))
@@ -109,7 +109,7 @@ def factor_attribution(weights: DataFrame, exposures: DataFrame, returns: DataFr
 
 def signal_report(df: DataFrame, signal: str) -> DataFrame:
     """Of one series per code: how often LONG and SHORT were right on the next row, gains on losses, and mean on deviation of the signed return."""
-    ahead = F.lead("close").over(W.partitionBy("code").orderBy("dt")) / F.col("close") - 1
+    ahead = F.try_divide(F.lead("close").over(W.partitionBy("code").orderBy("dt")), "close") - 1
     side = F.when(F.col(signal) == "LONG", 1).when(F.col(signal) == "SHORT", -1)
     x = df.withColumn("_p", side * ahead).filter("_p is not null")
     out = x.groupBy("code", signal).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("_p") > 0).cast("double")).alias("hit_rate"), F.sum(F.greatest("_p", F.lit(0.0))).alias("gain"), (-F.sum(F.least("_p", F.lit(0.0)))).alias("loss"), F.avg("_p").alias("m"), F.stddev_samp("_p").alias("sd"))
@@ -119,6 +119,6 @@ def signal_report(df: DataFrame, signal: str) -> DataFrame:
 def signal_nav(df: DataFrame, signal: str, start: float = 1.0) -> DataFrame:
     """Value of holding the series where the signal of the row before is not SHORT."""
     w = W.partitionBy("code").orderBy("dt")
-    ret = F.col("close") / F.lag("close").over(w) - 1
+    ret = F.try_divide("close", F.lag("close").over(w)) - 1
     x = df.withColumn("_r", F.when(F.coalesce(F.lag(signal).over(w), F.lit("NEUTRAL")) == "SHORT", 0.0).otherwise(F.coalesce(ret, F.lit(0.0))))
     return x.withColumn("nav", start * F.exp(F.sum(F.log1p(F.greatest(F.col("_r"), F.lit(-0.999999)))).over(w.rowsBetween(W.unboundedPreceding, 0))))

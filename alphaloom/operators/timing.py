@@ -37,7 +37,7 @@ def volatility_signal(df: DataFrame, n: int = 20, low: float = 0.12, high: float
 
 def drawdown_signal(df: DataFrame, most: float = 0.1, back: float = 0.05) -> DataFrame:
     """SHORT below the running peak by ``most``; NEUTRAL on the row that recovers above ``back``; else LONG."""
-    df = df.withColumn("dd", F.col("close") / F.max("close").over(series().rowsBetween(W.unboundedPreceding, 0)) - 1)
+    df = df.withColumn("dd", F.try_divide("close", F.max("close").over(series().rowsBetween(W.unboundedPreceding, 0))) - 1)
     before = F.lag("dd").over(series())
     return df.withColumn("dd_signal", F.when(F.col("dd") < -most, SHORT).when((before < -most) & (F.col("dd") > -back), NEUTRAL).otherwise(LONG))
 
@@ -117,9 +117,9 @@ def market_features(df: DataFrame) -> DataFrame:
     df = df.withColumn("_r", pct_change("close"))
     mean = lambda x, n: rolling(F.avg, x, n)
     return df.withColumns({
-        "trend_20": F.col("close") / mean("close", 20) - 1, "trend_60": F.col("close") / mean("close", 60) - 1,
+        "trend_20": F.try_divide("close", mean("close", 20)) - 1, "trend_60": F.try_divide("close", mean("close", 60)) - 1,
         "vol_20": rolling(F.stddev_samp, "_r", 20) * 252**0.5, "vol_60": rolling(F.stddev_samp, "_r", 60) * 252**0.5,
-        "volume_ratio": mean("volume", 10) / mean("volume", 60), "ret_5": pct_change("close", 5), "ret_20": pct_change("close", 20),
+        "volume_ratio": F.try_divide(mean("volume", 10), mean("volume", 60)), "ret_5": pct_change("close", 5), "ret_20": pct_change("close", 20),
     })
 
 
@@ -144,7 +144,7 @@ def fuse_by_hits(df: DataFrame, signals: list[str], alpha: float = 10.0, beta: f
     A hit is a signal whose sign the next row's return has. Only rows before the date count, so nothing
     is known in advance.
     """
-    nxt = F.lead("close").over(series()) / F.col("close") - 1
+    nxt = F.try_divide(F.lead("close").over(series()), "close") - 1
     side = {s: F.when(F.col(s) == LONG, 1.0).when(F.col(s) == SHORT, -1.0).otherwise(0.0) for s in signals}
     df = df.withColumn("_n", nxt)
     df = df.withColumns({f"_h_{s}": F.when((x != 0) & F.col("_n").isNotNull(), (x * F.col("_n") > 0).cast("double")) for s, x in side.items()})

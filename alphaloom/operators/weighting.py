@@ -20,23 +20,27 @@ def factor_ics(df: DataFrame, factors: list[str], label: str, least: int = 10) -
 def rolling_ic_weights(ics: DataFrame, n: int = 12, least: int = 3, method: str = "icir") -> DataFrame:
     """dt, factor, weight: of each date, from the ICs of the ``n`` dates before it (the IC of a date is known only after it).
 
-    The mean IC, or the mean on its deviation; negative ones weigh nothing, and a date's weights sum to 1
-    (where all are 0: equal shares).
+    ``icir`` (the mean on its deviation) and ``ic`` (the mean): negative ones weigh nothing, and a date's weights
+    sum to 1. ``signed``: the mean with its sign, absolute weights sum to 1. Where all are 0: equal shares.
     """
     w = W.partitionBy("factor").orderBy("dt").rowsBetween(-n, -1)
     mean, sd = F.avg("ic").over(w), F.stddev_samp("ic").over(w)
-    raw = mean if method == "ic" else F.when(sd > 1e-12, mean / sd)
-    known = ics.withColumn("_w", F.when(F.count("ic").over(w) >= least, F.greatest(raw, F.lit(0.0)))).filter("_w is not null")
+    raw = F.when(sd > 1e-12, mean / sd) if method == "icir" else mean
+    known = ics.withColumn("_w", F.when(F.count("ic").over(w) >= least, raw if method == "signed" else F.greatest(raw, F.lit(0.0)))).filter("_w is not null")
     day = W.partitionBy("dt")
-    total = F.sum("_w").over(day)
+    total = F.sum(F.abs("_w")).over(day)
     return known.select("dt", "factor", F.when(total > 0, F.col("_w") / total).otherwise(1 / F.count(F.lit(1)).over(day)).alias("weight"))
 
 
 def ic_weighted_score(df: DataFrame, weights: DataFrame, factors: list[str]) -> DataFrame:
-    """code, dt, score: the date's weights over the factors that a row knows."""
+    """code, dt, score: the date's weights over the factors that a row knows.
+
+    Weights may be negative: a factor then counts against its direction. Where the known factors weigh nothing
+    at all, the score is their plain mean.
+    """
     tall = df.select("code", "dt", *factors).unpivot(["code", "dt"], factors, "factor", "x").filter("x is not null")
     met = tall.join(weights, ["dt", "factor"])
-    return met.groupBy("code", "dt").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("score"))
+    return met.groupBy("code", "dt").agg((F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("weight")), F.sum(F.abs("weight"))), F.avg("x"))).alias("score"))
 
 
 def evaluate_features(df: DataFrame, features: list[str], label: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from alphaloom.operators import exposure as ex
 from alphaloom.operators import flows as fl
 from alphaloom.operators import pit, price
+from alphaloom.operators import performance as pf
 from alphaloom.operators import portfolio as po
 from alphaloom.operators import preprocess as pp
 from alphaloom.operators import timing as tm
@@ -33,28 +34,32 @@ def barra_exposures(spark, d):
     return ex.style_exposures(panel(spark, d).join(known, ["code", "dt"]).join(dims(spark, d), "code"))
 
 
-SPEC = f"{LABELS}, rs AS (SELECT code, dt, g - avg(g) OVER (PARTITION BY dt) AS residual FROM y), sw AS (SELECT *, exp(-ln(2) / 20 * (row_number() OVER (PARTITION BY code ORDER BY dt DESC) - 1)) AS w FROM rs), sv AS (SELECT code, count(*) AS n, sum(w * residual * residual) / sum(w) AS specific FROM sw WHERE residual IS NOT NULL GROUP BY code)"
+STYLES = ["f", "size"]
+BARRA = f"""{LABELS}, wm AS (SELECT *, ln(cap) AS s, sqrt(cap) AS w FROM y WHERE fwd_1 IS NOT NULL AND f IS NOT NULL), mc AS (SELECT *, f - sum(w * f) OVER d / sum(w) OVER d AS fc, s - sum(w * s) OVER d / sum(w) OVER d AS c2, fwd_1 - sum(w * fwd_1) OVER d / sum(w) OVER d AS yc FROM wm WINDOW d AS (PARTITION BY dt)),
+  ms AS (SELECT dt, count(*) AS n, sum(w * f) / sum(w) AS mf, sum(w * s) / sum(w) AS m2, sum(w * fwd_1) / sum(w) AS my, sum(w * fc * fc) AS ff, sum(w * c2 * c2) AS ss, sum(w * fc * c2) AS fs, sum(w * fc * yc) AS fy, sum(w * c2 * yc) AS sy FROM mc GROUP BY dt),
+  kk AS (SELECT dt, (fy * ss - sy * fs) / (ff * ss - fs * fs) AS k1, (sy * ff - fy * fs) / (ff * ss - fs * fs) AS k2, mf, m2, my FROM ms WHERE n > 5), ki AS (SELECT dt, my - k1 * mf - k2 * m2 AS k0, k1, k2 FROM kk),
+  rs AS (SELECT code, wm.dt, fwd_1 - k0 - k1 * f - k2 * s AS residual FROM wm JOIN ki USING (dt)), sw AS (SELECT *, exp(-ln(2) / 20 * (row_number() OVER (PARTITION BY code ORDER BY dt DESC) - 1)) AS w FROM rs), sv AS (SELECT code, count(*) AS n, sum(w * residual * residual) / sum(w) AS specific FROM sw GROUP BY code)"""
 
 
-def market_residuals(spark, d):
-    return labelled(spark, d).withColumn("residual", F.col("g") - F.avg("g").over(ex.date()))
+def barra(spark, d):
+    """Securities with their exposures, the factor returns, and the residuals of the model."""
+    df = labelled(spark, d).withColumn("size", F.ln("cap"))
+    returns = pf.barra_returns(df, "fwd_1", STYLES)
+    return df, returns, ex.barra_residuals(df, returns, "fwd_1", STYLES)
 
 
-@query("code n", "specific", f"WITH {SPEC} --- SELECT * FROM sv")
+@query("code n", "specific", f"WITH {BARRA} --- SELECT * FROM sv", 5)
 def risk_specific(spark, d):
-    return ex.specific_variance(market_residuals(spark, d))
+    return ex.specific_variance(barra(spark, d)[2])
 
 
-@query("code", "systematic specific total factor_share", f"""WITH {SPEC}, fr AS (SELECT dt, avg(f) AS f, avg(g) AS g FROM y GROUP BY dt), fc AS (SELECT var_samp(f) FILTER (g IS NOT NULL) AS ff, covar_samp(f, g) AS fg, var_samp(g) FILTER (f IS NOT NULL) AS gg FROM fr WHERE f IS NOT NULL AND g IS NOT NULL),
-  xe AS (SELECT code, arg_max(f, dt) AS f, arg_max(g, dt) AS g FROM y WHERE f IS NOT NULL AND g IS NOT NULL GROUP BY code), o AS (SELECT code, f * f * ff + 2 * f * g * fg + g * g * gg AS systematic, specific FROM xe JOIN sv USING (code), fc) ---
-  SELECT *, systematic + specific AS total, CASE WHEN systematic + specific >= 1e-15 THEN systematic / (systematic + specific) END AS factor_share FROM o""")
+@query("code", "systematic specific total factor_share", f"""WITH {BARRA}, fc AS (SELECT var_samp(k0) AS c00, var_samp(k1) AS c11, var_samp(k2) AS c22, covar_samp(k0, k1) AS c01, covar_samp(k0, k2) AS c02, covar_samp(k1, k2) AS c12 FROM ki),
+  xe AS (SELECT code, arg_max(f, dt) AS f, arg_max(ln(cap), dt) AS s FROM y WHERE f IS NOT NULL GROUP BY code), o AS (SELECT code, c00 + f * f * c11 + s * s * c22 + 2 * f * c01 + 2 * s * c02 + 2 * f * s * c12 AS systematic, specific FROM xe JOIN sv USING (code), fc) ---
+  SELECT *, systematic + specific AS total, CASE WHEN systematic + specific >= 1e-15 THEN systematic / (systematic + specific) END AS factor_share FROM o""", 5)
 def risk_decomposition(spark, d):
-    df = labelled(spark, d)
-    last = df.filter("f is not null and g is not null").groupBy("code").agg(F.max_by("f", "dt").alias("f"), F.max_by("g", "dt").alias("g"))
-    series = df.groupBy("dt").agg(F.avg("f").alias("f"), F.avg("g").alias("g")).dropna().unpivot(["dt"], ["f", "g"], "factor", "r")
-    half = series.select("dt", F.col("factor").alias("a"), F.col("r").alias("x")).join(series.select("dt", F.col("factor").alias("b"), F.col("r").alias("z")), "dt")
-    cov = half.groupBy("a", "b").agg(F.covar_samp("x", "z").alias("cov"))
-    return ex.decompose_risk(last.unpivot(["code"], ["f", "g"], "factor", "x"), cov, ex.specific_variance(market_residuals(spark, d)))
+    df, returns, residuals = barra(spark, d)
+    last = df.filter("f is not null").groupBy("code").agg(F.lit(1.0).alias("market"), F.max_by("f", "dt").alias("f"), F.max_by("size", "dt").alias("size"))
+    return ex.decompose_risk(last.unpivot(["code"], ["market", *STYLES], "factor", "x"), ex.factor_covariance(returns), ex.specific_variance(residuals))
 
 
 RB = f"{IND}, fx AS (SELECT CAST(industry AS VARCHAR) AS factor, stddev_samp(r) AS risk, avg(r) / stddev_samp(r) AS icir FROM iv WHERE r IS NOT NULL GROUP BY 1)"

@@ -38,11 +38,10 @@ def weights_rolling_ic(spark, d):
     return wt.rolling_ic_weights(wt.factor_ics(many(spark, d), FACTORS, "fwd_1"))
 
 
-@query("code dt", "score", f"WITH {RW} --- SELECT code, dt, sum(x * weight) / sum(weight) AS score FROM tl JOIN rw USING (dt, factor) WHERE x IS NOT NULL GROUP BY 1, 2")
+@query("code dt", "score", f"WITH {RW} --- SELECT code, dt, CASE WHEN sum(weight) > 0 THEN sum(x * weight) / sum(weight) ELSE avg(x) END AS score FROM tl JOIN rw USING (dt, factor) WHERE x IS NOT NULL GROUP BY 1, 2")
 def score_ic_weighted(spark, d):
     df = many(spark, d)
     weights = wt.rolling_ic_weights(wt.factor_ics(df, FACTORS, "fwd_1"))
-    # weights of no share at all would divide by zero: such rows know only factors that weigh nothing
     return wt.ic_weighted_score(df, weights, FACTORS)
 
 
