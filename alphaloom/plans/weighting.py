@@ -1,19 +1,12 @@
-"""Registered queries: weights from IC history, feature choice, redundant factors, orthogonal factors, the whole factor run."""
+"""Registered queries: weights from IC history, feature choice, redundant factors, orthogonal factors."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alphaloom.operators import flows as fl
-from alphaloom.operators import portfolio as po
-from alphaloom.operators import preprocess as pp
 from alphaloom.operators import weighting as wt
-from alphaloom.sources.statements import FLOWS, flows
-from alphaloom.sources.tables import DIMS, PANEL, dims, panel
-
 from .registry import query
 from .research import CORR, LABELS, labelled
-from .store import stored
 
 FACTORS = ["f", "g", "turnover", "fwd_lag"]
 #: Labels with a fourth factor that repeats another nearly.
@@ -90,35 +83,3 @@ def orthogonal_components(spark, d):
   SELECT code, dt, e / (SELECT stddev_pop(e) FROM r) AS g FROM r""")
 def orthogonal_regression(spark, d):
     return wt.regress_out(labelled(spark, d), "g", ["f"])
-
-
-ALL = ["mom", "rev", "vol", "large_ratio", "net_buy_ratio"]
-_CLIP = "CASE WHEN mad > 0 THEN least(greatest(x, med - 3 * mad), med + 3 * mad) ELSE least(greatest(x, q1), q2) END"
-RUN = f"""{PANEL}, {DIMS}, {FLOWS}, w0 AS (SELECT p.code, p.dt, industry, cap, lag(close, 1) OVER s / nullif(lag(close, 3) OVER s, 0) - 1 AS mom, close / nullif(lag(close) OVER s, 0) - 1 AS rev, ln(p.volume) AS vol, CASE WHEN abs(fl.volume) >= 1e-8 THEN (fl.large + fl.super_large) / fl.volume END AS large_ratio,
-    CASE WHEN abs(fl.volume) >= 1e-8 THEN inflow / fl.volume END AS net_buy_ratio FROM panel p JOIN dims USING (code) JOIN fl ON fl.code = p.code AND fl.dt = p.dt WINDOW s AS (PARTITION BY p.code ORDER BY p.dt)),
-  t0 AS (SELECT code, dt, industry, cap, unnest(['mom', 'rev', 'vol', 'large_ratio', 'net_buy_ratio']) AS factor, unnest([mom, rev, vol, large_ratio, net_buy_ratio]) AS x FROM w0), t1 AS (SELECT * REPLACE (coalesce(x, median(x) OVER d) AS x) FROM t0 WINDOW d AS (PARTITION BY dt, factor)),
-  t2 AS (SELECT *, median(x) OVER d AS med, quantile_cont(x, 0.01) OVER d AS q1, quantile_cont(x, 0.99) OVER d AS q2 FROM t1 WINDOW d AS (PARTITION BY dt, factor)), t3 AS (SELECT *, 1.4826 * median(abs(x - med)) OVER (PARTITION BY dt, factor) AS mad FROM t2), t4 AS (SELECT code, dt, industry, cap, factor, {_CLIP} AS x FROM t3),
-  t5 AS (SELECT *, x - avg(x) OVER i AS xt, CASE WHEN x IS NOT NULL THEN ln(cap) END - avg(CASE WHEN x IS NOT NULL THEN ln(cap) END) OVER i AS ct FROM t4 WINDOW i AS (PARTITION BY dt, factor, industry)), t6 AS (SELECT code, dt, factor, xt - CASE WHEN sum(ct * ct) OVER d > 1e-12 THEN sum(xt * ct) OVER d / sum(ct * ct) OVER d ELSE 0 END * ct AS x FROM t5 WINDOW d AS (PARTITION BY dt, factor)),
-  t7 AS (SELECT code, dt, factor, CASE WHEN stddev_samp(x) OVER d > 0 THEN (x - avg(x) OVER d) / stddev_samp(x) OVER d ELSE x - avg(x) OVER d END AS x FROM t6 WINDOW d AS (PARTITION BY dt, factor))"""
-
-
-def factor_run(spark, d):
-    """All factor groups on one row a code and date, and their standardised forms (the steps of a daily run)."""
-    prices = panel(spark, d).withColumns({
-        "mom": F.lag("close", 1).over(fl.series()) / F.nullif(F.lag("close", 3).over(fl.series()), F.lit(0.0)) - 1,
-        "rev": F.col("close") / F.nullif(F.lag("close").over(fl.series()), F.lit(0.0)) - 1, "vol": F.ln("volume"),
-    })
-    groups = [prices.select("code", "dt", "mom", "rev", "vol"), fl.order_flow(flows(spark, d)).select("code", "dt", "large_ratio", "net_buy_ratio")]
-    tall = fl.merge_factors(groups).join(dims(spark, d), "code").unpivot(["code", "dt", "industry", "cap"], ALL, "factor", "x")
-    return pp.preprocess(tall.withColumn("day", F.col("dt")).withColumn("dt", F.struct("day", "factor")), "x").select("code", F.col("day").alias("dt"), "factor", F.col("x").alias("value"))
-
-
-@query("code dt factor", "value", f"WITH {RUN} --- SELECT code, dt, factor, x AS value FROM t7 WHERE x IS NOT NULL", 4)
-def factors_all(spark, d):
-    return stored(spark, d, factor_run(spark, d).filter("value is not null")).read()
-
-
-@query("code dt rank selected", "score", f"WITH {RUN}, sc AS (SELECT code, dt, avg(x) AS score FROM t7 WHERE x IS NOT NULL GROUP BY 1, 2), rs AS (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY round(score, 9) DESC NULLS LAST, code) AS rank FROM sc) --- SELECT code, dt, rank, rank <= 10 AS selected, score FROM rs", 4)
-def run_multi_factor(spark, d):
-    scores = factor_run(spark, d).filter("value is not null").groupBy("code", "dt").agg(F.avg("value").alias("raw"))
-    return po.rank_scores(scores.withColumn("score", F.round("raw", 9)))
