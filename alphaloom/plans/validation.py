@@ -8,6 +8,7 @@ from alphaloom.functions.columns import series
 from alphaloom.operators import market_state as ms
 from alphaloom.operators import overfitting as of
 from alphaloom.operators import preprocess as pp
+from alphaloom.operators import rank_boost as rb
 from alphaloom.operators import walkforward as wf
 from alphaloom.sources.tables import INDEX, cents, index_series, table
 
@@ -98,3 +99,16 @@ REGIME = f"""RECURSIVE {INDEX}, ir AS (SELECT dt, close, close / nullif(lag(clos
 def market_regime(spark, d):
     daily = table(spark, d, "orders").groupBy((F.col("o_custkey") % 60).alias("code"), F.to_date("o_orderdate").alias("dt")).agg(cents("o_totalprice").alias("close"))
     return ms.detect(index_series(spark, d), ms.breadth(daily))
+
+
+@query("dt n", "ndcg", f"""WITH {LABELS}, re AS (SELECT code, dt, f, floor((rank() OVER (PARTITION BY dt ORDER BY fwd_1) - 1) * 5 / count(*) OVER (PARTITION BY dt)) AS rel FROM y WHERE fwd_1 IS NOT NULL), pl AS (SELECT dt, rel, row_number() OVER (PARTITION BY dt ORDER BY f DESC, code) AS p, row_number() OVER (PARTITION BY dt ORDER BY rel DESC, code) AS b FROM re WHERE f IS NOT NULL) ---
+  SELECT dt, count(*) AS n, sum(CASE WHEN p <= 10 THEN (2 ** rel - 1) / log2(p + 1) ELSE 0 END) / nullif(sum(CASE WHEN b <= 10 THEN (2 ** rel - 1) / log2(b + 1) ELSE 0 END), 0) AS ndcg FROM pl GROUP BY dt""")
+def rank_ndcg(spark, d):
+    return rb.ndcg(rb.relevance(labelled(spark, d), "fwd_1"), "f")
+
+
+@query("code dt", "ranked")
+def rank_predictions(spark, d):
+    df = labelled(spark, d)
+    model = rb.fit(df.filter("dt < date'1999-01-01'"), ["f", "g", "turnover"], "fwd_1", {"turnover": -1}, trees=4, depth=3)
+    return rb.predict(model, df)
