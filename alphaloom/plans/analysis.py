@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.operators import alerts as al
 from alphaloom.operators import analysis as an
+from alphaloom.operators import mining as mi
 from alphaloom.operators import weighting as wt
 
 from .registry import query
@@ -34,6 +35,20 @@ def factor_report(spark, d):
     return an.report(an.analyse(labelled(spark, d), "f", HORIZONS, GROUPS), GROUPS)
 
 
+_MINED = {"f": "f", "g": "g", "turnover": "turnover", "rank(f)": "CASE WHEN f IS NOT NULL THEN percent_rank() OVER (PARTITION BY dt, f IS NULL ORDER BY f) END", "rank(g)": "CASE WHEN g IS NOT NULL THEN percent_rank() OVER (PARTITION BY dt, g IS NULL ORDER BY g) END", "rank(turnover)": "CASE WHEN turnover IS NOT NULL THEN percent_rank() OVER (PARTITION BY dt, turnover IS NULL ORDER BY turnover) END",
+  "sub(f,g)": "f - g", "sub(f,turnover)": "f - turnover", "sub(g,turnover)": "g - turnover", "mul(f,f)": "f * f", "mul(f,g)": "f * g", "mul(f,turnover)": "f * turnover", "mul(g,g)": "g * g", "mul(g,turnover)": "g * turnover", "mul(turnover,turnover)": "turnover * turnover"}
+MINED = f"""{LABELS}, mt AS (SELECT dt, fwd_1, unnest([{', '.join(f"'{n}'" for n in _MINED)}]) AS formula, unnest([{', '.join(_MINED.values())}]) AS x FROM y), mi AS (SELECT formula, dt, {CORR.format('x', 'fwd_1')} AS ic FROM mt WHERE x IS NOT NULL AND fwd_1 IS NOT NULL GROUP BY 1, 2),
+  ms AS (SELECT formula, count(ic) AS dates, coalesce(sum(ic), 0) / (SELECT count(DISTINCT dt) FROM y WHERE fwd_1 IS NOT NULL) AS mean_ic FROM mi GROUP BY 1)"""
+
+
+@query("formula dates", "mean_ic", f"WITH {MINED} --- SELECT formula, dates, mean_ic FROM ms ORDER BY round(abs(mean_ic), 12) DESC, length(formula), formula LIMIT 5")
+def factors_mined(spark, d):
+    """The five best of fifteen formulas: a top-k report."""
+    formulas = mi.grammar(["f", "g", "turnover"], 1, ("rank",), ("sub", "mul"))
+    found = mi.mine(labelled(spark, d), formulas, "fwd_1", best=5)
+    return spark.createDataFrame([(n, ic, dates) for n, ic, dates, _ in found], "formula string, mean_ic double, dates long")
+
+
 RULE = al.Rule(low=0.0, high=0.02, after=2, until=2, quiet_days=200)
 ALERTS = f"""RECURSIVE {TALL}, fn AS (SELECT factor, dt, ic, row_number() OVER (PARTITION BY factor ORDER BY dt) AS i FROM fi), sm AS (SELECT factor, CAST(0 AS BIGINT) AS i, 0 AS s, CAST(NULL AS DATE) AS dt, CAST(NULL AS DOUBLE) AS ic, CAST(NULL AS DATE) AS last, false AS tell, '' AS kind FROM (SELECT DISTINCT factor FROM fn)
     UNION ALL SELECT factor, i, n, dt, ic, CASE WHEN k = 'r' AND q THEN dt ELSE last END, CASE WHEN k = 'r' THEN q WHEN k = 'c' THEN false ELSE tell END, CASE WHEN k = 'r' AND q THEN 'raised' WHEN k = 'c' AND tell THEN 'cleared' ELSE '' END

@@ -10,6 +10,7 @@ from alphaloom.operators import pit, price
 from alphaloom.operators import performance as pf
 from alphaloom.operators import portfolio as po
 from alphaloom.operators import preprocess as pp
+from alphaloom.operators import scenarios as sc
 from alphaloom.operators import timing as tm
 from alphaloom.sources.statements import FLOWS, flows
 from alphaloom.sources.tables import DIMS, INDEX, PANEL, dims, index_series, panel
@@ -62,6 +63,34 @@ def risk_decomposition(spark, d):
     return ex.decompose_risk(last.unpivot(["code"], ["market", *STYLES], "factor", "x"), ex.factor_covariance(returns), ex.specific_variance(residuals))
 
 
+_U = "(CAST('0x' || substr(md5(concat_ws(':', '42', {}, '{}')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+_Z = lambda *keys: f"sqrt(-2 * ln({_U.format(', '.join(keys), 'r')})) * cos(2 * pi() * {_U.format(', '.join(keys), 'a')})"
+SCENARIOS = 4000
+LOSSES = f"""{BARRA}, fc AS (SELECT var_samp(k1) AS ff, var_samp(k0) AS mm, var_samp(k2) AS ss, covar_samp(k1, k0) AS fm, covar_samp(k1, k2) AS fs, covar_samp(k0, k2) AS ms FROM ki), c1 AS (SELECT sqrt(ff) AS l11, fm / sqrt(ff) AS l21, fs / sqrt(ff) AS l31, mm, ss, ms FROM fc),
+  c2 AS (SELECT *, sqrt(mm - l21 * l21) AS l22, (ms - l31 * l21) / sqrt(mm - l21 * l21) AS l32 FROM c1), ch AS (SELECT *, sqrt(ss - l31 * l31 - l32 * l32) AS l33 FROM c2), xe AS (SELECT code, arg_max(f, dt) AS f, arg_max(ln(cap), dt) AS s FROM y WHERE f IS NOT NULL GROUP BY code),
+  po AS (SELECT CAST(industry AS VARCHAR) AS portfolio, avg(f) AS f, avg(s) AS s, sqrt(sum(specific) / count(*) / count(*)) AS sd FROM xe JOIN sv USING (code) JOIN dims USING (code) GROUP BY 1),
+  ls AS (SELECT scenario, portfolio, -(sd * {_Z('scenario', 'portfolio', "'own'")} + (f * l11 + l21 + s * l31) * {_Z('scenario', "'f'")} + (l22 + s * l32) * {_Z('scenario', "'market'")} + s * l33 * {_Z('scenario', "'size'")}) AS loss FROM po, ch, (SELECT unnest(range(0, {SCENARIOS})) AS scenario)),
+  lq AS (SELECT portfolio, quantile_disc(loss, 0.99) AS var FROM ls GROUP BY 1)"""
+
+
+@query("portfolio scenarios", "mean sd var es worst", f"WITH {LOSSES} --- SELECT portfolio, count(*) AS scenarios, avg(loss) AS mean, stddev_samp(loss) AS sd, max(var) AS var, avg(loss) FILTER (loss >= var) AS es, max(loss) AS worst FROM ls JOIN lq USING (portfolio) GROUP BY 1", 5)
+def stress_scenarios(spark, d):
+    """Equal-weighted industries under simulated shocks of the factor model."""
+    df, returns, residuals = barra(spark, d)
+    last = df.filter("f is not null").groupBy("code").agg(F.max_by("f", "dt").alias("f"), F.max_by("size", "dt").alias("size"))
+    held = last.join(ex.specific_variance(residuals), "code").join(dims(spark, d), "code").groupBy(F.col("industry").cast("string").alias("portfolio"))
+    wide = held.agg(F.lit(1.0).alias("market"), F.avg("f").alias("f"), F.avg("size").alias("size"), (F.sum("specific") / F.count(F.lit(1)) / F.count(F.lit(1))).alias("own"))
+    tall = wide.unpivot(["portfolio"], ["market", "f", "size", "own"], "factor", "x").withColumn("factor", F.when(F.col("factor") != "own", F.col("factor")))
+    return sc.tail(sc.scenario_losses(tall, ex.factor_covariance(returns), SCENARIOS), 0.99)
+
+
+@query("code", "var spread_cost participation impact_cost lvar", f"""WITH {LABELS}, mo AS (SELECT code, avg(g) AS mean, stddev_samp(g) AS sd, avg(amount) AS daily_volume, arg_max(cap, dt) AS cap FROM y GROUP BY code), lv AS (SELECT code, -(mean - 1.6448536269514722 * sd) AS var, 0.0005 AS spread_cost, CASE WHEN daily_volume > 0 THEN greatest(cap * 1000 / daily_volume, 0) ELSE 0 END AS participation FROM mo) ---
+  SELECT *, 0.1 * sqrt(participation) AS impact_cost, var + spread_cost + 0.1 * sqrt(participation) AS lvar FROM lv""")
+def risk_liquidity_adjusted(spark, d):
+    per = labelled(spark, d).groupBy("code").agg(F.avg("g").alias("mean"), F.stddev_samp("g").alias("sd"), F.avg("amount").alias("daily_volume"), (F.max_by("cap", "dt") * 1000).alias("position"))
+    return sc.liquidity_adjusted(per)
+
+
 RB = f"{IND}, fx AS (SELECT CAST(industry AS VARCHAR) AS factor, stddev_samp(r) AS risk, avg(r) / stddev_samp(r) AS icir FROM iv WHERE r IS NOT NULL GROUP BY 1)"
 
 
