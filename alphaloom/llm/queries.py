@@ -30,15 +30,15 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = media.read_back(media.store(documents(spark, sf_dir)))
-    return read.select(
+    blocks = media.written_blocks(media.read_back(media.store(documents(spark, sf_dir))))
+    return media.assemble(blocks).select(
         "doc_id",
         "n_bytes",
         F.length("pcm").cast("long").alias("payload_bytes"),
         F.sha2("pcm", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(pcm, -64, 64)")).alias("tail_crc32"),
-        F.length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
+        "media_bytes",
+        "media_sha256",
         "feature",
     )
 

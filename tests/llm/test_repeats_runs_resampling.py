@@ -8,8 +8,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from alphaloom.llm import periodic_runs, repeats, suffix_tree, target_resampling
+from alphaloom.llm import media, periodic_runs, repeats, suffix_tree, target_resampling
 from alphaloom.llm.queries import QUERIES
 
 #: Extra columns have the names that the operators use inside.
@@ -289,3 +290,20 @@ def test_tournament_merges_in_order():
             out += list(tree.take(piece[0]))
             tree.add(iter(piece))
         assert out + list(tree.take(None)) == sorted(x for piece in pieces for x in piece)
+
+
+# --- media blocks
+
+
+def test_written_blocks_hold_the_payload(spark, docs, rows):
+    written = media.written_blocks(media.read_back(media.store(docs)))
+    got = media.assemble(written).collect()
+    payloads = sorted(media.payload_of((t or "").encode()) for _, t in rows)
+    assert sorted(bytes(r.pcm) for r in got) == payloads
+    want = sorted((str(r.doc_id), r.n_bytes, len(r.media), hashlib.sha256(r.media).hexdigest(), r.feature) for r in media.read_back(media.store(docs)).collect())
+    assert sorted((str(r.doc_id), r.n_bytes, r.media_bytes, r.media_sha256, r.feature) for r in got) == want
+    block = written.filter("doc_id = 9004").first().blocks[3]
+    assert bytes(block.pcm) == media.payload_of(rows[[i for i, _ in rows].index(9004)][1].encode())[block.sample_offset : block.sample_offset + block.n_samples]
+    with pytest.raises(Exception, match="follow one another"):
+        media.assemble(written.withColumn("blocks", F.reverse("blocks")).filter("doc_id = 9004")).collect()
+    assert media.assemble(media.written_blocks(media.read_back(media.store(docs.limit(0))))).count() == 0
