@@ -131,21 +131,3 @@ def run_backtest(df: DataFrame, configs: DataFrame, cash: float = 1e6, lot: int
 def market_flags(df: DataFrame, limit: float = 0.1) -> DataFrame:
     """limit_up, limit_down and suspended of bars with ret and volume."""
     return df.withColumns({"limit_up": F.col("ret") >= limit, "limit_down": F.col("ret") <= -limit, "suspended": F.coalesce(F.col("volume") == 0, F.lit(True))})
-
-
-def production_portfolio(df: DataFrame, n: int = 10, buffer: int = 5, most: float = 0.2, industry_most: float = 0.4, deviation: float = 0.25, exposure: str | None = None) -> DataFrame:
-    """dt, code, industry, tier (1 to 3 by thirds of the rank), weight of the names held.
-
-    Scored weights within name and industry caps; an industry's weight may exceed its share of the
-    scored names by ``deviation`` at most, and what is cut stays in cash. ``exposure`` (0 to 1) scales a date.
-    """
-    d = W.partitionBy("dt")
-    share = F.count("score").over(W.partitionBy("dt", "industry")) / F.count("score").over(d)
-    held = score_weights(df.withColumn("_share", share), most, industry_most)
-    total = F.sum("weight").over(W.partitionBy("dt", "industry"))
-    cap = F.col("_share") + deviation
-    weight = F.when(total > cap, F.col("weight") * cap / total).otherwise(F.col("weight"))
-    if exposure:
-        weight = weight * F.coalesce(exposure, F.lit(1.0))
-    tier = F.least(F.lit(3), F.floor((F.col("rank") - 1) * 3 / n).cast("int") + 1)
-    return held.select("dt", "code", "industry", tier.alias("tier"), weight.alias("weight"))

@@ -9,6 +9,7 @@ from alphaloom.operators import learning as ln
 from alphaloom.operators import performance as pf
 from alphaloom.operators import portfolio as po
 from alphaloom.operators import price
+from alphaloom.operators import tiers as tr
 from alphaloom.operators import timing as tm
 from alphaloom.sources.tables import INDEX, PANEL, index_series, panel, table
 
@@ -163,10 +164,23 @@ def backtest_sweep(spark, d):
     return bt.run_backtest(bt.market_flags(ranked, 0.3), configurations(spark))
 
 
-@query("dt code tier", "weight", f"""WITH {WEIGHTS}, sh AS (SELECT dt, industry, count(score) / sum(count(score)) OVER (PARTITION BY dt) AS share FROM rk GROUP BY 1, 2), w4 AS (SELECT wt.dt, wt.code, wt.weight, share + 0.05 AS cap, sum(wt.weight) OVER (PARTITION BY wt.dt, wt.industry) AS total FROM wt JOIN sh ON sh.dt = wt.dt AND sh.industry = wt.industry) ---
-  SELECT w4.dt, w4.code, CAST(least(3, floor((rk.rank - 1) * 3 / 10) + 1) AS INTEGER) AS tier, CASE WHEN total > w4.cap THEN w4.weight * w4.cap / total ELSE w4.weight END AS weight FROM w4 JOIN rk ON rk.dt = w4.dt AND rk.code = w4.code""")
+BOUNDS, STEPS = tr.Bounds(20, 15, 30), ((5, 1.5), (10, 1.2), (20, 1.0))
+LEVELS = "CASE abs(code * 7) % 5 WHEN 0 THEN 'medium' WHEN 1 THEN 'high' WHEN 2 THEN 'extreme' WHEN 3 THEN 'low' END AS risk_level, CASE abs(code * 3) % 4 WHEN 0 THEN 'marginal' WHEN 1 THEN 'insufficient' WHEN 2 THEN 'normal' END AS liquidity_level"
+TIERED = f"""RECURSIVE {SCORED}, rd AS (SELECT dt, row_number() OVER (ORDER BY dt) AS i FROM (SELECT DISTINCT dt FROM rk WHERE score IS NOT NULL)), ri AS (SELECT rk.code, rk.dt, rk.rank, rk.industry, rk.close, rd.i FROM rk JOIN rd USING (dt) WHERE score IS NOT NULL),
+  hs AS (SELECT i, code, CASE WHEN rank <= 20 THEN 1 ELSE 0 END AS held FROM ri WHERE i = 1 UNION ALL SELECT n.i, n.code, CASE WHEN n.rank <= CASE WHEN coalesce(p.held, 0) = 1 THEN 30 ELSE 15 END THEN 1 ELSE 0 END FROM (SELECT max(i) + 1 AS i FROM hs) m JOIN ri n ON n.i = m.i LEFT JOIN hs p ON p.code = n.code),
+  tw AS (SELECT *, {LEVELS} FROM ri JOIN hs USING (i, code) WHERE held = 1), t1 AS (SELECT *, CASE WHEN rank <= 5 THEN 1 WHEN rank <= 10 THEN 2 WHEN rank <= 20 THEN 3 ELSE 0 END AS tier, CASE WHEN rank <= 5 THEN 1.5 WHEN rank <= 10 THEN 1.2 ELSE 1.0 END * CASE risk_level WHEN 'medium' THEN 0.85 WHEN 'high' THEN 0.6 WHEN 'extreme' THEN 0.0 ELSE 1.0 END * CASE liquidity_level WHEN 'marginal' THEN 0.85 WHEN 'insufficient' THEN 0.6 ELSE 1.0 END AS w FROM tw),
+  t2 AS (SELECT * REPLACE (CAST(w AS DOUBLE) / sum(w) OVER (PARTITION BY dt) AS w) FROM t1), t3 AS (SELECT *, sum(w) OVER (PARTITION BY dt, industry) AS iw FROM t2), t4 AS (SELECT *, sum(CASE WHEN iw > 0.2 THEN w * (1 - 0.2 / iw) ELSE 0 END) OVER (PARTITION BY dt) AS freed, sum(CASE WHEN iw > 0.2 THEN 0 ELSE w END) OVER (PARTITION BY dt) AS rest FROM t3),
+  t5 AS (SELECT * REPLACE (CASE WHEN iw > 0.2 THEN w * 0.2 / iw ELSE w * (1 + coalesce(freed / nullif(rest, 0), 0)) END AS w) FROM t4), t6 AS (SELECT *, CAST(CASE WHEN close > 0 THEN floor(w * 1e8 / close / 100) * 100 ELSE 0 END AS BIGINT) AS shares FROM t5), t7 AS (SELECT * REPLACE (shares * close / 1e8 AS w) FROM t6), t8 AS (SELECT * REPLACE (w / sum(w) OVER (PARTITION BY dt) AS w) FROM t7), t9 AS (SELECT * FROM t8 WHERE w >= 0.002)"""
+
+
+@query("dt code rank tier", "shares weight", f"WITH {TIERED} --- SELECT dt, code, rank, tier, shares, w / sum(w) OVER (PARTITION BY dt) AS weight FROM t9", 4)
 def portfolio_production(spark, d):
-    return bt.production_portfolio(scored(spark, d), deviation=0.05)
+    k, m = F.abs(F.col("code") * 7) % 5, F.abs(F.col("code") * 3) % 4
+    levels = {
+        "risk_level": F.when(k == 0, "medium").when(k == 1, "high").when(k == 2, "extreme").when(k == 3, "low"),
+        "liquidity_level": F.when(m == 0, "marginal").when(m == 1, "insufficient").when(m == 2, "normal"),
+    }
+    return tr.tiered_portfolio(scored(spark, d).filter("score is not null").select("code", "dt", "rank", "industry", "close").withColumns(levels), BOUNDS, STEPS)
 
 
 METRICS = f"""{PANEL}, p AS (SELECT *, close / lag(close) OVER s - 1 AS ret, close / max(close) OVER (PARTITION BY code ORDER BY dt ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM panel WINDOW s AS (PARTITION BY code ORDER BY dt)),
