@@ -12,18 +12,24 @@ from pyspark.sql import functions as F
 
 from alphaloom.functions.columns import date, pct_change, rolling, safe_divide, series
 
-STYLES = ["size", "nonlinear_size", "momentum", "reversal", "volatility", "liquidity", "book_to_price", "earnings_yield", "growth", "leverage"]
+from .price import beta
+
+STYLES = ["size", "nonlinear_size", "momentum", "reversal", "volatility", "liquidity", "book_to_price", "earnings_yield", "growth", "leverage", "beta", "residual_volatility"]
 
 
 def style_exposures(df: DataFrame) -> DataFrame:
-    """code, dt and ten styles from close, turnover, cap, equity, assets, liabilities, net_profit and revenue_yoy (as known on dt)."""
-    size = F.ln("cap")
-    df = df.withColumn("_r", pct_change("close"))
+    """code, dt and twelve styles from close, turnover, cap, equity, assets, liabilities, net_profit and revenue_yoy (as known on dt).
+
+    Beta and residual volatility are those of a row's last 24 returns against the mean return of all securities.
+    """
+    size = F.ln(F.when(F.col("cap") > 0, F.col("cap")))
+    df = beta(df, df.withColumn("_r", pct_change("close")).groupBy("dt").agg(F.avg("_r").alias("mkt"))).withColumn("_r", F.col("ret"))
     return df.withColumn("size", size).select(
         "code", "dt", "size", F.pow(F.col("size") - F.avg("size").over(date()), 3).alias("nonlinear_size"),
         safe_divide(F.lag("close", 1).over(series()) - F.lag("close", 12).over(series()), F.lag("close", 12).over(series())).alias("momentum"), F.col("_r").alias("reversal"),
         rolling(F.stddev_samp, "_r", 12, 6).alias("volatility"), F.when(F.col("turnover") > 0, F.ln("turnover")).alias("liquidity"),
         safe_divide("equity", "cap").alias("book_to_price"), safe_divide("net_profit", "cap").alias("earnings_yield"), F.col("revenue_yoy").alias("growth"), safe_divide("liabilities", "assets").alias("leverage"),
+        "beta", F.when(F.col("beta").isNotNull(), F.col("idio_vol")).alias("residual_volatility"),
     )
 
 

@@ -21,7 +21,7 @@ def metrics(df: DataFrame, rate: float = 0.0, confidence: float = 0.95) -> DataF
     tail = df.groupBy("code").agg(F.percentile("ret", 1 - confidence).alias("var"))
     df = df.join(tail, "code")
     out = df.groupBy("code").agg(
-        F.count("ret").alias("n"), (F.max_by("close", "dt") / F.min_by("close", "dt") - 1).alias("total"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"),
+        F.count("ret").alias("n"), (F.try_divide(F.max_by("close", "dt"), F.min_by("close", "dt")) - 1).alias("total"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"),
         F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))).alias("down"), F.first("var").alias("var"), F.avg(F.when(F.col("ret") <= F.col("var"), F.col("ret"))).alias("cvar"),
         F.min("dd").alias("max_drawdown"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"),
         F.try_divide(F.avg(F.when(F.col("ret") > 0, F.col("ret"))), -F.avg(F.when(F.col("ret") < 0, F.col("ret")))).alias("pl_ratio"),

@@ -114,6 +114,26 @@ def judge_windows(predicted: DataFrame, fits: DataFrame, label: str, least: int
     return fits.drop("intercept", "coef").join(F.broadcast(per), "window_id", "left").withColumn("test_dates", F.coalesce("test_dates", F.lit(0)))
 
 
+def backtest_windows(predicted: DataFrame, label: str, n: int = 10, periods: int = 12) -> DataFrame:
+    """window_id, dates, total, excess, sharpe, max_drawdown, hit_rate of holding, on each test date, the ``n`` best by ``predicted``, equally.
+
+    The label is the return earned; rows without it or a prediction are not held, ties go to the smaller code. Excess is the total
+    less that of all rows of the test dates; the Sharpe ratio takes ``periods`` dates a year.
+    """
+    known = predicted.filter(F.col("predicted").isNotNull() & F.col(label).isNotNull())
+    best = F.row_number().over(W.partitionBy("window_id", "dt").orderBy(F.desc("predicted"), "code")) <= n
+    daily = known.withColumn("_best", best).groupBy("window_id", "dt").agg(F.avg(F.when(F.col("_best"), F.col(label))).alias("r"), F.avg(label).alias("m"))
+    along = W.partitionBy("window_id").orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
+    grown = lambda c: F.exp(F.sum(F.when(F.col(c) > -1, F.ln(1 + F.col(c))).otherwise(float("-inf"))).over(along))
+    daily = daily.withColumns({"nav": grown("r"), "_m": grown("m")})
+    daily = daily.withColumn("dd", F.try_divide("nav", F.greatest(F.max("nav").over(along), F.lit(1.0))) - 1)
+    sd = F.stddev_samp("r")
+    return daily.groupBy("window_id").agg(
+        F.count(F.lit(1)).alias("dates"), (F.max_by("nav", "dt") - 1).alias("total"), (F.max_by("nav", "dt") - F.max_by("_m", "dt")).alias("excess"),
+        F.when(sd > 1e-12, F.avg("r") / sd * periods**0.5).alias("sharpe"), F.min("dd").alias("max_drawdown"), F.avg((F.col("r") > F.col("m")).cast("double")).alias("hit_rate"),
+    )
+
+
 def retrain(df: DataFrame, features: list[str], label: str, train: int, test: int, gap: int, every: int | None = None, penalty: float = 0.1) -> DataFrame:
     """Fits all windows and judges each on its own test dates. The label of a row must end within ``gap`` dates."""
     fits = fit_windows(df, windows(df, train, test, gap, every), features, label, penalty)

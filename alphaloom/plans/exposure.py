@@ -17,7 +17,7 @@ from alphaloom.sources.tables import DIMS, INDEX, PANEL, dims, index_series, pan
 
 from .factors import CROSS, cross
 from .fundamental import TTM, trailing
-from .registry import query
+from .registry import QUERIES, query
 from .research import LABELS, labelled
 from .strategy import IND, IRET, WEIGHTS, _ma, _signal, industry_returns, scored
 
@@ -25,9 +25,12 @@ KNOWN = f"""{PANEL}, {DIMS}, {TTM}, kn AS (SELECT * FROM (SELECT p.code, p.dt, e
   sx AS (SELECT p.*, ln(cap) AS size, cap, equity, assets, liabilities, net_profit, revenue_yoy FROM panel p JOIN dims USING (code) LEFT JOIN kn USING (code, dt)), sr AS (SELECT *, CASE WHEN lag(close) OVER s <> 0 THEN close / lag(close) OVER s - 1 END AS r FROM sx WINDOW s AS (PARTITION BY code ORDER BY dt))"""
 
 
-@query("code dt", "size nonlinear_size momentum reversal volatility liquidity book_to_price earnings_yield growth leverage", f"""WITH {KNOWN} --- SELECT code, dt, size, pow(size - avg(size) OVER (PARTITION BY dt), 3) AS nonlinear_size,
+BETA = QUERIES["price_beta"].sql.replace("---", "")
+
+
+@query("code dt", "size nonlinear_size momentum reversal volatility liquidity book_to_price earnings_yield growth leverage beta residual_volatility", f"""WITH {KNOWN} --- SELECT code, dt, size, pow(size - avg(size) OVER (PARTITION BY dt), 3) AS nonlinear_size,
   CASE WHEN abs(lag(close, 12) OVER s) >= 1e-8 THEN (lag(close) OVER s - lag(close, 12) OVER s) / lag(close, 12) OVER s END AS momentum, r AS reversal, CASE WHEN count(r) OVER v >= 6 THEN stddev_samp(r) OVER v END AS volatility, CASE WHEN turnover > 0 THEN ln(turnover) END AS liquidity,
-  equity / cap AS book_to_price, net_profit / cap AS earnings_yield, revenue_yoy AS growth, CASE WHEN abs(assets) >= 1e-8 THEN liabilities / assets END AS leverage FROM sr WINDOW s AS (PARTITION BY code ORDER BY dt), v AS (PARTITION BY code ORDER BY dt ROWS 11 PRECEDING)""", 5)
+  equity / cap AS book_to_price, net_profit / cap AS earnings_yield, revenue_yoy AS growth, CASE WHEN abs(assets) >= 1e-8 THEN liabilities / assets END AS leverage, bt.beta, bt.idio_vol AS residual_volatility FROM sr JOIN ({BETA}) AS bt USING (code, dt) WINDOW s AS (PARTITION BY code ORDER BY dt), v AS (PARTITION BY code ORDER BY dt ROWS 11 PRECEDING)""", 5)
 def barra_exposures(spark, d):
     items = ["equity", "assets", "liabilities", "net_profit", "revenue_yoy"]
     facts = trailing(spark, d).select("code", "ann_date", "end_date", F.struct(*items).alias("facts"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alphaloom.operators import normalize as nz
+from alphaloom.sources.quotes import parse_quotes
 from alphaloom.sources.statements import STATEMENTS, statements
 from alphaloom.sources.store import Store, freshness, newer, scratch
 from alphaloom.sources.tables import DIMS, PANEL, dims, panel, table
@@ -93,3 +94,17 @@ def history_report(spark, d):
     iv = table(spark, d, "orders").groupBy((F.col("o_custkey") % 200).alias("code"), F.to_date("o_orderdate").alias("effective")).agg(F.max("o_orderkey").alias("cls"))
     iv = iv.withColumn("expire", F.when(F.col("cls") % 3 > 0, F.date_add("effective", (20 + F.col("cls") % 40).cast("int"))))
     return nz.history_report(iv, dims(spark, d))
+
+
+@query("code name", "open pre_close price high low volume amount", """WITH q AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'sh' ELSE 'sz' END || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS code, o_orderpriority AS name, o_totalprice AS p, o_custkey AS c, o_orderkey AS k FROM orders) --- SELECT code, name, CASE WHEN k % 5 > 0 THEN p END AS open, CAST(c AS DOUBLE) AS pre_close, CASE WHEN k % 7 > 0 THEN p + c END AS price,
+  p + 2 * c AS high, CAST(k AS DOUBLE) AS low, CAST(c * 100 AS DOUBLE) AS volume, p * 10 AS amount FROM q WHERE k % 4 > 0""")
+def quotes_parsed(spark, d):
+    k, p, c = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_custkey")
+    some = F.when(k % 5 > 0, p.cast("string")).otherwise("")
+    price = F.when(k % 7 > 0, (p + c).cast("string")).otherwise("n/a")
+    fields = [F.col("o_orderpriority"), some, c, price, p + 2 * c, k, F.lit("x"), F.lit("x"), c * 100, p * 10, *(F.lit("") for _ in range(22))]
+    body = F.concat_ws(",", *(f.cast("string") for f in fields))
+    short = F.concat_ws(",", F.col("o_orderpriority"), p.cast("string"))
+    code = F.concat(F.when(k % 3 == 0, "sh").otherwise("sz"), F.lpad(k.cast("string"), 8, "0"))
+    text = F.concat(F.lit("header\nvar hq_str_"), code, F.lit('="'), F.when(k % 4 > 0, body).otherwise(short), F.lit('";\n'))
+    return parse_quotes(table(spark, d, "orders").select(text.alias("text")))

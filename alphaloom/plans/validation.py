@@ -43,6 +43,14 @@ def walk_forward_retrained(spark, d):
     return wf.judge_windows(wf.predict_windows(df, fits, ["f", "g"]), fits, "fwd_1")
 
 
+@query("window_id dates", "total excess sharpe max_drawdown hit_rate", f"""WITH {JUDGED}, wb AS (SELECT window_id, dt, avg(y) FILTER (p <= 10) AS r, avg(y) AS m FROM (SELECT ft.window_id, kn.dt, kn.y, row_number() OVER (PARTITION BY ft.window_id, kn.dt ORDER BY intercept + b1 * x1 + b2 * x2 DESC, code) AS p FROM ft JOIN kn ON kn.dt BETWEEN test_start AND test_end) GROUP BY 1, 2),
+  wn AS (SELECT *, exp(sum(ln(1 + r)) OVER o) AS nav, exp(sum(ln(1 + m)) OVER o) AS mn FROM wb WINDOW o AS (PARTITION BY window_id ORDER BY dt)), wd AS (SELECT *, nav / greatest(max(nav) OVER (PARTITION BY window_id ORDER BY dt), 1) - 1 AS dd FROM wn) ---
+  SELECT window_id, count(*) AS dates, arg_max(nav, dt) - 1 AS total, arg_max(nav, dt) - arg_max(mn, dt) AS excess, avg(r) / nullif(stddev_samp(r), 0) * sqrt(12) AS sharpe, min(dd) AS max_drawdown, avg(CASE WHEN r > m THEN 1.0 ELSE 0.0 END) AS hit_rate FROM wd GROUP BY 1""", 5)
+def walk_forward_backtest(spark, d):
+    df, fits = fitted(spark, d)
+    return wf.backtest_windows(wf.predict_windows(df, fits, ["f", "g"]), "fwd_1")
+
+
 LOOKBACKS, BLOCKS = range(1, 9), 8
 _LAGS = ", ".join(f"close / nullif(lag(close, {n}) OVER s, 0) - 1" for n in LOOKBACKS)
 TRIALS = f"""{LABELS}, tm AS (SELECT dt, fwd_1, unnest({list(LOOKBACKS)}) AS strategy, unnest([{_LAGS}]) AS x FROM y WINDOW s AS (PARTITION BY code ORDER BY dt)), th AS (SELECT *, median(x) OVER (PARTITION BY strategy, dt) AS m FROM tm WHERE x IS NOT NULL),

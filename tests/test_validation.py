@@ -184,3 +184,11 @@ def test_regimes_equal_a_loop(spark):
     clean = [k for k in range(len(close)) if not 100 <= k <= 162]  # here a return is unknown, and windows of known returns differ
     assert all(got[k].regime == want[k][0] and abs(got[k].confidence - want[k][1]) < 1e-9 for k in clean if k < 100)
     assert sum(got[k].regime == want[k][0] for k in clean) > 0.95 * len(clean) and len({x.regime for x in got}) == 4
+
+
+def test_windows_are_traded_on_their_best(spark):
+    rows = [(0, c, day(t), float(-c), 0.01 * (3 - c) * (-1) ** t) for t in range(4) for c in range(6)] + [(0, 9, day(0), None, 9.0), (0, 8, day(1), 9.0, None)]
+    got = walkforward.backtest_windows(spark.createDataFrame(rows, "window_id int, code int, dt date, predicted double, y double"), "y", 2).first()
+    r = [0.025 * (-1) ** t for t in range(4)]
+    nav = np.cumprod(1 + np.array(r))
+    assert got.dates == 4 and abs(got.total - (nav[-1] - 1)) < 1e-12 and abs(got.max_drawdown - (nav / np.maximum(np.maximum.accumulate(nav), 1) - 1).min()) < 1e-12 and got.hit_rate == 0.5

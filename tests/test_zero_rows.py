@@ -61,3 +61,14 @@ def test_barra_residuals_and_risk_by_hand(spark):
     one = spark.createDataFrame([(3, "market", 1.0), (3, "x", float(x[3, 11]))], "code int, factor string, x double")
     total = exposure.decompose_risk(one, exposure.factor_covariance(returns), specific).first()
     assert abs(total.systematic - e @ cov @ e) < 1e-9 and abs(total.total - total.systematic - total.specific) < 1e-12
+
+
+def test_quotes_of_odd_pages(spark):
+    from alphaloom.sources.quotes import parse_quotes, quote_code
+
+    full = "名,1.5,,2.5,3,bad,0,0,100,250.0" + "," * 22
+    pages = [(1, f'var hq_str_sh600000="{full}";\nvar hq_str_sz000001="short,1";\njunk'), (2, None), (3, ""), (4, f'x var hq_str_bj1="{full}"; y\nvar hq_str_sz3="{full}')]
+    got = parse_quotes(spark.createDataFrame(pages, "page int, text string")).orderBy("page").collect()
+    assert [(r.page, r.code, r.name, r.open, r.pre_close, r.price, r.low, r.volume, r.amount) for r in got] == [(p, c, "名", 1.5, None, 2.5, None, 100.0, 250.0) for p, c in ((1, "sh600000"), (4, "bj1"))]
+    codes = spark.createDataFrame([("600000.SH",), ("000001.SZ",), ("600001",), ("300001",), (None,)], "ts_code string").select(quote_code()).collect()
+    assert [r[0] for r in codes] == ["sh600000", "sz000001", "sh600001", "sz300001", None]
