@@ -545,11 +545,54 @@ def test_pipeline(spark, sf):
         best.setdefault(re.sub(BLANKS, "", t), (i, t))
     kept = sorted(best.values())
     fps, group = [brute_fingerprint(t) for _, t in kept], list(range(len(kept)))
-    for _ in kept:
-        for a, b in itertools.combinations(range(len(kept)), 2):
-            if (fps[a] ^ fps[b]).bit_count() <= 4:
-                group[a] = group[b] = min(group[a], group[b])
-        break
+    near = [(a, b) for a, b in itertools.combinations(range(len(kept)), 2) if (fps[a] ^ fps[b]).bit_count() <= 4]
+    moved = True
+    while moved:
+        moved = False
+        for a, b in near:
+            least = min(group[a], group[b])
+            moved |= group[a] != group[b]
+            group[a] = group[b] = least
     want = {kept[i][0] for i, g in enumerate(group) if i == g}
-    out = corpus_pipeline.run(spark, sf)
-    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == want
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in out} == want
+    # what is packed: the masked text's tokens and the end, cut into pieces without gaps
+    from tokenizers import Tokenizer
+
+    full, texts, crf_model = Tokenizer.from_file(token_counts.tokenizer_path()), dict(rows), pii.train()
+    spans = pii.Tagger(crf_model).spans(pa.array([texts[i] for i in sorted(want)]))
+    pieces = {}
+    for r in out:
+        assert r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length
+        pieces.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist(), r.doc_tokens))
+    hidden = 0
+    for n, i in enumerate(sorted(want)):
+        found = pii.all_spans(texts[i], pii.base_spans(texts[i]), sorted(spans.get(n, [])))
+        hidden += len(found)
+        ids = [*full.encode(pii.masked(texts[i], found), add_special_tokens=False).ids, 1]
+        own = sorted(pieces[i])
+        assert [x for _, part, _ in own for x in part] == ids and {t for _, _, t in own} == {len(ids)}
+        assert [s for s, _, _ in own] == list(itertools.accumulate([0] + [len(p) for _, p, _ in own]))[:-1]
+    assert hidden > 0
+    by_sequence = {}
+    for r in out:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in by_sequence.values():
+        assert [o for o, _ in sorted(held)] == list(itertools.accumulate([0] + [n for _, n in sorted(held)]))[:-1] and sum(n for _, n in held) <= 2048
+
+
+def test_each_stage_drops_what_it_says(spark, sf):
+    """Stage by stage: toxic rows go, of equal texts one stays, and columns stay those of documents until the last."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, docs, sf)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    bad = {r.doc_id for r in toxicity.score_toxicity(docs, model).filter("predicted = 1").select("row.doc_id").collect()}
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    assert ids(docs) - ids(clean) == bad and bad
+    single = stages["exact_dedup"](spark, clean, sf)
+    squeezed = [re.sub(BLANKS, "", r.text or "") for r in single.collect()]
+    assert len(set(squeezed)) == len(squeezed) and set(squeezed) == {re.sub(BLANKS, "", r.text or "") for r in clean.collect()}
+    masked = stages["pii"](spark, single, sf)
+    assert masked.columns == docs.columns and ids(masked) == ids(single)
+    assert not any(pii.base_spans(r.text) for r in masked.collect())
