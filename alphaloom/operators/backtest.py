@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .portfolio import score_weights
 
 #: Rates of commission, transfer fee, stamp duty and slippage, and the least commission (fixed values).
 COMMISSION, TRANSFER, STAMP, SLIP, LEAST_FEE = 0.00025, 0.00001, 0.001, 0.0005, 5.0

@@ -7,7 +7,6 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.functions.columns import pct_change, rolling, safe_divide, series
@@ -46,17 +45,6 @@ def limit_ratios(df: DataFrame, n: int = 20, least: int = 10, tolerance: float =
     return df.withColumns({"up_ratio": rolling(F.avg, "limit_up", n, least), "down_ratio": rolling(F.avg, "limit_down", n, least), "ipo_age": age})
 
 
-def status_flags(df: DataFrame, name: str = "name") -> DataFrame:
-    """Special-treatment flags read from names, limit and suspension flags from bars, and the risk flag."""
-    star = F.col(name).contains("*ST")
-    st = F.col(name).contains("ST")
-    lim = F.when(st, 4.9).otherwise(9.9)
-    return df.withColumns({
-        "is_st": st, "is_star_st": star, "is_limit_up": F.coalesce(F.col("pct") >= lim, F.lit(False)), "is_limit_down": F.coalesce(F.col("pct") <= -lim, F.lit(False)),
-        "is_suspended": F.coalesce(F.col("close") == 0, F.lit(True)), "risk_flag": F.when(star, "high").when(st, "medium").otherwise("normal"),
-    })
-
-
 def industry_rotation(df: DataFrame, n: int = 3, base: int = 12) -> DataFrame:
     """industry, dt, momentum (mean n-row return), flow (summed), deviation of the mean turnover from its own rolling mean."""
     per = df.groupBy("industry", "dt").agg(F.avg("ret").alias("r"), F.sum("flow").alias("flow"), F.avg("turnover").alias("v"))

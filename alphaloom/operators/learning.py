@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from alphaloom.sources.store import scratch
+
 
 def walk_forward(dates: DataFrame, train: int, test: int, gap: int = 1) -> DataFrame:
     """window_id, train_start, train_end, test_start, test_end over the distinct dates (one row a date)."""
@@ -64,7 +66,9 @@ def stacked(df: DataFrame, features: list[str], label: str, folds: int = 3) -> D
     feature have no prediction; rows with a null label are predicted but teach nothing.
     """
     blocks = df.select("dt").distinct().withColumn("_block", F.ntile(folds).over(W.orderBy("dt")))  # one row a date
-    df = df.select("code", "dt", *features, label).join(blocks, "dt").persist()
+    path = scratch(df.sparkSession, "stacked")  # read once for each block
+    df.select("code", "dt", *features, label).join(blocks, "dt").write.parquet(path)
+    df = df.sparkSession.read.parquet(path)
     parts = []
     for k in range(1, folds + 1):
         seen, new = df.filter(F.col("_block") != k), df.filter(F.col("_block") == k)

@@ -86,18 +86,6 @@ def covariance_matrix(pairs: DataFrame, most: int = 500) -> tuple[list, np.ndarr
     return keys, out
 
 
-def ledoit_wolf(x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Covariance shrunk towards a scaled identity, and the shrinkage."""
-    t, n = x.shape
-    x = x - x.mean(axis=0)
-    s = x.T @ x / t
-    target = np.trace(s) / n * np.eye(n)
-    spread = np.square(s - target).sum()
-    noise = sum(np.square(np.outer(r, r) - s).sum() for r in x) / t**2
-    alpha = float(min(1.0, noise / spread)) if spread > 0 else 1.0
-    return alpha * target + (1 - alpha) * s, alpha
-
-
 def risk_contributions(w: np.ndarray, cov: np.ndarray) -> np.ndarray:
     """Shares of portfolio variance."""
     total = w @ cov @ w

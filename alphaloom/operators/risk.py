@@ -5,7 +5,6 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,100 +51,6 @@ def christoffersen(df: DataFrame, n: int = 60, confidence: float = 0.95) -> Data
     return out.withColumn("christoffersen", F.greatest(F.lit(0.0), 2 * (free - part(b + d, a + b + c + d) - part(a + c, a + b + c + d))))
 
 
-def shrink_oas(x: np.ndarray) -> np.ndarray:
-    """Oracle-approximating shrinkage of the covariance of rows x towards a scaled identity."""
-    t, n = x.shape
-    s = np.cov(x.T, bias=True)
-    mu, square = np.trace(s) / n, np.square(s).sum()
-    top, low = (1 - 2 / n) * square + np.trace(s) ** 2, (t + 1 - 2 / n) * (square - np.trace(s) ** 2 / n)
-    rho = 1.0 if low <= 0 else min(1.0, top / low)
-    return (1 - rho) * s + rho * mu * np.eye(n)
-
-
-def graphical_lasso(s: np.ndarray, penalty: float, sweeps: int = 100, inner: int = 100) -> np.ndarray:
-    """Covariance whose inverse is sparse: block coordinate descent, a lasso per column."""
-    n = len(s)
-    w, beta = s + penalty * np.eye(n), np.zeros((n, n))
-    for _ in range(sweeps):
-        before = w.copy()
-        for j in range(n):
-            rest = np.arange(n) != j
-            v, target, b = w[np.ix_(rest, rest)], s[rest, j], beta[rest, j]
-            for _ in range(inner):
-                old = b.copy()
-                for k in range(n - 1):
-                    r = target[k] - v[k] @ b + v[k, k] * b[k]
-                    b[k] = np.sign(r) * max(abs(r) - penalty, 0) / v[k, k]
-                if np.abs(b - old).max(initial=0) < 1e-10:
-                    break
-            beta[rest, j] = b
-            w[rest, j] = w[j, rest] = v @ b
-        if np.abs(w - before).max() < 1e-9:
-            break
-    return w
-
-
-def robust_covariance(x: np.ndarray, share: float = 0.75, starts: int = 20, seed: int = 7) -> np.ndarray:
-    """Minimum covariance determinant: of several starts, concentrate on the ``share`` of rows nearest by Mahalanobis distance."""
-    rng, (t, n) = np.random.default_rng(seed), x.shape
-    h, best = max(n + 1, int(share * t)), (np.inf, np.cov(x.T))
-    for _ in range(starts):
-        keep = rng.choice(t, min(t, n + 2), replace=False)
-        for _ in range(30):
-            mean, cov = x[keep].mean(axis=0), np.cov(x[keep].T) + 1e-12 * np.eye(n)
-            far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.pinv(cov), x - mean)
-            nearest = np.argsort(far, kind="stable")[:h]
-            if set(nearest) == set(keep):
-                break
-            keep = nearest
-        size = np.linalg.slogdet(np.cov(x[keep].T) + 1e-12 * np.eye(n))[1]
-        if size < best[0]:
-            best = (size, np.cov(x[keep].T))
-    return best[1]
-
-
-def pca_hybrid(s: np.ndarray, k: int = 3) -> np.ndarray:
-    """The k largest components and the variances that they leave over."""
-    values, vectors = np.linalg.eigh(s)
-    top = vectors[:, -k:] * values[-k:] @ vectors[:, -k:].T
-    return top + np.diag(np.maximum(np.diag(s) - np.diag(top), 0.0))
-
-
-def garch_residuals(df: DataFrame, key: str, value: str, alpha: float = 0.05, beta: float = 0.9) -> DataFrame:
-    """key, dt, resid, sigma of a GARCH(1,1) aimed at the sample variance: a recursion per series."""
-    kind = dict(df.dtypes)[key]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=[value]).sort_values("dt")
-        r = rows[value].to_numpy(float)
-        r = r - r.mean() if len(r) else r
-        base = max(float(r.var()), 1e-12) if len(r) else 1e-12
-        h = np.full(len(r), base)
-        for i in range(1, len(r)):
-            h[i] = base * (1 - alpha - beta) + alpha * r[i - 1] ** 2 + beta * h[i - 1]
-        return pd.DataFrame({key: rows[key], "dt": rows["dt"], "resid": r / np.sqrt(h), "sigma": np.sqrt(h)})
-
-    return df.select(key, "dt", value).groupBy(key).applyInPandas(run, f"{key} {kind}, dt date, resid double, sigma double")
-
-
-def dcc_covariance(resid: np.ndarray, sigma: np.ndarray, grid_a=(0.01, 0.03, 0.05), grid_b=(0.90, 0.94, 0.98)) -> np.ndarray:
-    """The last conditional covariance: correlations move by the pair (a, b) of the grid with the highest likelihood."""
-    mean, best = np.corrcoef(resid.T), (-np.inf, None)
-    for a in grid_a:
-        for b in grid_b:
-            if a + b >= 1:
-                continue
-            q, fit = mean.copy(), 0.0
-            for e in resid:
-                r = q / np.sqrt(np.outer(np.diag(q), np.diag(q)))
-                sign, size = np.linalg.slogdet(r)
-                fit -= 0.5 * (size + e @ np.linalg.pinv(r) @ e)
-                q = (1 - a - b) * mean + a * np.outer(e, e) + b * q
-            if fit > best[0]:
-                best = (fit, q / np.sqrt(np.outer(np.diag(q), np.diag(q))))
-    return best[1] * np.outer(sigma, sigma)
-
-
 def mean_variance(mu: np.ndarray, cov: np.ndarray, aversion: float = 1.0, cap: float = 1.0, before: np.ndarray | None = None, turnover: float = 0.0, steps: int = 2000) -> np.ndarray:
     """Long-only weights of most mu.w - aversion/2 w.cov.w - turnover |w - before|^2, by projected gradient."""
     before = np.full(len(mu), 1 / len(mu)) if before is None else before
@@ -168,21 +73,6 @@ def max_diversification(cov: np.ndarray, cap: float = 1.0) -> np.ndarray:
     return w / w.sum()
 
 
-def least_cvar(scenarios: np.ndarray, confidence: float = 0.95, cap: float = 1.0, steps: int = 2000) -> np.ndarray:
-    """Long-only weights of least mean loss in the worst scenarios, by a projected subgradient that keeps the best point."""
-    t, n = scenarios.shape
-    k = max(1, int(np.ceil((1 - confidence) * t)))
-    w = capped_simplex(np.full(n, 1 / n), cap)
-    best = (np.inf, w)
-    for i in range(steps):
-        order = np.argsort(scenarios @ w)[:k]
-        loss = -(scenarios[order] @ w).mean()
-        best = min(best, (loss, w), key=lambda v: v[0])
-        g = -scenarios[order].mean(axis=0)
-        w = capped_simplex(w - 0.5 / np.sqrt(i + 1) * g / max(np.linalg.norm(g), 1e-12), cap)
-    return best[1]
-
-
 def hierarchical_parity(cov: np.ndarray) -> np.ndarray:
     """Hierarchical risk parity: order by single linkage of correlation distances, then split risk down the order."""
     sd = np.sqrt(np.diag(cov))
@@ -206,9 +96,3 @@ def hierarchical_parity(cov: np.ndarray) -> np.ndarray:
             w[b] *= 1 - share
             todo += [a, b]
     return w / w.sum()
-
-
-def stress(weights: np.ndarray, cov: np.ndarray, shocks: np.ndarray) -> np.ndarray:
-    """Loss of each shock vector, and its size in the portfolio's deviations."""
-    loss = -(shocks @ weights)
-    return np.column_stack([loss, loss / np.sqrt(max(weights @ cov @ weights, 1e-18))])

@@ -98,8 +98,3 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     newest = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("_new").desc(), F.col(order).desc()))
     return both.withColumn("_rn", newest).filter("_rn = 1").drop("_rn", "_new")
-
-
-def write_partitioned(df: DataFrame, path: str, by: str = "dt", mode: str = "append") -> None:
-    """Parquet sink with one folder a date, so date filters prune folders."""
-    df.repartition(by).write.mode(mode).partitionBy(by).parquet(path)

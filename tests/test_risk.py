@@ -1,4 +1,4 @@
-"""Covariances and optimisers against what defines them."""
+"""Optimisers against what defines them."""
 
 import numpy as np
 
@@ -9,34 +9,13 @@ X = RNG.normal(size=(200, 5)) @ np.array([[1, 0.5, 0, 0, 0], [0, 1, 0, 0, 0], [0
 S = np.cov(X.T)
 
 
-def test_graphical_lasso_meets_its_conditions():
-    w = risk.graphical_lasso(S, 0.1)
-    inverse = np.linalg.inv(w)
-    assert np.abs(w - S).max() <= 0.1 + 1e-6
-    big = np.abs(inverse) > 1e-4
-    np.fill_diagonal(big, False)
-    assert np.allclose((w - S)[big], 0.1 * np.sign(inverse[big]), atol=1e-3)
-
-
-def test_robust_covariance_resists_outliers():
-    dirty = np.vstack([X, np.full((20, 5), 60.0)])
-    assert np.abs(risk.robust_covariance(dirty) - S).max() < 2 < np.abs(np.cov(dirty.T) - S).max()
-
-
-def test_structured_covariances_are_positive():
-    resid = (X - X.mean(axis=0)) / X.std(axis=0)
-    for c in (risk.shrink_oas(X), risk.pca_hybrid(S, 2), risk.dcc_covariance(resid, X.std(axis=0))):
-        assert np.linalg.eigvalsh(c).min() > 0
-
-
 def test_weights_sum_to_one_and_beat_equal_ones():
     equal, mu = np.full(5, 0.2), np.array([0.01, 0.02, 0.03, 0.02, 0.01])
     sharpe = lambda w: mu @ w / np.sqrt(w @ S @ w)
-    tail = lambda w: -np.sort(X @ w)[:10].mean()
-    best, cvar = risk.max_sharpe(mu, S), risk.least_cvar(X)
-    for w in (best, cvar, risk.max_diversification(S), risk.hierarchical_parity(S), risk.mean_variance(mu, S)):
+    best = risk.max_sharpe(mu, S)
+    for w in (best, risk.max_diversification(S), risk.hierarchical_parity(S), risk.mean_variance(mu, S)):
         assert abs(w.sum() - 1) < 1e-6 and w.min() >= 0
-    assert sharpe(best) >= sharpe(equal) and tail(cvar) <= tail(equal)
+    assert sharpe(best) >= sharpe(equal)
 
 
 def test_simplex_and_module_weights():

@@ -6,8 +6,6 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 from alphaloom.operators import mining, scenarios
 
 DAY = dt.date(2020, 1, 1)
