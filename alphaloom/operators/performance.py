@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -44,6 +45,24 @@ def rolling_performance(df: DataFrame, n: int = 60) -> DataFrame:
     return df.withColumns({"sharpe": F.when(F.col("_s") > 0, F.col("_m") / F.col("_s") * YEAR**0.5), "volatility": F.col("_s") * YEAR**0.5, "compound": F.exp("_l") - 1})
 
 
+def report(df: DataFrame, n: int = 12) -> DataFrame:
+    """code, section, item, value: the whole report of each code's closes, one row a figure.
+
+    Sections: ``metrics`` (of all rows), ``quarters`` (count, best, worst, mean and share above 0 of compounded
+    quarters), ``drawdowns`` (spells, rows under a peak, the longest spell, the deepest) and ``rolling`` (Sharpe ratio,
+    volatility and return of the last ``n`` rows). A figure that cannot be told is a row with a null value.
+    """
+    total = metrics(df)
+    named = ["total", "annual", "volatility", "sharpe", "sortino", "var", "cvar", "max_drawdown", "calmar", "win_rate", "pl_ratio"]
+    quarters = period_returns(df).groupBy("code").agg(F.count("ret").cast("double").alias("count"), F.max("ret").alias("best"), F.min("ret").alias("worst"), F.avg("ret").alias("mean"), F.avg((F.col("ret") > 0).cast("double")).alias("above_0"))
+    spells = drawdown_spells(df).groupBy("code").agg(F.count(F.lit(1)).cast("double").alias("spells"), F.sum("rows").cast("double").alias("rows_under"), F.max("rows").cast("double").alias("longest"), F.min("depth").alias("deepest"))
+    last = F.row_number().over(W.partitionBy("code").orderBy(F.desc("dt"))) == 1
+    rolled = rolling_performance(df, n).withColumn("_last", last).filter("_last")
+    parts = [("metrics", total, named), ("quarters", quarters, ["count", "best", "worst", "mean", "above_0"]), ("drawdowns", spells, ["spells", "rows_under", "longest", "deepest"]), ("rolling", rolled, ["sharpe", "volatility", "compound"])]
+    tall = [part.select("code", F.lit(section).alias("section"), *(F.col(c).cast("double") for c in items)).unpivot(["code", "section"], items, "item", "value") for section, part, items in parts]
+    return reduce(lambda a, b: a.unionByName(b), tall)
+
+
 def drawdown_spells(df: DataFrame) -> DataFrame:
     """Each stretch below a peak: code, spell, first_day, last_day, rows, depth."""
     df = df.withColumn("dd", F.try_divide("close", F.max("close").over(series().rowsBetween(W.unboundedPreceding, 0))) - 1)

@@ -198,6 +198,24 @@ def performance_period(spark, d):
     return pf.period_returns(panel(spark, d))
 
 
+def _tall(section: str, table: str, items: str) -> str:
+    names = items.split()
+    return f"SELECT code, '{section}' AS section, unnest([{', '.join(repr(n) for n in names)}]) AS item, unnest([{', '.join(f'CAST({n} AS DOUBLE)' for n in names)}]) AS value FROM {table}"
+
+
+REPORT = f"""{METRICS}, rm AS (SELECT *, mean / sd * sqrt(252) AS sharpe, mean / down * sqrt(252) AS sortino, sd * sqrt(252) AS volatility, CASE WHEN n > 0 THEN pow(1 + total, 252.0 / n) - 1 END AS annual FROM a), rmc AS (SELECT *, CASE WHEN max_drawdown < 0 THEN annual / -max_drawdown END AS calmar FROM rm),
+  qr AS (SELECT code, CAST(date_trunc('quarter', dt) AS DATE) AS period, exp(sum(ln(1 + ret))) - 1 AS ret FROM p GROUP BY 1, 2), qs AS (SELECT code, count(ret) AS count, max(ret) AS best, min(ret) AS worst, avg(ret) AS mean, avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END) AS above_0 FROM qr GROUP BY 1),
+  sp AS (SELECT *, sum(CASE WHEN dd = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY code ORDER BY dt) AS spell FROM p), sq AS (SELECT code, spell, count(*) AS r, min(dd) AS depth FROM sp WHERE dd < 0 GROUP BY 1, 2), ss AS (SELECT code, count(*) AS spells, sum(r) AS rows_under, max(r) AS longest, min(depth) AS deepest FROM sq GROUP BY 1),
+  rw AS (SELECT code, dt, row_number() OVER (PARTITION BY code ORDER BY dt DESC) AS k, CASE WHEN count(ret) OVER w >= 12 AND stddev_samp(ret) OVER w > 0 THEN avg(ret) OVER w / stddev_samp(ret) OVER w * sqrt(252) END AS sharpe, CASE WHEN count(ret) OVER w >= 12 THEN stddev_samp(ret) OVER w * sqrt(252) END AS volatility, CASE WHEN count(ret) OVER w >= 12 THEN exp(sum(ln(1 + ret)) OVER w) - 1 END AS compound FROM p WINDOW w AS (PARTITION BY code ORDER BY dt ROWS 11 PRECEDING)),
+  rl AS (SELECT * FROM rw WHERE k = 1)"""
+
+
+@query("code section item", "value", f"""WITH {REPORT} --- {_tall('metrics', 'rmc', 'total annual volatility sharpe sortino var cvar max_drawdown calmar win_rate pl_ratio')} UNION ALL {_tall('quarters', 'qs', 'count best worst mean above_0')}
+  UNION ALL {_tall('drawdowns', 'ss', 'spells rows_under longest deepest')} UNION ALL {_tall('rolling', 'rl', 'sharpe volatility compound')}""", 5)
+def performance_report(spark, d):
+    return pf.report(panel(spark, d))
+
+
 @query("dt", "sharpe volatility compound", f"WITH {IRET}, w AS (SELECT dt, count(r) OVER x AS c, avg(r) OVER x AS m, stddev_samp(r) OVER x AS s, sum(ln(1 + r)) OVER x AS l FROM ir WINDOW x AS ({O.format(59)})) --- SELECT dt, CASE WHEN c >= 60 THEN m / s * sqrt(252) END AS sharpe, CASE WHEN c >= 60 THEN s * sqrt(252) END AS volatility, CASE WHEN c >= 60 THEN exp(l) - 1 END AS compound FROM w")
 def performance_rolling(spark, d):
     return pf.rolling_performance(index_series(spark, d))
