@@ -5,9 +5,11 @@ Encoding keeps an agenda of candidate merges, best score first, then leftmost. A
 in the text, span) decides whether it is skipped. So the same seed always gives the same segmentation
 and another seed another one, and each occurrence of a word is cut by draws of its own.
 
-No piece crosses from a word to the next space, so words are encoded alone, each occurrence anew: in
-lockstep (``Pieces._lockstep``), long ones one by one with a heap (``Pieces.segment``). Only what is free
-of draws, the symbols of a distinct word and its first candidates, is shared by its occurrences.
+No piece crosses from a word to the next space, so words are encoded alone, each occurrence anew, in
+lockstep (``Pieces._lockstep``). Only what is free of draws, the symbols of a distinct word and its first
+candidates, is shared by its occurrences. Text without spaces makes words of any length: one of over ``LONG``
+characters is cut between two characters that no piece holds side by side, where no merge can ever cross, and each
+part is a word with draws of its own. What stays long (one letter repeated) goes through a heap.
 Characters without a piece become byte pieces; a literal U+2581 does too, so decoding is lossless.
 """
 
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from .token_counts import slices, tokenizer_path
 
 SPACE = "▁"
-LONG = 48  # characters from which a word gets an agenda of its own
+LONG = 48  # characters from which a word is cut, or else gets an agenda of its own
+_WRAP = (1 << 64) - 1
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -38,6 +41,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _mixed_int(x: int) -> int:
+    """``_mixed`` of one number."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _WRAP
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _WRAP
+    return x ^ (x >> 31)
+
+
 def _span(start, middle, end):
     """One number for a candidate, whichever of the two ways segments its word."""
     return (start << 12) + (middle << 6) + end if isinstance(end, np.ndarray) or end < 64 else (start << 40) + (middle << 20) + end
@@ -78,6 +88,9 @@ class Pieces:
         key = np.array(left, np.int64) * n + np.array(right, np.int64)
         order = np.argsort(key)
         self.key, self.whole = key[order], np.array(whole, np.int32)[order]
+        self.pairs: dict[int, int] = {}
+        beside = {(ord(a) << 21) + ord(b) for i in normal for a, b in zip(names[i], names[i][1:])}
+        self.beside = np.array(sorted(beside) or [-1], np.int64)
         score = np.array([model.get_score(i) for i in range(n)])
         self.rank = np.unique(score, return_inverse=True)[1].astype(np.int32) + 1  # 0: no merge
         self.text = [b""] * n
@@ -110,19 +123,39 @@ class Pieces:
         """Piece of each character of a word as written (spaces are word starts); -1 - code point where there is none."""
         return [int(self.start) if c == " " else (int(x) if (x := self.char[ord(c)]) >= 0 else -1 - ord(c)) for c in word]
 
+    def parts(self, word: str) -> list[str]:
+        """A long word cut between characters that stand side by side in no piece."""
+        if len(word) <= LONG:
+            return [word]
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        points = np.where(points == 32, ord(SPACE), points)
+        pair = (points[:-1] << 21) + points[1:]
+        at = np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)
+        cuts = [0, *(np.flatnonzero(self.beside[at] != pair) + 1).tolist(), len(word)]
+        return [word[x:y] for x, y in zip(cuts, cuts[1:])]
+
     def segment(self, word: str, key: int = 0) -> list[int]:
-        """Ids of one word by a heap of candidates, with the draws of ``key``."""
-        sym = self._symbols(word)
-        n, base = len(sym), np.array([key], np.uint64)
+        """Ids of one word, with the draws of ``key``: by a heap of candidates, a long word part by part."""
+        parts = self.parts(word)
+        if len(parts) == 1:
+            return self._heap(word, int(key))
+        keys = occurrence(np.full(len(parts), key, np.uint64), np.arange(len(parts)))
+        return [i for part, k in zip(parts, keys.tolist()) for i in self._heap(part, k)]
+
+    def _heap(self, word: str, key: int) -> list[int]:
+        if not self.pairs:
+            self.pairs = dict(zip(self.key.tolist(), self.whole.tolist()))
+        sym, pairs, size, bar, rank = self._symbols(word), self.pairs, self.size, int(self.bar), self.rank
+        n = len(sym)
         after, before, stop = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[int, int, int, int, int]] = []
 
         def offer(i: int) -> None:
             j = after[i] if i >= 0 else n
-            if j < n:
-                m = int(self._merged(np.array([sym[i]]), np.array([sym[j]]))[0])
-                if m >= 0 and not (self.bar and self._skipped(base, np.array([_span(i, j, stop[j])]))[0]):
-                    heapq.heappush(agenda, (-int(self.rank[m]), i, j, stop[j], m))
+            if j < n and sym[i] >= 0 and sym[j] >= 0:
+                m = pairs.get(sym[i] * size + sym[j])
+                if m is not None and not (bar and _mixed_int(key + (_span(i, j, stop[j]) + 1) * 0x9E3779B97F4A7C15 & _WRAP) < bar):
+                    heapq.heappush(agenda, (-int(rank[m]), i, j, stop[j], m))
 
         for i in range(n - 1):
             offer(i)
@@ -164,8 +197,7 @@ class Pieces:
             part = short[at : at + 8192]
             for row, count, symbols in self._lockstep(flat, first, start[codes[part]], size[part], keys[part]):
                 rows.append(part[row]), counts.append(count), parts.append(symbols)
-        for i in long:
-            ids = np.array(self.segment(names[codes[i]], int(keys[i])), np.int32)
+        for i, ids in zip(long, self._long([names[c] for c in codes[long]], keys[long])):
             rows.append(np.array([i])), counts.append(np.array([len(ids)])), parts.append(ids)
         if not parts:
             return np.empty(0, np.int32), np.zeros(len(codes), np.int64)
@@ -184,6 +216,24 @@ class Pieces:
         ends = np.cumsum(sizes)
         return symbols[np.repeat(place - ends + sizes, sizes) + np.arange(ends[-1])], sizes
 
+    def _long(self, words: list[str], keys: np.ndarray) -> list[np.ndarray]:
+        """Ids of long words: the parts of all of them are words, and those that stay long go through a heap."""
+        parts = [self.parts(w) for w in words]
+        whole = [len(p) == 1 for p in parts]
+        out = [np.array(self._heap(w, int(k)), np.int32) if one else None for w, k, one in zip(words, keys, whole)]
+        cut = [i for i, one in enumerate(whole) if not one]
+        if cut:
+            flat = [p for i in cut for p in parts[i]]
+            count = np.array([len(parts[i]) for i in cut])
+            own = occurrence(np.repeat(keys[cut], count), np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count))
+            names = list(dict.fromkeys(flat))
+            code = {w: k for k, w in enumerate(names)}
+            ids, sizes = self._segments(names, np.array([code[p] for p in flat]), own)
+            ends = np.cumsum(np.add.reduceat(sizes, np.cumsum(count) - count))
+            for i, a, z in zip(cut, [0, *ends.tolist()], ends.tolist()):
+                out[i] = ids[a:z]
+        return out
+
     def _lockstep(self, flat: np.ndarray, first: np.ndarray, start: np.ndarray, size: np.ndarray, base: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, symbols of each, the symbols) of words by ascending size, as they end; a word is a stretch of ``flat``."""
         width = int(size.max())

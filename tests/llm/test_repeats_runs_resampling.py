@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from alphaloom.llm import media, periodic_runs, repeats, suffix_tree, target_resampling
+from alphaloom.llm import media, periodic_runs, repeats, sentencepiece_dropout, suffix_tree, target_resampling
 from alphaloom.llm.queries import QUERIES
 
 #: Extra columns have the names that the operators use inside.
@@ -307,3 +308,26 @@ def test_written_blocks_hold_the_payload(spark, docs, rows):
     with pytest.raises(Exception, match="follow one another"):
         media.assemble(written.withColumn("blocks", F.reverse("blocks")).filter("doc_id = 9004")).collect()
     assert media.assemble(media.written_blocks(media.read_back(media.store(docs.limit(0))))).count() == 0
+
+
+# --- long words without spaces
+
+
+def test_long_words_are_cut_where_no_merge_crosses():
+    import sentencepiece
+
+    path = sentencepiece_dropout.tokenizer_path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(3)
+    cjk = [chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(300)]
+    texts = ["".join(r.choice(cjk) for _ in range(2000)), "".join(r.choice(cjk) + r.choice("abcdefgh") for _ in range(1000)), "a" * 3000, "".join(r.choice("etaoin") for _ in range(2000)), "".join(r.choice("0123456789") for _ in range(500)), "x " + "日本語テキスト" * 40 + " y", "\U0010ffff" * 100]
+    plain, dropped = sentencepiece_dropout.Pieces(path, 0.0, 1), sentencepiece_dropout.Pieces(path, 0.1, 1)
+    ids, bounds = plain.encode(pa.array(texts))
+    assert [ids[a:z].tolist() for a, z in zip(bounds, bounds[1:])] == [library.encode(t) for t in texts]
+    keys = np.arange(len(texts), dtype=np.uint64) + np.uint64(5)
+    ids, bounds = dropped.encode(pa.array(texts), keys)
+    for t, k, a, z in zip(texts, keys, bounds, bounds[1:]):
+        assert dropped.decode(ids[a:z]).decode() == t
+        if " " not in t:
+            assert ids[a:z].tolist() == dropped.segment(" " + t, int(sentencepiece_dropout.occurrence(np.array([k]), np.array([0]))[0]))
+    assert all("".join(plain.parts(" " + t)) == " " + t for t in texts) and len(plain.parts(" " + texts[0])) > 1500
