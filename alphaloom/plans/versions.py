@@ -20,12 +20,12 @@ def yearly(spark, d) -> VersionedStore:
     return store
 
 
-@query("code dt", "close", f"WITH {PANEL} --- SELECT code, dt, close FROM panel WHERE NOT (year(dt) = 1996 AND month(dt) < 4 AND code % 2 = 0)")
+@query("code dt", "close", f"WITH {PANEL} --- SELECT code, dt, close FROM panel WHERE NOT (year(dt) = 1996 AND month(dt) < 4 AND code % 2 = 0)", 9)
 def versions_head(spark, d):
     return yearly(spark, d).read(columns=["code", "dt", "close"])
 
 
-@query("version code dt", "close", f"WITH {PANEL} --- SELECT v AS version, code, dt, close FROM panel, (VALUES (1, 1993), (2, 1995), (3, 1997), (4, 9999)) AS t(v, y) WHERE year(dt) <= y AND dt BETWEEN DATE '1995-02-01' AND DATE '1996-02-20'")
+@query("version code dt", "close", f"WITH {PANEL} --- SELECT v AS version, code, dt, close FROM panel, (VALUES (1, 1993), (2, 1995), (3, 1997), (4, 9999)) AS t(v, y) WHERE year(dt) <= y AND dt BETWEEN DATE '1995-02-01' AND DATE '1996-02-20'", 9)
 def versions_time_travel(spark, d):
     store, out = yearly(spark, d), None
     for v in (1, 2, 3, 4):
