@@ -81,6 +81,30 @@ class Written:
         _delete(self.spark, self.path)
 
 
+class Bucketed:
+    """A table written once to the shared folder, hashed by ``keys`` into ``buckets`` files, each sorted by them.
+
+    A frame that is already hashed so is written without another shuffle. Joins and groupings on
+    ``keys`` read it without one.
+    """
+
+    def __init__(self, df: DataFrame, label: str, keys: list[str], buckets: int):
+        self.spark = df.sparkSession
+        root = shared_root(self.spark)
+        _delete_at_exit(self.spark, root)
+        self.name = f"{label}_{uuid.uuid4().hex}"
+        self.path = f"{root}/{self.name}"
+        df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", self.path).saveAsTable(self.name)
+
+    @property
+    def df(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        _delete(self.spark, self.path)
+
+
 def kept_rows(docs: DataFrame, digest: Column, verdicts: DataFrame, label: str) -> DataFrame:
     """The rows of ``docs`` that ``verdicts`` (doc_id, digest, kept; one for each row) keeps, with all columns.
 

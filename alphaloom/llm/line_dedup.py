@@ -6,20 +6,45 @@ batch is merge-anti-joined with all runs, what is new becomes a run of level 0,
 of a level are compacted into one of the next. Batches arrive in ascending doc_id, so the first
 owner of a line is its smallest doc_id and never changes.
 
+A run is bucketed by its hashes into as many files as a shuffle has partitions, each of them sorted:
+only a batch is shuffled, runs meet it, each other and the lines as they lie on disk, without an
+exchange or a sort.
+
 A hash has 128 bits (two 64-bit hashes of different seeds). Lines are 28 bytes while they are
-shuffled; texts are shuffled once, to meet the positions of their dropped lines.
+shuffled; texts are shuffled once, to meet the positions of their dropped lines. Lines that very many
+documents hold are not shuffled: a sketch finds them and their few owners are broadcast.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, UPPER, Written, ascii_lower, text_of
+from .common import BLANKS, UPPER, Bucketed, Written, ascii_lower, text_of
 
 HASH = ["h1", "h2"]
+#: Rows of documents that one batch enters at most, beyond the first four batches.
+BATCH_ROWS = 50_000_000
+#: Lines that hold more than one part in HOT of all lines are joined by broadcast; so at most HOT of them.
+HOT = 256
+
+
+@contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside take the order of a bucket's single file for granted, so merges need no sort."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 class LineRuns:
@@ -29,42 +54,61 @@ class LineRuns:
         if fanout < 2:
             raise ValueError("fanout must be at least 2")
         self.spark, self.fanout = spark, fanout
-        self.levels: list[list[Written]] = []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[Bucketed]] = []
 
-    def runs(self) -> list[Written]:
+    def runs(self) -> list[Bucketed]:
         return [run for level in self.levels for run in level]
 
     def entries(self) -> DataFrame:
         """All (h1, h2, owner), each hash once."""
-        frames = [run.df for run in self.runs()]
-        out = frames[0]
-        for frame in frames[1:]:
-            out = out.unionByName(frame)
-        return out
+        return _merged([run.df for run in self.runs()])
 
-    def add(self, lines: DataFrame) -> None:
-        """Enter the hashes of a batch (doc_id, h1, h2) that no run holds yet."""
+    def fresh(self, lines: DataFrame) -> DataFrame:
+        """(h1, h2, owner) of the hashes of a batch that no run holds yet.
+
+        The anti-join is spelled as an outer join, which stays above the grouping: a line that every
+        document holds is combined before the shuffle.
+        """
         fresh = lines.groupBy(*HASH).agg(F.min("doc_id").alias("owner"))
         for run in self.runs():
-            fresh = fresh.join(run.df.select(*HASH).hint("merge"), HASH, "left_anti")
-        self._push(Written(fresh.sortWithinPartitions(*HASH), "line-run-0"), 0)
+            known = run.df.select(*HASH, F.col("owner").alias("known"))
+            fresh = fresh.join(known.hint("merge"), HASH, "left").filter("known is null").drop("known")
+        return fresh
+
+    def add(self, lines: DataFrame) -> None:
+        """Enter the hashes of a batch (doc_id, h1, h2) that no run holds yet."""
+        with _sorted_scans(self.spark):
+            self._push(Bucketed(self.fresh(lines), "line_run_0", HASH, self.buckets), 0)
 
-    def _push(self, run: Written, level: int) -> None:
+    def _push(self, run: Bucketed, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) < self.fanout:
             return
         old, self.levels[level] = self.levels[level], []
-        union = old[0].df
-        for other in old[1:]:
-            union = union.unionByName(other.df)
-        merged = Written(union.repartition(*HASH).sortWithinPartitions(*HASH), f"line-run-{level + 1}")
+        merged = Bucketed(_merged([o.df for o in old]), f"line_run_{level + 1}", HASH, self.buckets)
         for run in old:
             run.drop()
         self._push(merged, level + 1)
 
 
+def _merged(runs: list[DataFrame]) -> DataFrame:
+    """The entries of runs that share no hash, as one sorted merge."""
+    out = runs[0]
+    for run in runs[1:]:
+        out = out.withColumnRenamed("owner", "mine").join(run.hint("merge"), HASH, "full")
+        out = out.select(*HASH, F.coalesce("mine", "owner").alias("owner"))
+    return out
+
+
+def hot_hashes(hashes: DataFrame) -> list[int]:
+    """``h1`` of lines that may hold more than one part in HOT of all rows, by a mergeable sketch: at most HOT of them, all of a larger share among them."""
+    row = hashes.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h1, {HOT}, {64 * HOT})").alias("top")).first()
+    return [item["item"] for item in row["top"] or [] if item["count"] * HOT > row["n"]]
+
+
 @F.pandas_udf(T.StringType())
 def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     out = []
@@ -90,7 +134,17 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.select("doc_id", "body", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
+def owned_before(hashes: DataFrame, index: LineRuns) -> DataFrame:
+    """The lines of ``hashes`` whose owner is another, smaller doc_id; hot lines meet their owners by broadcast."""
+    entries, hot = index.entries(), hot_hashes(hashes)
+    if not hot:
+        return hashes.join(entries.hint("merge"), HASH).filter("owner < doc_id")
+    is_hot = F.col("h1").isin(hot)
+    often = hashes.filter(is_hot).join(F.broadcast(entries.filter(is_hot)), HASH)
+    return hashes.filter(~is_hot).join(entries.hint("merge"), HASH).unionByName(often).filter("owner < doc_id")
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = None, fanout: int = 2) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines, n_dropped, kept_text.
 
     A text splits at ``\\n``; null or empty is one empty line. A line's key is the line without
@@ -98,10 +152,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     documents hold lose all lines except in the smallest doc_id. Rows that repeat a doc_id are one
     document, whatever their texts, and each loses the lines that a smaller doc_id holds. Rows of a null doc_id own no line and lose none. An empty table gives an empty
     result; other columns are not read. ``batches`` is how many doc_id ranges are entered one
-    after another: the result is the same for any number.
+    after another (None: four, or one for each BATCH_ROWS rows): the result is the same for any number.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
+    if batches is None:
+        batches = max(4, math.ceil(docs.count() / BATCH_ROWS))
     cuts = [k / batches for k in range(1, batches)]
     bounds = docs.agg(F.percentile_approx("doc_id", cuts, 10000)).first()[0] if cuts else None
     batch = F.lit(0)
@@ -112,8 +168,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     for k in range(len(set(bounds or [])) + 1):
         index.add(hashes.df.filter(F.col("batch") == k))
     gone = (
-        hashes.df.join(index.entries(), HASH)
-        .filter("owner < doc_id")
+        owned_before(hashes.df, index)
         .groupBy(F.col("doc_id").alias("gone_id"), F.col("body").alias("gone_body"))
         .agg(F.collect_set("pos").alias("gone"))
     )

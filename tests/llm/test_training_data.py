@@ -100,6 +100,29 @@ def test_line_runs_hold_each_hash_once(spark, docs):
     assert entries.count() == entries.select("h1", "h2").distinct().count() == lines.select("h1", "h2").distinct().count()
 
 
+def test_line_runs_are_merged_as_they_lie(spark, sf):
+    index = line_dedup.LineRuns(spark, fanout=2)
+    lines = line_dedup.line_hashes(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), 10)
+    index.add(lines.filter("doc_id < 100"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    with line_dedup._sorted_scans(spark):
+        add = plan(index.fresh(lines.filter("doc_id >= 100")))
+        merged = plan(line_dedup._merged([index.runs()[0].df, index.runs()[0].df]))
+    assert add.count("Exchange") == 1 and add.index("SortMergeJoin") < add.index("partial_min") and add.index("Exchange") < add.index("partial_min")
+    assert "Exchange" not in merged and "Sort [" not in merged and "SortMergeJoin" in merged
+
+
+def test_hot_lines_meet_their_owners_by_broadcast(spark):
+    texts = [(i, f"a line of every document\nonly of document {i}\nshared by {i // 2:09d}") for i in range(700)]
+    hashes = line_dedup.line_hashes(spark.createDataFrame(texts, "doc_id long, text string"), 10)
+    assert len(line_dedup.hot_hashes(hashes)) == 1
+    index = line_dedup.LineRuns(spark, fanout=2)
+    index.add(hashes)
+    plan = line_dedup.owned_before(hashes, index)
+    assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.pos) for r in plan.collect()) == sorted([(i, 0) for i in range(1, 700)] + [(i, 2) for i in range(1, 700, 2)])
+
+
 def test_token_counts(docs, rows, empty):
     from tokenizers import Tokenizer
 
