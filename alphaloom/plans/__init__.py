@@ -7,6 +7,6 @@ from .registry import QUERIES, Query
 
 def registered() -> dict[str, Query]:
     """All queries, by name."""
-    from . import adaptive, analysis, bitemporal, exposure, factor_run, factors, fundamental, modelling, research, store, strategy, validation, versions, weighting  # noqa: F401
+    from . import adaptive, analysis, bitemporal, exposure, factor_run, factors, fundamental, modelling, monitoring, research, store, strategy, validation, versions, weighting  # noqa: F401
 
     return QUERIES
