@@ -7,6 +7,7 @@ import pytest
 
 from alphaloom.operators import monitoring as mo
 from alphaloom.operators import posterior as ps
+from alphaloom.operators import risk
 
 START = date(2024, 1, 1)
 HELD = "model string, dt date, code long, weight double"
@@ -96,6 +97,7 @@ def test_posterior_equals_the_precision_form(spark):
     for tau in (0.05, 0.1):
         part = sorted((r for r in out if r.tau == tau), key=lambda r: r.key)
         assert abs(sum(r.weight for r in part) - 1) < 1e-6 and max(r.weight for r in part) <= 0.6 + 1e-9
+        assert np.allclose([r.weight for r in part], risk.mean_variance(np.array([r.posterior for r in part]), cov, 1.0, 0.6), atol=1e-6)
         assert np.allclose([r.posterior for r in part], ps.posterior_returns(cov, market, views, tau)[1])
 
 
