@@ -43,7 +43,7 @@ def digests(df: DataFrame, columns: list[str], by: str | Column) -> DataFrame:
     """
     h = row_hash(columns)
     sums = df.select((F.col(by) if isinstance(by, str) else by).alias("part"), h.alias("_h")).groupBy("part")
-    return sums.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_h") % (1 << 30)).alias("low"), F.sum(F.floor(F.col("_h") / (1 << 30))).alias("high"), F.bit_xor("_h").alias("mix"))
+    return sums.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_h") % (1 << 30)).alias("low"), F.sum(F.shiftright("_h", 30)).alias("high"), F.bit_xor("_h").alias("mix"))
 
 
 @dataclass(frozen=True)

@@ -110,6 +110,14 @@ def test_digests_ignore_order_and_name_the_month(spark, tmp_path):
     assert [tuple(r) for r in b.changes(vb.number, vc.number).collect()] == [(2, dt.date(2020, 2, 10), 2.5, "removed")]
 
 
+def test_halves_of_a_hash_are_cut_in_whole_numbers(spark):
+    """These rows' hashes lie 8 and 23 below a multiple of 2^30, which a quotient in doubles rounds up."""
+    kept = [(16223463, 1632697, "P", "1999-08-25", 1089767239260831736), (23632399, 2362901, "P", "1997-07-27", 753872177199054825)]
+    df = spark.createDataFrame(kept, "a long, b long, c string, d string, h long")
+    got = {r.part: (r.low, r.high, r.mix) for r in digests(df, ["a", "b", "c", "d"], "a").collect()}
+    assert got == {r[0]: (r[4] % 2**30, r[4] // 2**30, r[4]) for r in kept}
+
+
 def test_a_large_month_is_several_files(spark, tmp_path):
     name = "spark.sql.adaptive.coalescePartitions.enabled"
     before = spark.conf.get(name)
