@@ -1,25 +1,27 @@
 """Boosted trees that learn to rank securities within a date, with monotone features.
 
 Gradients are pairwise: of two securities of one date the better one is pushed up, by how much the swap would change
-the date's NDCG. Trees grow level by level from histograms that Spark sums: a task adds up its rows'
+the date's NDCG. All pairs count, but none is spelled out: securities of one score and one grade are met as a class, by
+their number and the sum of their discounts. Trees grow level by level from histograms that Spark sums: a task adds up its rows'
 gradients by node, feature and bin, and only those sums (nodes by features by bins) reach the driver, which picks
 the splits. Rows with their scores are written to the shared folder after each tree.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alphaloom.sources.store import scratch
 
-PAIR_ROWS = 512  # securities of a date compared with all others at once
+PAIR_ROWS = 512  # distinct scores of a date compared with all others at once
 
 
 def relevance(df: DataFrame, label: str, grades: int = 5) -> DataFrame:
@@ -45,27 +47,48 @@ def ndcg(df: DataFrame, score: str, k: int = 10) -> DataFrame:
 
 
 def lambdas(score: np.ndarray, rel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and curvature of each row of one date, from all pairs of different rel."""
+    """Gradient and curvature of each row of one date, from all pairs of different rel.
+
+    Rows of a lower score all lie behind a row, so their distances in discount sum to their number times its discount
+    less the sum of theirs; equal scores are summed up to a row's place and from it. That takes n rows times the grades
+    and the distinct scores squared, of which trees make few (8 to the number of trees, at depth 3), not n squared.
+    """
     n = len(score)
     order = np.lexsort((np.arange(n), -score))
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    discount = 1 / np.log2(place + 2.0)
+    discount = 1 / np.log2(np.arange(n) + 2.0)  # by place
     gain = 2.0**rel - 1
-    ideal = (np.sort(gain)[::-1] / np.log2(np.arange(n) + 2.0)).sum()
+    ideal = (np.sort(gain)[::-1] * discount).sum()
     g, h = np.zeros(n), np.zeros(n)
     if ideal <= 0:
         return g, h
-    for a in range(0, n, PAIR_ROWS):
+    score, grades, grade = score[order], *np.unique(rel[order], return_inverse=True)
+    first = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+    level = np.cumsum(np.r_[False, score[1:] != score[:-1]])
+    levels, s = score[first], len(first)
+    count, total = (np.bincount(level * len(grades) + grade, w, s * len(grades)).reshape(s, -1) for w in (None, discount))
+    worth = np.abs(2.0 ** grades[:, None] - 2.0**grades) / ideal
+    way = np.sign(grades[None, :] - grades[:, None])  # [own, other]: -1 where the own grade is better, which lowers g
+    g_slope, g_rest, h_slope, h_rest = (np.zeros((s, len(grades))) for _ in range(4))  # sums are linear in a row's discount
+    for a in range(0, s, PAIR_ROWS):
         own = slice(a, a + PAIR_ROWS)
-        better = rel[own, None] > rel[None, :]
-        worth = np.abs((gain[own, None] - gain) * (discount[own, None] - discount)) / ideal
-        doubt = 1 / (1 + np.exp(np.clip(score[own, None] - score, -50, 50)))
-        push, bend = np.where(better, worth * doubt, 0), np.where(better, worth * doubt * (1 - doubt), 0)
-        g[own] -= push.sum(axis=1)
-        h[own] += bend.sum(axis=1)
-        g += push.sum(axis=0)
-        h += bend.sum(axis=0)
+        gap = np.clip(levels[own, None] - levels, -50, 50)
+        side = np.sign(np.arange(s) - np.arange(s)[own, None])  # 1: the other score is lower
+        doubt = 1 / (1 + np.exp(gap))
+        bend = side * doubt * (1 - doubt)
+        h_slope[own], h_rest[own] = bend @ count @ worth, -(bend @ total @ worth)
+        for sign, push in ((-1, side * doubt), (1, side * (1 - doubt))):
+            part = np.where(way.T == sign, sign * worth, 0)  # [other, own]
+            g_slope[own] += push @ count @ part
+            g_rest[own] -= push @ total @ part
+    own_g = g_slope[level, grade] * discount + g_rest[level, grade]
+    own_h = h_slope[level, grade] * discount + h_rest[level, grade]
+    for k in range(len(grades)):  # partners of one score, where the doubt is a half
+        seen, passed = np.cumsum(grade == k), np.cumsum(np.where(grade == k, discount, 0))
+        seen, passed = (x - (x[first] - y[first])[level] for x, y in ((seen, grade == k), (passed, np.where(grade == k, discount, 0))))
+        apart = (2 * seen - count[level, k]) * -discount + 2 * passed - total[level, k]
+        own_g += way[grade, k] * worth[grade, k] * apart / 2
+        own_h += worth[grade, k] * apart / 4
+    g[order], h[order] = own_g, own_h
     return g, h
 
 
@@ -88,26 +111,36 @@ class RankModel:
 
     def bins(self) -> Column:
         """Each feature's bin: how many edges lie below it; an unknown value is in bin 0."""
-        one = lambda f, edges: reduce(lambda a, e: a + F.coalesce((F.col(f) > e).cast("int"), F.lit(0)), edges, F.lit(0))
+        one = lambda f, edges: F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: F.col(f) > e))
         return F.array(*(one(f, e) for f, e in zip(self.features, self.edges)))
 
-    def score(self, bins: str = "bins") -> Column:
-        return reduce(lambda a, tree: a + tree_value(tree, bins), self.trees, F.lit(0.0))
+    def left(self, node: Node) -> Column:
+        """Whether a row's bin is up to the node's cut: its value is not above that edge (or unknown)."""
+        edges = self.edges[node.feature]
+        return ~F.coalesce(F.col(self.features[node.feature]) > edges[node.cut], F.lit(False)) if node.cut < len(edges) else F.lit(True)
+
+    def score(self) -> Column:
+        """The sum of all trees, from the features' values: their bins need not be found."""
+        return reduce(lambda a, tree: a + tree_value(tree, self.left), self.trees, F.lit(0.0))
+
+
+def binned(node: Node) -> Column:
+    return F.col("bins")[node.feature] <= node.cut
 
 
-def tree_value(tree: list[Node], bins: str, at: int = 0) -> Column:
+def tree_value(tree: list[Node], left: Callable[[Node], Column] = binned, at: int = 0) -> Column:
     node = tree[at]
     if node.feature < 0:
         return F.lit(float(node.value))
-    return F.when(F.col(bins)[node.feature] <= node.cut, tree_value(tree, bins, node.left)).otherwise(tree_value(tree, bins, node.right))
+    return F.when(left(node), tree_value(tree, left, node.left)).otherwise(tree_value(tree, left, node.right))
 
 
-def tree_node(tree: list[Node], bins: str, at: int = 0) -> Column:
+def tree_node(tree: list[Node], at: int = 0) -> Column:
     """The number of the leaf that a row falls in."""
     node = tree[at]
     if node.feature < 0:
         return F.lit(at)
-    return F.when(F.col(bins)[node.feature] <= node.cut, tree_node(tree, bins, node.left)).otherwise(tree_node(tree, bins, node.right))
+    return F.when(binned(node), tree_node(tree, node.left)).otherwise(tree_node(tree, node.right))
 
 
 def best_split(hist: np.ndarray, node: Node, monotone: list[int], ridge: float, least: int) -> tuple[float, int, int, float, float] | None:
@@ -139,27 +172,28 @@ def fit(df: DataFrame, features: list[str], label: str, monotone: dict[str, int]
 
     ``monotone`` maps a feature to 1 (the score never falls with it) or -1. Rows without a label do not count. Quantile
     edges come from sketches with a rank error of one in 10,000. A date's securities are compared in one
-    task, ``PAIR_ROWS`` at a time against all others.
+    task, as classes of one score and grade (``lambdas``).
     """
     known = relevance(df.filter(F.col(label).isNotNull() & F.col("dt").isNotNull()), label, grades)
+    known = _written(known.select("code", "dt", "rel", *features), "rank-known")  # read for the edges, then for the bins
     shares = [k / bins for k in range(1, bins)]
     found = known.agg(*(F.percentile_approx(F.col(f).cast("double"), shares, 10_000).alias(f"e{i}") for i, f in enumerate(features))).first()
     model = RankModel(features, [sorted(set(e or [])) for e in found])
     ways = [(monotone or {}).get(f, 0) for f in features]
     rows = _written(known.select("code", "dt", "rel", model.bins().alias("bins"), F.lit(0.0).alias("score")), "rank-rows")
 
-    def slopes(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("code", kind="stable").reset_index(drop=True)
-        g["g"], g["h"] = lambdas(g["score"].to_numpy(), g["rel"].to_numpy())
-        return g
+    def slopes(date: pa.Table) -> pa.Table:
+        date = date.sort_by("code")
+        g, h = lambdas(date["score"].to_numpy(), date["rel"].to_numpy())
+        return date.append_column("g", pa.array(g)).append_column("h", pa.array(h))
 
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", g double, h double"
     for _ in range(trees):
-        pushed = _written(rows.groupBy("dt").applyInPandas(slopes, schema), "rank-slopes")
+        pushed = _written(rows.groupBy("dt").applyInArrow(slopes, schema), "rank-slopes")
         tree = [Node(0.0)]
         frontier = [0]
         for _ in range(depth):
-            tall = pushed.select(tree_node(tree, "bins").alias("node"), F.posexplode("bins").alias("feature", "bin"), "g", "h").filter(F.col("node").isin(frontier))
+            tall = pushed.select(tree_node(tree).alias("node"), F.posexplode("bins").alias("feature", "bin"), "g", "h").filter(F.col("node").isin(frontier))
             sums = tall.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n")).collect()  # nodes by features by bins
             hist = {at: np.zeros((len(features), bins, 3)) for at in frontier}
             for r in sums:
@@ -186,12 +220,12 @@ def fit(df: DataFrame, features: list[str], label: str, monotone: dict[str, int]
         for node in tree:
             node.value *= rate
         model.trees.append(tree)
-        rows = _written(pushed.select("code", "dt", "rel", "bins", (F.col("score") + tree_value(tree, "bins")).alias("score")), "rank-rows")
+        rows = _written(pushed.select("code", "dt", "rel", "bins", (F.col("score") + tree_value(tree)).alias("score")), "rank-rows")
     return model
 
 
 def predict(model: RankModel, df: DataFrame, name: str = "ranked") -> DataFrame:
-    return df.withColumn("_bins", model.bins()).withColumn(name, model.score("_bins")).drop("_bins")
+    return df.withColumn(name, model.score())
 
 
 def importance(model: RankModel) -> dict[str, int]:

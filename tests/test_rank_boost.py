@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import time
 
 import numpy as np
 import pytest
@@ -34,6 +35,39 @@ def test_lambdas_equal_a_loop_over_pairs():
         assert np.allclose(got[0], g) and np.allclose(got[1], h)
 
 
+def test_a_large_date_is_met_by_classes():
+    """30,000 securities are 360 million pairs of different grades; some rows are checked against all others."""
+    r = np.random.default_rng(3)
+    n, levels = 30_000, r.normal(size=600)
+    score, rel = levels[r.integers(0, 600, n)], r.integers(0, 5, n)
+    began = time.process_time()
+    g, h = rank_boost.lambdas(score, rel)
+    assert time.process_time() - began < 10
+    place = np.empty(n)
+    place[np.lexsort((np.arange(n), -score))] = np.arange(n)
+    discount, gain = 1 / np.log2(place + 2), 2.0**rel - 1
+    ideal = (np.sort(gain)[::-1] / np.log2(np.arange(n) + 2.0)).sum()
+    for i in r.integers(0, n, 50):
+        w = np.abs((gain[i] - gain) * (discount[i] - discount)) / ideal
+        p = 1 / (1 + np.exp(np.where(rel < rel[i], score[i] - score, score - score[i])))
+        assert g[i] == pytest.approx((w * p * np.sign(rel - rel[i])).sum(), rel=1e-8, abs=1e-12)
+        assert h[i] == pytest.approx((w * p * (1 - p)).sum(), rel=1e-8, abs=1e-12)
+
+
+def test_values_and_bins_go_the_same_way(spark):
+    node, leaf = rank_boost.Node, lambda v: rank_boost.Node(v)
+    trees = [[node(0.0, feature=0, cut=1, left=1, right=2), node(0.0, feature=1, cut=0, left=3, right=4), leaf(1.0), leaf(2.0), leaf(4.0)], [node(0.0, feature=1, cut=5, left=1, right=2), leaf(8.0), leaf(16.0)]]
+    model = rank_boost.RankModel(["a", "b", "c"], [[-1.0, 0.0, 2.0], [0.5], []], trees)
+    values = [None, float("nan"), float("-inf"), float("inf"), -1.0, -0.5, 0.0, 0.5, 1.0, 2.0, 3.0]
+    df = spark.createDataFrame([(a, b, 0.0) for a in values for b in values], "a double, b double, c double").withColumn("bins", model.bins())
+    rows = rank_boost.predict(model, df.withColumn("by_bins", rank_boost.tree_value(trees[0]) + rank_boost.tree_value(trees[1]))).collect()
+    place = lambda v, edges: 0 if v is None else len(edges) if math.isnan(v) else sum(v > e for e in edges)
+    assert len(rows) == len(values) ** 2
+    for r in rows:
+        assert list(r.bins) == [place(r.a, model.edges[0]), place(r.b, model.edges[1]), 0] and r.ranked == r.by_bins
+        assert r.ranked == (1 if r.bins[0] > 1 else 4 if r.bins[1] else 2) + 8
+
+
 def test_ndcg_by_hand(spark):
     rows = [(1, DAY, 0.9, 0), (2, DAY, 0.5, 2), (3, DAY, 0.1, 1), (4, DAY, None, 2), (5, DAY, 0.4, None), (1, DAY + dt.timedelta(1), 0.5, 0)]
     got = {r.dt: r for r in rank_boost.ndcg(spark.createDataFrame(rows, "code int, dt date, s double, rel int"), "s", 2).collect()}
