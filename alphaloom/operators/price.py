@@ -62,7 +62,8 @@ def bollinger(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
 def obv_ratio(df: DataFrame, n: int = 20, least: int = 10) -> DataFrame:
     """On-balance volume over its rolling mean, less 1, clipped to +-3."""
     df = returns(df).withColumn("_obv", F.sum(F.coalesce(F.signum("ret"), F.lit(0.0)) * F.col("volume")).over(series().rowsBetween(W.unboundedPreceding, 0)))
-    return df.withColumn("obv_ratio", clip(safe_divide("_obv", rolling(F.avg, "_obv", n, least)) - 1, -3.0, 3.0))
+    df = df.withColumn("_obv_mean", rolling(F.avg, "_obv", n, least))
+    return df.withColumn("obv_ratio", clip(safe_divide("_obv", "_obv_mean") - 1, -3.0, 3.0))
 
 
 def microstructure(df: DataFrame, n: int = 20, least: int = 5) -> DataFrame:
@@ -76,12 +77,12 @@ def microstructure(df: DataFrame, n: int = 20, least: int = 5) -> DataFrame:
 
 def beta(df: DataFrame, market: DataFrame, n: int = 24, least: int = 12) -> DataFrame:
     """Rolling beta to a market return (dt, mkt) and the residual's standard deviation."""
-    df = returns(df).join(market.select("dt", "mkt"), "dt", "left")
+    df = returns(df).join(F.broadcast(market.select("dt", "mkt")), "dt", "left")  # a row a date
     w = series().rowsBetween(-(n - 1), 0)
     both = F.col("ret").isNotNull() & F.col("mkt").isNotNull()
     x, y = F.when(both, F.col("mkt")), F.when(both, F.col("ret"))
-    enough = (F.count(x).over(w) >= least) & (F.var_samp(x).over(w) > 1e-12)
-    df = df.withColumns({"beta": F.when(enough, F.try_divide(F.covar_samp(x, y).over(w), F.var_samp(x).over(w))), "_vx": F.var_samp(x).over(w), "_vy": F.var_samp(y).over(w)})
+    df = df.withColumns({"_k": F.count(x).over(w), "_vx": F.var_samp(x).over(w), "_vy": F.var_samp(y).over(w), "_cxy": F.covar_samp(x, y).over(w)})  # each once
+    df = df.withColumn("beta", F.when((F.col("_k") >= least) & (F.col("_vx") > 1e-12), F.try_divide("_cxy", "_vx")))
     return df.withColumn("idio_vol", F.sqrt(F.greatest(F.lit(0.0), F.col("_vy") - F.col("beta") * F.col("beta") * F.col("_vx"))))
 
 

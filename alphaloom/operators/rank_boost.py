@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from alphaloom.sources.store import scratch
+from alphaloom.sources.store import written
 
 PAIR_ROWS = 512  # distinct scores of a date compared with all others at once
 
@@ -161,12 +161,6 @@ def best_split(hist: np.ndarray, node: Node, monotone: list[int], ridge: float,
     return (float(gain[f, cut]), int(f), int(cut), float(a[f, cut]), float(b[f, cut])) if gain[f, cut] > 1e-12 else None
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fit(df: DataFrame, features: list[str], label: str, monotone: dict[str, int] | None = None, trees: int = 10, depth: int = 3, rate: float = 0.3, bins: int = 32, grades: int = 5, ridge: float = 1e-3, least: int = 20) -> RankModel:
     """Learns to rank by ``label`` within dates (code, dt, features, label).
 
@@ -175,12 +169,12 @@ def fit(df: DataFrame, features: list[str], label: str, monotone: dict[str, int]
     task, as classes of one score and grade (``lambdas``).
     """
     known = relevance(df.filter(F.col(label).isNotNull() & F.col("dt").isNotNull()), label, grades)
-    known = _written(known.select("code", "dt", "rel", *features), "rank-known")  # read for the edges, then for the bins
+    known = written(known.select("code", "dt", "rel", *features), "rank-known")  # read for the edges, then for the bins
     shares = [k / bins for k in range(1, bins)]
     found = known.agg(*(F.percentile_approx(F.col(f).cast("double"), shares, 10_000).alias(f"e{i}") for i, f in enumerate(features))).first()
     model = RankModel(features, [sorted(set(e or [])) for e in found])
     ways = [(monotone or {}).get(f, 0) for f in features]
-    rows = _written(known.select("code", "dt", "rel", model.bins().alias("bins"), F.lit(0.0).alias("score")), "rank-rows")
+    rows = written(known.select("code", "dt", "rel", model.bins().alias("bins"), F.lit(0.0).alias("score")), "rank-rows")
 
     def slopes(date: pa.Table) -> pa.Table:
         date = date.sort_by("code")
@@ -189,7 +183,7 @@ def fit(df: DataFrame, features: list[str], label: str, monotone: dict[str, int]
 
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", g double, h double"
     for _ in range(trees):
-        pushed = _written(rows.groupBy("dt").applyInArrow(slopes, schema), "rank-slopes")
+        pushed = written(rows.groupBy("dt").applyInArrow(slopes, schema), "rank-slopes")
         tree = [Node(0.0)]
         frontier = [0]
         for _ in range(depth):
@@ -220,7 +214,7 @@ def fit(df: DataFrame, features: list[str], label: str, monotone: dict[str, int]
         for node in tree:
             node.value *= rate
         model.trees.append(tree)
-        rows = _written(pushed.select("code", "dt", "rel", "bins", (F.col("score") + tree_value(tree)).alias("score")), "rank-rows")
+        rows = written(pushed.select("code", "dt", "rel", "bins", (F.col("score") + tree_value(tree)).alias("score")), "rank-rows")
     return model
 
 

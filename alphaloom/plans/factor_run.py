@@ -4,8 +4,10 @@ from __future__ import annotations
 
 
 from alphaloom.operators import factor_set as fs
+from alphaloom.operators.flows import to_long
+from alphaloom.operators.weighting import factor_ics
 from alphaloom.sources.statements import STATEMENTS, flows, statements
-from alphaloom.sources.store import scratch
+from alphaloom.sources.store import scratch, written
 from alphaloom.sources.tables import DIMS, PANEL, dims, panel
 from alphaloom.sources.versions import VersionedStore
 
@@ -35,9 +37,9 @@ RUN = f"""{_WIDE}, t0 AS (SELECT af.code, dt, industry, cap, unnest([{_NAMES}])
 
 
 def run(spark, d):
-    """The panel, securities and processed values of all groups."""
-    p, s = panel(spark, d), dims(spark, d)
-    return p, s, fs.processed(fs.all_factors(p, statements(spark, d), flows(spark, d), s), s)
+    """The securities and the processed values of all groups, a row a key with the label beside them."""
+    p, s = written(panel(spark, d), "factor-panel"), dims(spark, d)
+    return s, fs.processed(fs.all_factors(p, statements(spark, d), flows(spark, d), s, label=True), s)
 
 
 @query("code dt", " ".join(fs.FACTORS), f"WITH {_WIDE} --- SELECT * FROM af", 4)
@@ -47,15 +49,15 @@ def factors_wide(spark, d):
 
 def stored_values(spark, d):
     """Processed values in a versioned store, read again: what follows neither computes them twice nor loses them with an executor."""
-    p, s, values = run(spark, d)
-    store = VersionedStore(spark, scratch(spark, "factor-values"), ["code", "dt", "factor"])
-    store.append(values, "run")
-    return p, s, store
+    s, values = run(spark, d)
+    store = VersionedStore(spark, scratch(spark, "factor-values"), ["code", "dt"])
+    store.append(values, "run", dealt=True)
+    return s, store
 
 
 @query("code dt factor", "value", f"WITH {RUN} --- SELECT code, dt, factor, value FROM vl WHERE dt BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'", 3)
 def factors_all(spark, d):
-    return stored_values(spark, d)[2].read(start="1996-01-01", end="1997-12-31")
+    return to_long(stored_values(spark, d)[1].read(start="1996-01-01", end="1997-12-31"), list(fs.FACTORS))
 
 
 ICS = f"""{RUN}, lb AS (SELECT code, dt, CASE WHEN close <> 0 THEN lead(close) OVER (PARTITION BY code ORDER BY dt) / close - 1 END AS label FROM panel), fi AS (SELECT factor, dt, count(*) AS n, {CORR.format('value', 'label')} AS ic FROM vl JOIN lb USING (code, dt) WHERE label IS NOT NULL GROUP BY 1, 2 HAVING {CORR.format('value', 'label')} IS NOT NULL)"""
@@ -63,8 +65,7 @@ ICS = f"""{RUN}, lb AS (SELECT code, dt, CASE WHEN close <> 0 THEN lead(close) O
 
 @query("factor dt n", "ic", f"WITH {ICS} --- SELECT * FROM fi", 4)
 def factor_run_ics(spark, d):
-    p, _, store = stored_values(spark, d)
-    return fs.tall_ics(store.read(), fs.labels(p))
+    return factor_ics(stored_values(spark, d)[1].read(), list(fs.FACTORS), "label")
 
 
 SCORED = f"""{ICS}, rm AS (SELECT *, count(ic) OVER w AS c, avg(ic) OVER w AS m FROM fi WINDOW w AS (PARTITION BY factor ORDER BY dt ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)), rw AS (SELECT dt, factor, CASE WHEN sum(abs(m)) OVER d > 0 THEN m / sum(abs(m)) OVER d ELSE 1.0 / count(*) OVER d END AS weight FROM rm WHERE c >= 3 WINDOW d AS (PARTITION BY dt)),
@@ -74,9 +75,9 @@ HELD = f"""{SCORED}, h0 AS (SELECT rk.*, industry FROM rk JOIN dims USING (code)
 
 
 def scored(spark, d):
-    p, s, store = stored_values(spark, d)
+    s, store = stored_values(spark, d)
     values = store.read()
-    return s, fs.scores(values, fs.tall_ics(values, fs.labels(p)))
+    return s, fs.scores(values, factor_ics(values, list(fs.FACTORS), "label"))
 
 
 @query("code dt", "score", f"WITH {SCORED} --- SELECT code, dt, score FROM sc", 4)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import table, whole
 
 #: Statement items: the condition on an order that adds its price, and the one that takes it away.
 ITEMS = {
@@ -27,7 +27,7 @@ def _signed(plus: str, minus: str | None) -> str:
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, end_date, ann_date, the items, and assets, liabilities and equity as running sums."""
-    o = table(spark, sf_dir, "orders").withColumns({"pr": F.substring("o_orderpriority", 1, 1).cast("int"), "c": F.round(F.col("o_totalprice") * 100).cast("long")})
+    o = table(spark, sf_dir, "orders").withColumns({"pr": F.substring("o_orderpriority", 1, 1).cast("int"), "c": whole(F.col("o_totalprice") * 100).cast("long")})
     q = o.groupBy((F.col("o_custkey") % 200).alias("code"), F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("end_date")).agg(
         F.max(F.to_date("o_orderdate")).alias("ann_date"), *((F.sum(F.expr(_signed(*how))).cast("double") / 100).alias(name) for name, how in ITEMS.items())
     )

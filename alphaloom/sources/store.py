@@ -29,6 +29,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written below ``spark.checkpoint.dir`` and read again, so that what follows does not compute it twice."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class Store:
     """Rows of (code, dt, ...) below ``path``, one folder a month, so date ranges prune folders and codes prune row groups."""

@@ -5,14 +5,20 @@ Each derived panel has its DuckDB text beside it, which the registered queries b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def whole(x: Column) -> Column:
+    """A double rounded to a whole number, halves away from zero, as round() does by way of a decimal of each row."""
+    near = F.rint(x)
+    return F.when(F.abs(x - near) == 0.5, x + F.signum(x) * 0.5).otherwise(near)
+
+
 def cents(x: str):
     """The sum of amounts of two decimals, added as whole cents: the same whatever the order of rows."""
-    return F.sum(F.round(F.col(x) * 100).cast("long")).cast("double") / 100
+    return F.sum(whole(F.col(x) * 100).cast("long")).cast("double") / 100
 
 
 def _cents(x: str) -> str:

@@ -178,12 +178,12 @@ class VersionedStore:
 
     # --- writing
 
-    def _entries(self, df: DataFrame, columns: tuple[str, ...]) -> tuple[Entry, ...]:
-        """Writes rows to a new folder and names its months. A large month becomes several files, by ranges of codes."""
+    def _entries(self, df: DataFrame, columns: tuple[str, ...], dealt: bool = False) -> tuple[Entry, ...]:
+        """Writes rows to a new folder and names its months. A large month becomes several files, by ranges of codes, unless rows are ``dealt``."""
         folder = f"data/{uuid.uuid4().hex}"
         self.step("before data")
         df = df.withColumn("month", F.date_format(F.trunc("dt", "month"), "yyyy-MM-dd"))
-        df.repartitionByRange("month", "code").sortWithinPartitions("month", "code", "dt").write.partitionBy("month").parquet(f"{self.path}/{folder}")
+        (df if dealt else df.repartitionByRange("month", "code")).sortWithinPartitions("month", "code", "dt").write.partitionBy("month").parquet(f"{self.path}/{folder}")
         self.step("data written")
         held = self._read_folders([folder], df.drop("month").schema.simpleString()[7:-1])
         rows = digests(held, list(columns), F.date_format(F.trunc("dt", "month"), "yyyy-MM-dd")).collect()  # a row a month
@@ -199,11 +199,12 @@ class VersionedStore:
             raise ValueError(f"columns differ from the store's: {schema} / {v.schema}")
         return v.columns or tuple(self.columns or sorted(df.columns)), v.schema or schema
 
-    def append(self, df: DataFrame, batch: str, retries: int = 5) -> Version:
+    def append(self, df: DataFrame, batch: str, retries: int = 5, dealt: bool = False) -> Version:
         """Adds the rows of a batch once: a batch that the store knows is not written again, so a repeat after a crash is safe.
 
         Rows need a date in ``dt``. Under concurrent writers the data is written once and the commit is
-        tried on top of whatever came first.
+        tried on top of whatever came first. ``dealt``: each date's rows lie in one partition already, and are written from
+        there without a shuffle (whose sampling would compute them twice).
         """
         entries = None
         for _ in range(retries + 1):
@@ -212,7 +213,7 @@ class VersionedStore:
                 return v
             columns, schema = self._checked(df, v)
             if entries is None:
-                entries = self._entries(df.select(*(x.split(":")[0] for x in _fields(schema))), columns)
+                entries = self._entries(df.select(*(x.split(":")[0] for x in _fields(schema))), columns, dealt)
             try:
                 return self._commit(replace(v, number=v.number + 1, entries=v.entries + entries, batches=(*v.batches, batch), columns=columns, schema=schema, note=f"append {batch}"))
             except Conflict:
